@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+from kerbgrid.llm import langid, media, pii, secrets, warc
 from kerbgrid.llm.common import table
-from kerbgrid.llm.pii import personal_report
-from kerbgrid.llm.secrets import secret_report
+
+
+def op3_media_fingerprints(spark, sf_dir):
+    return media.media_report(table(spark, sf_dir, "documents"))
 
 
 def op6_pii_anchors(spark, sf_dir):
-    return personal_report(table(spark, sf_dir, "documents"))
+    return pii.personal_report(table(spark, sf_dir, "documents"))
 
 
 def op7_secret_automaton(spark, sf_dir):
-    return secret_report(table(spark, sf_dir, "documents"))
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
+def op8_warc_archives(spark, sf_dir):
+    return warc.warc_report(table(spark, sf_dir, "pages"))
+
+
+def op9_language_id(spark, sf_dir):
+    return langid.language_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_pii_anchors, op7_secret_automaton)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_media_fingerprints, op6_pii_anchors, op7_secret_automaton, op8_warc_archives, op9_language_id)}
+ORACLES = {"op8_warc_archives": warc.ORACLE}
