@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kerbgrid.llm import langid, media, pii, secrets, warc
+from kerbgrid.llm import decontaminate, langid, licenses, media, pii, secrets, warc
 from kerbgrid.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op3_media_fingerprints(spark, sf_dir):
     return media.media_report(table(spark, sf_dir, "documents"))
 
 
+def op5_license_index(spark, sf_dir):
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def op6_pii_anchors(spark, sf_dir):
     return pii.personal_report(table(spark, sf_dir, "documents"))
 
@@ -26,5 +30,9 @@ def op9_language_id(spark, sf_dir):
     return langid.language_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_media_fingerprints, op6_pii_anchors, op7_secret_automaton, op8_warc_archives, op9_language_id)}
+def op10_template_decontamination(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op3_media_fingerprints, op5_license_index, op6_pii_anchors, op7_secret_automaton, op8_warc_archives, op9_language_id, op10_template_decontamination)}
 ORACLES = {"op8_warc_archives": warc.ORACLE}
