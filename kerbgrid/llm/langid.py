@@ -12,15 +12,16 @@ null or has no letter is `und` with score 0; so is all when nothing could be lea
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbgrid.llm.common import map_rows, only
+from kerbgrid.llm.common import ROWS_AT_ONCE, map_rows, only
 
 #: Rows of each label that the classifier is fitted on, on average.
 PER_LANG = 800
@@ -141,6 +142,22 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return map_rows(only(docs, doc_id="long", text="string"), "doc_id long, lang_pred string, score double", make)
 
 
+def recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text has a label with at least this score."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, m = Features(_letter_table()), held.value
+        for whole in batches:
+            for a in range(0, whole.num_rows, ROWS_AT_ONCE):
+                part = whole.slice(a, ROWS_AT_ONCE)
+                found = [m.predict(*features.counts(t)) for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array([label != UND and score >= least for label, score in found]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_report(docs: DataFrame) -> DataFrame:
     out = predict(docs, train(docs))
     return out.select("doc_id", F.coalesce(remainder() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kerbgrid.llm import decontaminate, langid, licenses, media, pieces, pii, secrets, warc
+from kerbgrid.llm import decontaminate, jaccard, langid, licenses, media, pieces, pii, repeats, secrets, warc
 from kerbgrid.llm.common import table
 
 
@@ -10,10 +10,18 @@ def op1_piece_dropout(spark, sf_dir):
     return pieces.piece_report(table(spark, sf_dir, "documents"))
 
 
+def op2_repeated_strings(spark, sf_dir):
+    return repeats.repeats_report(table(spark, sf_dir, "documents"))
+
+
 def op3_media_fingerprints(spark, sf_dir):
     return media.media_report(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_relations(spark, sf_dir):
+    return jaccard.jaccard_report(table(spark, sf_dir, "documents"))
+
+
 def op5_license_index(spark, sf_dir):
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
@@ -38,5 +46,5 @@ def op10_template_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_piece_dropout, op3_media_fingerprints, op5_license_index, op6_pii_anchors, op7_secret_automaton, op8_warc_archives, op9_language_id, op10_template_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_piece_dropout, op2_repeated_strings, op3_media_fingerprints, op4_jaccard_relations, op5_license_index, op6_pii_anchors, op7_secret_automaton, op8_warc_archives, op9_language_id, op10_template_decontamination)}
 ORACLES = {"op8_warc_archives": warc.ORACLE}
