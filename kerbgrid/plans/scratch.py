@@ -1,0 +1,27 @@
+"""Intermediate tables in the folder that all executors share."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def shared_folder(spark) -> str:
+    """spark.checkpoint.dir of the session; a fresh folder is set only where there is none."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isEmpty():
+            import tempfile
+
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+            held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        path = held.get()
+    return path.rstrip("/")
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
