@@ -7,12 +7,13 @@ with nothing. Documents with equal sets are one node: (size, hash of the sorted
 
 Index. Tokens have one global order: by the level of their frequency (a sketch of CELLS counters over
 all tokens of all documents, fixed in size) and then by hash. A set's prefix, its first
-n - ceil(0.9 n) + SHARED tokens, goes to the index lists, with the set's size and the position; linked
-sets share at least SHARED prefix tokens. Lists are cut into blocks by size class: a probe joins only
-its own and the next block and skips the rest, and skips entries whose positions leave too few tokens.
+n - ceil(0.9 n) + shared(n) tokens, goes to the index lists, with the set's size and the position; linked
+sets share at least shared(n) prefix tokens, n the smaller size. Sets with fewer tokens in lists of two
+or more leave the index at once. Lists are cut into blocks by size class: a probe joins only its own and
+the next block and skips the rest, and skips entries whose positions leave too few tokens.
 
-Answers. Within a list, first each set is compared with a leader only (the smallest by a seeded hash),
-in ROUNDS rounds with other leaders. Sets that link with a leader have answers that derive from it:
+Answers. Within a list, first each set is compared with a leader only (the set with the most entries,
+then others by a seeded hash), in ROUNDS rounds. Sets that link with a leader have answers that derive from it:
 they are one component already, and pairs within a component are never looked at again. Left are
 pairs in lists that hold several components; they are counted, and verified on the whole sets.
 No link between components is lost, while a group of m copies costs about m comparisons, not m * m.
@@ -35,7 +36,10 @@ from pyspark.sql import functions as F
 from kerbgrid.llm.common import map_rows, only, written
 
 SIMILARITY = 90
-SHARED = 3
+#: shared(n) is SHARED tokens and one more for each SHARE tokens of the set.
+SHARED, SHARE = 3, 50
+#: Documents in the index up to which their ids are broadcast; beyond, texts are shuffled to them.
+BROADCAST_ROWS = 500_000
 ROUNDS = 2
 #: Smaller sets link with equal sets only: one differing token is more than a tenth of their union.
 LEAST = 9
@@ -154,7 +158,7 @@ def set_nodes(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, levels) -> DataFrame:
-    """token, n, sig, pos: the index entries of each document's set."""
+    """token, sig, place (size << 32 | position): the index entries of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, level = Shingler(), levels.value
@@ -165,7 +169,7 @@ def prefixes(docs: DataFrame, levels) -> DataFrame:
                     n = len(s)
                     if n < LEAST:
                         continue
-                    k = n - -(-SIMILARITY * n // 100) + SHARED
+                    k = n - -(-SIMILARITY * n // 100) + SHARED + n // SHARE
                     lv = level[(s >> np.uint64(44)).astype(np.int64)]
                     first = s[np.argsort(lv, kind="stable")[:k]] if lv.any() else s[:k]
                     token.append(first)
@@ -173,10 +177,10 @@ def prefixes(docs: DataFrame, levels) -> DataFrame:
                     sig.append(signature(s))
                     pos.append(len(first))
                 if token:
-                    pos_ = np.concatenate([np.arange(x) for x in pos])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.repeat(size, pos)), pa.array(np.repeat(np.array(sig, np.int64), pos)), pa.array(pos_)], ["token", "n", "sig", "pos"])
+                    place = (np.repeat(np.array(size, np.int64), pos) << 32) | np.concatenate([np.arange(x) for x in pos])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.repeat(np.array(sig, np.int64), pos)), pa.array(place)], ["token", "sig", "place"])
 
-    return only(docs, text="string").mapInArrow(run, "token long, n long, sig long, pos long")
+    return only(docs, text="string").mapInArrow(run, "token long, sig long, place long")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -207,6 +211,10 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _shared(n):
+    return F.lit(SHARED) + F.floor(n / SHARE)
+
+
 def _possible(nx, ny, i, j):
     """Whether sizes and positions of a shared token leave room for a link."""
     need = F.ceil((nx + ny) * SIMILARITY / (100 + SIMILARITY) - F.lit(1e-9))
@@ -231,10 +239,15 @@ def class_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     levels = spark.sparkContext.broadcast(token_levels(docs))
     entries = prefixes(docs, levels)
     # lists of two or more sets; a list of copies of one set is none
-    lists = entries.groupBy("token").agg(F.min(F.struct("n", "sig")).alias("low"), F.max(F.struct("n", "sig")).alias("high")).filter("low <> high").select("token")
-    entries = written(entries.join(lists, "token").groupBy("token", "n", "sig").agg(F.min("pos").alias("pos")).select("token", F.struct("n", "sig").alias("s"), "pos"), "lists")
-    named = entries.select("s.n", "s.sig").distinct().join(classes, ["n", "sig"]).select(F.col("first").alias("doc_id"))
-    sets = written(sets_of(docs.join(named.distinct(), "doc_id")).dropDuplicates(["n", "sig"]), "sets")
+    lists = entries.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).filter("low <> high").select("token")
+    entries = entries.join(lists, "token").select("token", F.struct(F.shiftright("place", 32).alias("n"), "sig").alias("s"), F.col("place").bitwiseAND((1 << 32) - 1).alias("pos"))
+    entries = written(entries.dropDuplicates(["token", "s"]), "lists")
+    enough = entries.groupBy("s").agg(F.count("*").alias("held")).filter(F.col("held") >= _shared(F.col("s.n")))
+    entries = written(entries.join(enough, "s"), "index")  # held: the set's lists, many for the centre of a group
+    named = written(enough.select("s.n", "s.sig").join(classes, ["n", "sig"]).select(F.col("first").alias("doc_id")).distinct(), "named")
+    if named.count() <= BROADCAST_ROWS:
+        named = F.broadcast(named)
+    sets = written(sets_of(docs.join(named, "doc_id")).dropDuplicates(["n", "sig"]), "sets")
     links, roots = None, None
     for turn in range(ROUNDS + 1):
         rows = entries.withColumn("root", F.col("s")) if roots is None else entries.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
@@ -242,14 +255,15 @@ def class_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             several = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
             rows = rows.join(several, "token")
         if turn < ROUNDS:
-            lead = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "s").alias("h"), "s", "pos", "root")).alias("lead"))
+            first = (F.col("held") if turn == 0 else F.lit(0)).alias("first")
+            lead = rows.groupBy("token").agg(F.max(F.struct(first, F.xxhash64(F.lit(turn), "s").alias("h"), "s", "pos", "root")).alias("lead"))
             pairs = rows.join(lead, "token").filter("root <> lead.root").filter(_possible(F.col("s.n"), F.col("lead.s.n"), F.col("pos"), F.col("lead.pos"))).select(F.col("s").alias("a"), F.col("lead.s").alias("b"))
         else:
             size_class = F.floor(F.log(F.col("s.n")) / F.lit(float(np.log(100 / SIMILARITY))))
             left = rows.select("token", F.col("s").alias("a"), F.col("pos").alias("i"), F.col("root").alias("ra"), size_class.alias("block"))
             right = rows.select("token", F.col("s").alias("b"), F.col("pos").alias("j"), F.col("root").alias("rb"), F.explode(F.array(size_class, size_class - 1)).alias("block"))
             pairs = left.join(right, ["token", "block"]).filter("a < b and ra <> rb").filter(_possible(F.col("a.n"), F.col("b.n"), F.col("i"), F.col("j"))).select("a", "b")
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= SHARED).select("a", "b")
+        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= _shared(F.least("a.n", "b.n"))).select("a", "b")
         new = verified(pairs, sets)
         links = written(new if links is None else links.union(new), "links")
         roots = components(links)
