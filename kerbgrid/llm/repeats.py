@@ -7,12 +7,14 @@ window's anchor (leftmost of equals). Equal windows have their anchors at equal
 window's anchor has a repeated FIRST-byte string, and windows need only be compared below such anchors.
 
 Doubling. At offset FIRST each anchor has a rank (the fingerprint of its FIRST bytes). Anchors are
-grouped by it, and unique ones, with all windows that they stand for, leave. An anchor whose whole
-stretch (its windows' bytes together) equals another's is done: all its windows repeat. Of the others
-one for each distinct stretch goes on: at offset THRESHOLD / 2 each of its windows is a pair of ranks
-(of the halves at the position and half a threshold on), and pairs that occur twice are repeats.
-Ranks are 64-bit fingerprints instead of dense numbers, which a distributed sort would have to hand
-out in order; the deciding pair has 128 bits. A text's identity is its 64-bit hash.
+grouped by it, and unique ones, with all windows that they stand for, leave. At the next offset the rank
+is that of an anchor's stretch (its windows' bytes together): where it equals another's, all its windows
+repeat and it is done. Of the others one for each distinct stretch goes on past the threshold: of
+at most SMALL stretches with one anchor string the common bytes left and right of the anchor are measured
+pair by pair, which gives their repeated windows; of more stretches each window becomes a pair of ranks
+(of its halves), and pairs that occur twice are repeats. Ranks are 64-bit fingerprints instead of dense
+numbers, which a distributed sort would have to hand out in order; the pairs that decide have 128 bits.
+A text's identity is its 64-bit hash.
 
 Equal whole texts are one text with a count; they are removed whole where they have THRESHOLD bytes.
 Groups are only ever counted (smallest and largest occurrence differ) and joined back by equi-joins
@@ -25,12 +27,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbgrid.llm.common import map_rows, only, written
+from kerbgrid.llm.common import ROWS_AT_ONCE, map_rows, only, written
 
-THRESHOLD, FIRST = 200, 50
+THRESHOLD, FIRST = 200, 32
 #: K-mers in a window.
 WIDTH = THRESHOLD - FIRST + 1
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -38,6 +41,11 @@ _BASE = 0x2545F4914F6CDD1D
 #: Low bits of a sort key that hold a position: texts are at most 1 GB.
 _PLACE = 30
 _WHOLE = 1 << 40
+#: Stretches with one anchor string that are compared pair by pair; more are expanded to windows.
+SMALL = 48
+#: Anchors that go on past the threshold, up to which they are broadcast to the texts; beyond, texts are
+#: shuffled to them.
+BROADCAST_ROWS = 1_000_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -85,28 +93,48 @@ def _utf8(text: str | None) -> bytes:
 
 
 def anchor_rows(texts: DataFrame) -> DataFrame:
-    """tid, at (first window start of the anchor), more (windows after it), fp (of the anchor's FIRST
-    bytes), stretch (fingerprint of the bytes of all its windows)."""
+    """tid, at (first window start of the anchor), more (windows after it), off (of the anchor from at),
+    fp (of the anchor's FIRST bytes), stretch (fingerprint of the bytes of all its windows)."""
+    schema = "tid long, at long, more int, off int, fp long, stretch long"
 
-    def make() -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         find, h = Anchors(), xxhash.xxh3_64_intdigest
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS_AT_ONCE):
+                part = whole.slice(k, ROWS_AT_ONCE)
+                places, counts, fp, stretch = [], [], [], []
+                for text in part.column(1).to_pylist():
+                    data = _utf8(text)
+                    found = find(data)
+                    places.append(np.stack(found))
+                    counts.append(len(found[0]))
+                    a, p, q = (x.tolist() for x in found)
+                    fp += [h(data[x : x + FIRST]) for x in a]
+                    stretch += [h(data[x : y + THRESHOLD]) for x, y in zip(p, q)]
+                place, first, last = np.concatenate(places, axis=1)
+                tid = np.repeat(part.column(0).to_numpy(zero_copy_only=False), counts)
+                signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(tid), pa.array(first), pa.array((last - first).astype(np.int32)), pa.array((place - first).astype(np.int32)), signed(fp), signed(stretch)], ["tid", "at", "more", "off", "fp", "stretch"])
+
+    return texts.select("tid", "text").mapInArrow(run, schema)
+
+
+def stretches(texts: DataFrame) -> DataFrame:
+    """For texts (tid, text, anchors array<struct<at,more,off,fp,alone>>) each anchor with its bytes."""
+
+    def rows(columns) -> Iterator[tuple]:
+        for tid, text, anchors in zip(*columns):
+            data = _utf8(text)
+            for a in anchors:
+                yield tid, a["at"], a["more"], a["off"], a["fp"], a["alone"], a["small"], data[a["at"] : a["at"] + a["more"] + THRESHOLD]
 
-        def rows(columns) -> Iterator[tuple]:
-            for tid, text in zip(*columns):
-                data = _utf8(text)
-                for a, p, q in zip(*(x.tolist() for x in find(data))):
-                    yield tid, p, q - p, h(data[a : a + FIRST]) - (1 << 63), h(data[p : q + THRESHOLD]) - (1 << 63)
-
-        return rows
-
-    return map_rows(texts.select("tid", "text"), "tid long, at long, more long, fp long, stretch long", make)
+    return map_rows(texts.select("tid", "text", "anchors"), "tid long, at long, more int, off int, fp long, alone boolean, small boolean, data binary", lambda: rows)
 
 
-def window_rows(texts: DataFrame) -> DataFrame:
-    """For texts (tid, text, anchors array<struct<at,more,alone>>) each window's rank pair: r1, r2, tid,
-    at, alone."""
+def window_rows(some: DataFrame) -> DataFrame:
+    """For stretches each window's rank pair: r1, r2, tid, at, alone."""
 
     def make() -> Callable:
         import xxhash
@@ -114,15 +142,64 @@ def window_rows(texts: DataFrame) -> DataFrame:
         h, half = xxhash.xxh3_64_intdigest, THRESHOLD // 2
 
         def rows(columns) -> Iterator[tuple]:
-            for tid, text, anchors in zip(*columns):
-                data = _utf8(text)
-                for a in anchors:
-                    for p in range(a["at"], a["at"] + a["more"] + 1):
-                        yield h(data[p : p + half]) - (1 << 63), h(data[p + half : p + THRESHOLD]) - (1 << 63), tid, p, a["alone"]
+            for tid, at, more, alone, data in zip(*columns):
+                for p in range(more + 1):
+                    yield h(data[p : p + half]) - (1 << 63), h(data[p + half : p + THRESHOLD]) - (1 << 63), tid, at + p, alone
 
         return rows
 
-    return map_rows(texts.select("tid", "text", "anchors"), "r1 long, r2 long, tid long, at long, alone boolean", make)
+    return map_rows(some.select("tid", "at", "more", "alone", "data"), "r1 long, r2 long, tid long, at long, alone boolean", make)
+
+
+def _common(a: bytes, b: bytes, order: str) -> int:
+    """Bytes that a and b have in common at their start (little) or end (big)."""
+    n = min(len(a), len(b))
+    x, y = (a[:n], b[:n]) if order == "little" else (a[len(a) - n :], b[len(b) - n :])
+    if x == y:
+        return n
+    d = int.from_bytes(x, "little" if order == "little" else "big") ^ int.from_bytes(y, "little" if order == "little" else "big")
+    return ((d & -d).bit_length() - 1) // 8
+
+
+def pair_spans(group: list[tuple]) -> Iterator[tuple[int, int, int]]:
+    """(tid, start, end) of repeated windows in stretches (tid, at, more, off, alone, data) of one anchor
+    string: a window with i bytes before the anchor repeats in another stretch that shares i bytes before
+    it and the rest after it."""
+    for k, (tid, at, more, off, alone, data) in enumerate(group):
+        if not alone:
+            continue
+        for j, (_, _, _, other_off, _, other) in enumerate(group):
+            if j == k:
+                continue
+            left = _common(data[:off], other[:other_off], "big")
+            right = _common(data[off:], other[other_off:], "little")
+            low, high = max(THRESHOLD - right, off - more), min(left, off)
+            if low <= high:
+                yield tid, at + off - high, at + off - low + THRESHOLD
+
+
+def small_group_spans(some: DataFrame) -> DataFrame:
+    """tid, start, end by pair_spans; groups come sorted, each of at most SMALL rows, one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, now = [], None
+        for batch in batches:
+            out: list[tuple] = []
+            for fp, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if fp != now:
+                    out += pair_spans(group)
+                    group, now = [], fp
+                group.append(tuple(row))
+            yield _spans(out)
+        yield _spans(list(pair_spans(group)))
+
+    rows = some.select("fp", "tid", "at", "more", "off", "alone", "data").repartition("fp").sortWithinPartitions("fp")
+    return rows.mapInArrow(run, "tid long, start long, end long")
+
+
+def _spans(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["tid", "start", "end"])
 
 
 def _twice(rows: DataFrame, *key: str) -> DataFrame:
@@ -136,19 +213,25 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     with repeats. A whole repeated text has the end _WHOLE."""
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"), "text")
     anchors = written(anchor_rows(texts), "anchors")
-    found = anchors.join(_twice(anchors, "fp"), "fp")
-    # copies give the same rows: one of each
-    found = written(found.dropDuplicates(["tid", "at"]), "found")
-    kinds = found.groupBy("fp", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("tid", "at")).alias("one"))
+    found = written(anchors.join(_twice(anchors, "fp"), "fp"), "found")
+    # copies give equal rows, which are one place
+    place = F.xxhash64("tid", "at")
+    kinds = found.groupBy("fp", "stretch").agg(F.min(place).alias("one"), F.max(place).alias("last"))
     several = kinds.groupBy("fp").agg(F.count("*").alias("kinds"))
-    found = written(found.join(kinds, ["fp", "stretch"]).join(several, "fp"), "ranked")
-    whole = found.filter("n > 1").select("tid", F.col("at").alias("start"), (F.col("at") + F.col("more") + THRESHOLD).alias("end"))
-    open_ = found.filter("kinds > 1 and one.tid = tid and one.at = at").groupBy("tid").agg(F.collect_list(F.struct("at", "more", (F.col("n") == 1).alias("alone"))).alias("anchors"))
-    once = texts.join(open_, "tid").dropDuplicates(["tid"])
-    windows = written(window_rows(once), "windows")
+    kinds = kinds.join(several, "fp").select("fp", "stretch", "one", (F.col("one") == F.col("last")).alias("alone"), "kinds")
+    ranked = found.join(kinds, ["fp", "stretch"])
+    whole = ranked.filter("not alone").select("tid", F.col("at").alias("start"), (F.col("at") + F.col("more") + THRESHOLD).alias("end"))
+    going = ranked.filter((F.col("kinds") > 1) & (place == F.col("one"))).groupBy("tid", "at").agg(*[F.first(c).alias(c) for c in ("more", "off", "fp", "alone", "kinds")])
+    anchor = F.struct("at", "more", "off", "fp", "alone", (F.col("kinds") <= SMALL).alias("small"))
+    going = written(going.groupBy("tid").agg(F.collect_list(anchor).alias("anchors")), "open")
+    if going.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
+        going = F.broadcast(going)
+    some = written(stretches(texts.join(going, "tid")).dropDuplicates(["tid", "at"]), "stretches")
+    near = small_group_spans(some.filter("small"))
+    windows = written(window_rows(some.filter("not small")), "windows")
     ends = windows.filter("alone").join(_twice(windows, "r1", "r2"), ["r1", "r2"]).select("tid", F.col("at").alias("start"), (F.col("at") + THRESHOLD).alias("end"))
     copies = texts.groupBy("tid").agg(F.count("*").alias("n")).filter("n > 1").select("tid", F.lit(0).cast("long").alias("start"), F.lit(_WHOLE).alias("end"))
-    return whole.union(ends).union(copies).groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return whole.union(near).union(ends).union(copies).groupBy("tid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
