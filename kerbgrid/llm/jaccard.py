@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbgrid.llm.common import map_rows, only, written
+from kerbgrid.llm.common import map_rows, only, slices, written
 
 SIMILARITY = 90
 #: shared(n) is SHARED tokens and one more for each SHARE tokens of the set.
@@ -45,7 +45,7 @@ ROUNDS = 2
 LEAST = 9
 CELLS, BLOCKS = 1 << 20, 64
 #: Bytes of text that become arrays at once.
-BYTES_AT_ONCE = 1 << 21
+BYTES_AT_ONCE = 1 << 19
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -124,8 +124,8 @@ def token_levels(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, cells = Shingler(), np.zeros(CELLS, np.uint32)
         for whole in batches:
-            for a in range(0, whole.num_rows, 256):
-                for s in shingler.sets(whole.column(0).slice(a, 256).to_pylist()):
+            for part in slices(whole):
+                for s in shingler.sets(part.column(0).to_pylist()):
                     np.add.at(cells, (s >> np.uint64(44)).astype(np.int64), 1)
         for k, part in enumerate(np.split(cells, BLOCKS)):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["block", "counts"])
@@ -163,9 +163,9 @@ def prefixes(docs: DataFrame, levels) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, level = Shingler(), levels.value
         for whole in batches:
-            for a in range(0, whole.num_rows, 256):
+            for part in slices(whole):
                 token, size, sig, pos = [], [], [], []
-                for s in shingler.sets(whole.column(0).slice(a, 256).to_pylist()):
+                for s in shingler.sets(part.column(0).to_pylist()):
                     n = len(s)
                     if n < LEAST:
                         continue

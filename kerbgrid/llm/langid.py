@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbgrid.llm.common import ROWS_AT_ONCE, map_rows, only
+from kerbgrid.llm.common import map_rows, only, slices
 
 #: Rows of each label that the classifier is fitted on, on average.
 PER_LANG = 800
@@ -150,8 +150,7 @@ def recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, m = Features(_letter_table()), held.value
         for whole in batches:
-            for a in range(0, whole.num_rows, ROWS_AT_ONCE):
-                part = whole.slice(a, ROWS_AT_ONCE)
+            for part in slices(whole):
                 found = [m.predict(*features.counts(t)) for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array([label != UND and score >= least for label, score in found]))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbgrid.llm.common import ROWS_AT_ONCE, only
+from kerbgrid.llm.common import only, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 20
@@ -271,8 +271,7 @@ def encoded(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(words.value, dropout, seed)
         for whole in batches:
-            for a in range(0, whole.num_rows, ROWS_AT_ONCE):
-                part = whole.slice(a, ROWS_AT_ONCE)
+            for part in slices(whole):
                 texts = part.column(1).to_pylist()
                 ids = encoder.encode(list(zip(part.column(0).to_pylist(), texts)))
                 raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
@@ -291,8 +290,7 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, whole.num_rows, ROWS_AT_ONCE):
-                part = whole.slice(a, ROWS_AT_ONCE)
+            for part in slices(whole):
                 texts = [decode(x.values.to_numpy().tolist(), words.value) for x in part.column(3)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["doc_id", "n_bytes", "text_sha256", "ids", "text"])
 

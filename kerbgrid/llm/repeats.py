@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbgrid.llm.common import ROWS_AT_ONCE, map_rows, only, written
+from kerbgrid.llm.common import map_rows, only, slices, written
 
 THRESHOLD, FIRST = 200, 32
 #: K-mers in a window.
@@ -102,8 +102,7 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
 
         find, h = Anchors(), xxhash.xxh3_64_intdigest
         for whole in batches:
-            for k in range(0, whole.num_rows, ROWS_AT_ONCE):
-                part = whole.slice(k, ROWS_AT_ONCE)
+            for part in slices(whole):
                 places, counts, fp, stretch = [], [], [], []
                 for text in part.column(1).to_pylist():
                     data = _utf8(text)
