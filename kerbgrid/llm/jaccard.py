@@ -15,7 +15,8 @@ the next block and skips the rest, and skips entries whose positions leave too f
 Answers. Within a list, first each set is compared with a leader only (the set with the most entries,
 then others by a seeded hash), in ROUNDS rounds. Sets that link with a leader have answers that derive from it:
 they are one component already, and pairs within a component are never looked at again. Left are
-pairs in lists that hold several components; they are counted, and verified on the whole sets.
+pairs in lists that hold several components. Set distance is a metric, so two sets whose distances to
+their list's leader differ by over a tenth cannot link; the rest is counted, and verified on whole sets.
 No link between components is lost, while a group of m copies costs about m comparisons, not m * m.
 
 Components come from large-star and small-star steps on tables in the shared folder. Copies, hot
@@ -211,23 +212,44 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _prefix(n):
+    """Length of a set's prefix."""
+    return F.floor(n * (100 - SIMILARITY) / F.lit(100)) + SHARED + F.floor(n / SHARE)
+
+
+def _need(nx, ny):
+    """Tokens that linked sets of these sizes have in common at least."""
+    return F.ceil((nx + ny) * SIMILARITY / (100 + SIMILARITY) - F.lit(1e-9))
+
+
 def _shared(n):
+    """Prefix tokens that a set has in common with any set that it links with, at least."""
     return F.lit(SHARED) + F.floor(n / SHARE)
 
 
+def _shared_of(nx, ny):
+    """The same for two known sizes: of x's prefix at most nx - need tokens are not y's."""
+    need = _need(nx, ny)
+    return F.least(_prefix(nx) - nx + need, _prefix(ny) - ny + need)
+
+
 def _possible(nx, ny, i, j):
     """Whether sizes and positions of a shared token leave room for a link."""
-    need = F.ceil((nx + ny) * SIMILARITY / (100 + SIMILARITY) - F.lit(1e-9))
     left = F.least(i, j) + 1 + F.least(nx - i - 1, ny - j - 1)
-    return (100 * F.least(nx, ny) >= SIMILARITY * F.greatest(nx, ny)) & (left >= need)
+    return (100 * F.least(nx, ny) >= SIMILARITY * F.greatest(nx, ny)) & (left >= _need(nx, ny))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b of struct<n,sig>) that link, by their whole sets."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b of struct<n,sig>) with both (common tokens) and far (set distance)."""
     one = sets.select(F.struct("n", "sig").alias("a"), F.col("tokens").alias("ta"))
     two = sets.select(F.struct("n", "sig").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(one, "a").join(two, "b").filter(100 * both >= SIMILARITY * (F.size("ta") + F.size("tb") - both)).select("a", "b")
+    found = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"))
+    return found.withColumn("far", 1 - F.col("both") / (F.col("a.n") + F.col("b.n") - F.col("both")))
+
+
+def _links(found: DataFrame) -> DataFrame:
+    return found.filter(100 * F.col("both") >= SIMILARITY * (F.col("a.n") + F.col("b.n") - F.col("both"))).select("a", "b")
 
 
 def class_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -248,7 +270,7 @@ def class_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if named.count() <= BROADCAST_ROWS:
         named = F.broadcast(named)
     sets = written(sets_of(docs.join(named, "doc_id")).dropDuplicates(["n", "sig"]), "sets")
-    links, roots = None, None
+    links, roots, leaders, known = None, None, None, None
     for turn in range(ROUNDS + 1):
         rows = entries.withColumn("root", F.col("s")) if roots is None else entries.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
         if roots is not None:
@@ -256,16 +278,21 @@ def class_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             rows = rows.join(several, "token")
         if turn < ROUNDS:
             first = (F.col("held") if turn == 0 else F.lit(0)).alias("first")
-            lead = rows.groupBy("token").agg(F.max(F.struct(first, F.xxhash64(F.lit(turn), "s").alias("h"), "s", "pos", "root")).alias("lead"))
-            pairs = rows.join(lead, "token").filter("root <> lead.root").filter(_possible(F.col("s.n"), F.col("lead.s.n"), F.col("pos"), F.col("lead.pos"))).select(F.col("s").alias("a"), F.col("lead.s").alias("b"))
+            leads = rows.groupBy("token").agg(F.max(F.struct(first, F.xxhash64(F.lit(turn), "s").alias("h"), "s", "pos", "root")).alias("lead"))
+            pairs = rows.join(leads, "token").filter("root <> lead.root").filter(_possible(F.col("s.n"), F.col("lead.s.n"), F.col("pos"), F.col("lead.pos"))).select(F.col("s").alias("a"), F.col("lead.s").alias("b"))
         else:
+            # each entry's distance to the leader its list had at first, where they were compared
+            near = known.select(F.col("a").alias("s"), F.col("b").alias("lead"), "far")
+            rows = rows.join(leaders, "token").join(near, ["s", "lead"], "left").withColumn("far", F.when(F.col("s") == F.col("lead"), 0.0).otherwise(F.col("far")))
             size_class = F.floor(F.log(F.col("s.n")) / F.lit(float(np.log(100 / SIMILARITY))))
-            left = rows.select("token", F.col("s").alias("a"), F.col("pos").alias("i"), F.col("root").alias("ra"), size_class.alias("block"))
-            right = rows.select("token", F.col("s").alias("b"), F.col("pos").alias("j"), F.col("root").alias("rb"), F.explode(F.array(size_class, size_class - 1)).alias("block"))
-            pairs = left.join(right, ["token", "block"]).filter("a < b and ra <> rb").filter(_possible(F.col("a.n"), F.col("b.n"), F.col("i"), F.col("j"))).select("a", "b")
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= _shared(F.least("a.n", "b.n"))).select("a", "b")
-        new = verified(pairs, sets)
-        links = written(new if links is None else links.union(new), "links")
+            left = rows.select("token", F.col("s").alias("a"), F.col("pos").alias("i"), F.col("root").alias("ra"), F.col("far").alias("fa"), size_class.alias("block"))
+            right = rows.select("token", F.col("s").alias("b"), F.col("pos").alias("j"), F.col("root").alias("rb"), F.col("far").alias("fb"), F.explode(F.array(size_class, size_class - 1)).alias("block"))
+            pairs = left.join(right, ["token", "block"]).filter("a < b and ra <> rb").filter(F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= (100 - SIMILARITY) / 100 + 1e-9, F.lit(True))).filter(_possible(F.col("a.n"), F.col("b.n"), F.col("i"), F.col("j"))).select("a", "b")
+        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= _shared_of(F.col("a.n"), F.col("b.n"))).select("a", "b")
+        new = written(compared(pairs, sets), "compared")
+        if turn == 0:
+            known, leaders = new, written(leads.select("token", F.col("lead.s").alias("lead")), "leaders")
+        links = _links(new) if links is None else links.union(_links(new))
         roots = components(links)
     found = classes.withColumn("s", F.struct("n", "sig")).join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     least = found.groupBy("root").agg(F.min("first").alias("component_id"))
