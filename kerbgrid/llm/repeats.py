@@ -41,6 +41,8 @@ _BASE = 0x2545F4914F6CDD1D
 #: Low bits of a sort key that hold a position: texts are at most 1 GB.
 _PLACE = 30
 _WHOLE = 1 << 40
+#: Windows are looked at with this stride first.
+STRIDE = 8
 #: Stretches with one anchor string that are compared pair by pair; more are expanded to windows.
 SMALL = 48
 #: Anchors that go on past the threshold, up to which they are broadcast to the texts; beyond, texts are
@@ -132,8 +134,10 @@ def stretches(texts: DataFrame) -> DataFrame:
     return map_rows(texts.select("tid", "text", "anchors"), "tid long, at long, more int, off int, fp long, alone boolean, small boolean, data binary", lambda: rows)
 
 
-def window_rows(some: DataFrame) -> DataFrame:
-    """For stretches each window's rank pair: r1, r2, tid, at, alone."""
+def window_rows(some: DataFrame, strides: bool) -> DataFrame:
+    """For stretches (with low and high) the rank pairs of their windows: r1, r2, tid, at, stretch, asked.
+    Equal windows have equally many bytes before their anchor, so those with a multiple of STRIDE
+    (strides) and the others match among themselves. Windows between low and high are partners only."""
 
     def make() -> Callable:
         import xxhash
@@ -141,13 +145,34 @@ def window_rows(some: DataFrame) -> DataFrame:
         h, half = xxhash.xxh3_64_intdigest, THRESHOLD // 2
 
         def rows(columns) -> Iterator[tuple]:
-            for tid, at, more, alone, data in zip(*columns):
+            for tid, at, more, off, alone, data, low, high in zip(*columns):
                 for p in range(more + 1):
-                    yield h(data[p : p + half]) - (1 << 63), h(data[p + half : p + THRESHOLD]) - (1 << 63), tid, at + p, alone
+                    if ((off - p) % STRIDE == 0) == strides:
+                        asked = alone and (low is None or not low < at + p < high)
+                        yield h(data[p : p + half]) - (1 << 63), h(data[p + half : p + THRESHOLD]) - (1 << 63), tid, at + p, at, asked
 
         return rows
 
-    return map_rows(some.select("tid", "at", "more", "alone", "data"), "r1 long, r2 long, tid long, at long, alone boolean", make)
+    return map_rows(some.select("tid", "at", "more", "off", "alone", "data", "low", "high"), "r1 long, r2 long, tid long, at long, stretch long, asked boolean", make)
+
+
+def _repeated_windows(windows: DataFrame) -> DataFrame:
+    """tid, stretch, low, high: the first and last repeated window of each stretch."""
+    hits = windows.filter("asked").join(_twice(windows, "r1", "r2"), ["r1", "r2"])
+    return hits.groupBy("tid", "stretch").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+
+
+def window_spans(some: DataFrame) -> DataFrame:
+    """tid, start, end of repeated windows in stretches. A stretch has fewer windows than THRESHOLD, so
+    its first and last repeated window cover all between: every STRIDE-th window is looked at first,
+    then the rest outside what those cover."""
+    none = F.lit(None).cast("long")
+    first = _repeated_windows(written(window_rows(some.withColumn("low", none).withColumn("high", none), True), "windows"))
+    first = written(first, "edges")
+    rest = some.join(first.withColumnRenamed("stretch", "at"), ["tid", "at"], "left")
+    second = _repeated_windows(written(window_rows(rest, False), "windows"))
+    both = first.unionByName(second).groupBy("tid", "stretch").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return both.select("tid", F.col("low").alias("start"), (F.col("high") + THRESHOLD).alias("end"))
 
 
 def _common(a: bytes, b: bytes, order: str) -> int:
@@ -227,8 +252,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         going = F.broadcast(going)
     some = written(stretches(texts.join(going, "tid")).dropDuplicates(["tid", "at"]), "stretches")
     near = small_group_spans(some.filter("small"))
-    windows = written(window_rows(some.filter("not small")), "windows")
-    ends = windows.filter("alone").join(_twice(windows, "r1", "r2"), ["r1", "r2"]).select("tid", F.col("at").alias("start"), (F.col("at") + THRESHOLD).alias("end"))
+    ends = window_spans(some.filter("not small"))
     copies = texts.groupBy("tid").agg(F.count("*").alias("n")).filter("n > 1").select("tid", F.lit(0).cast("long").alias("start"), F.lit(_WHOLE).alias("end"))
     return whole.union(near).union(ends).union(copies).groupBy("tid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
