@@ -22,6 +22,7 @@ from re import _parser as parser
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kerbgrid.llm.common import map_rows, only
 
@@ -30,18 +31,14 @@ BYTES = range(256)
 
 @dataclass(frozen=True)
 class Rule:
-    """kind: name of its spans. core, whole: expressions over bytes. least: bytes that the last
-    byte_class characters of a match must have at least (0: any match counts)."""
+    """kind: name of its spans. cores, whole: expressions over bytes; fold: letters in either case."""
 
     kind: str
     cores: tuple[str, ...]
     whole: str
-    least: int = 0
-    tail: bytes = b""
     fold: bool = False
 
 
-WORD = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 #: The base kinds, in their order, then the kinds this method adds.
 RULES = (
     Rule("assign", ("password", "passwd", "secret", "token", "api_key", "apikey"), r"""(password|passwd|secret|token|api_?key)["']? *[:=] *["']?[A-Za-z0-9+/_.=-]+""", fold=True),
@@ -293,8 +290,6 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     names = [x for x in docs.columns if x != "text"]
     kinds = {f.name: f.dataType for f in docs.schema.fields}
-    from pyspark.sql import types as T
-
     schema = T.StructType([T.StructField(x, kinds[x]) for x in names] + [T.StructField("text", T.StringType())])
     out = map_rows(docs.select(*[F.col(f"`{x}`") for x in names], "text"), schema, make)
     if "n_chars" in names:
