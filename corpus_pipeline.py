@@ -38,8 +38,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, ids and lossless of each document."""
-    rows = pieces.decoded(pieces.encoded(docs))
-    return rows.select("doc_id", "n_bytes", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("text", 256) == F.col("text_sha256")).alias("lossless"))
+    return pieces.round_trips(docs).select("doc_id", "n_bytes", F.size("ids").cast("long").alias("n_tokens"), "ids", "lossless")
 
 
 STAGES = [

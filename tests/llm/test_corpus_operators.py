@@ -147,6 +147,8 @@ def test_piece_report(spark):
     got = pieces.piece_report(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS ids")).collect()
     assert len(got) == len(rows) and all(r["lossless"] for r in got)
     assert pieces.piece_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    two = pieces.decoded(pieces.encoded(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert sorted(r["text"] for r in two) == sorted(t or "" for _, t in rows)
 
 
 def test_pipeline_stages(spark, texts, tmp_path):
