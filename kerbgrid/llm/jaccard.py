@@ -10,7 +10,8 @@ all tokens of all documents, fixed in size) and then by hash. A set's prefix, it
 n - ceil(0.9 n) + shared(n) tokens, goes to the index lists, with the set's size and the position; linked
 sets share at least shared(n) prefix tokens, n the smaller size. Sets with fewer tokens in lists of two
 or more leave the index at once. Lists are cut into blocks by size class: a probe joins only its own and
-the next block and skips the rest, and skips entries whose positions leave too few tokens.
+the next block and skips the rest, and skips entries whose positions leave too few tokens or lie past
+the shorter prefix that two known sizes need.
 
 Answers. Within a list, first each set is compared with a leader only (the set with the most entries,
 then others by a seeded hash), in ROUNDS rounds. Sets that link with a leader have answers that derive from it:
@@ -212,31 +213,23 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _prefix(n):
-    """Length of a set's prefix."""
-    return F.floor(n * (100 - SIMILARITY) / F.lit(100)) + SHARED + F.floor(n / SHARE)
-
-
 def _need(nx, ny):
     """Tokens that linked sets of these sizes have in common at least."""
     return F.ceil((nx + ny) * SIMILARITY / (100 + SIMILARITY) - F.lit(1e-9))
 
 
 def _shared(n):
-    """Prefix tokens that a set has in common with any set that it links with, at least."""
-    return F.lit(SHARED) + F.floor(n / SHARE)
-
-
-def _shared_of(nx, ny):
-    """The same for two known sizes: of x's prefix at most nx - need tokens are not y's."""
-    need = _need(nx, ny)
-    return F.least(_prefix(nx) - nx + need, _prefix(ny) - ny + need)
+    """Prefix tokens that a set has in common with any set that it links with, at least: shared() of the
+    smallest partner that it can have."""
+    return F.lit(SHARED) + F.floor(F.ceil(n * SIMILARITY / F.lit(100)) / SHARE)
 
 
 def _possible(nx, ny, i, j):
-    """Whether sizes and positions of a shared token leave room for a link."""
+    """Whether sizes and positions of a common token leave room for a link. Linked sets have SHARED
+    tokens in common within their first n - need + SHARED, so later entries are skipped."""
+    need = _need(nx, ny)
     left = F.least(i, j) + 1 + F.least(nx - i - 1, ny - j - 1)
-    return (100 * F.least(nx, ny) >= SIMILARITY * F.greatest(nx, ny)) & (left >= _need(nx, ny))
+    return (100 * F.least(nx, ny) >= SIMILARITY * F.greatest(nx, ny)) & (left >= need) & (i < nx - need + SHARED) & (j < ny - need + SHARED)
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -288,7 +281,7 @@ def class_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             left = rows.select("token", F.col("s").alias("a"), F.col("pos").alias("i"), F.col("root").alias("ra"), F.col("far").alias("fa"), size_class.alias("block"))
             right = rows.select("token", F.col("s").alias("b"), F.col("pos").alias("j"), F.col("root").alias("rb"), F.col("far").alias("fb"), F.explode(F.array(size_class, size_class - 1)).alias("block"))
             pairs = left.join(right, ["token", "block"]).filter("a < b and ra <> rb").filter(F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= (100 - SIMILARITY) / 100 + 1e-9, F.lit(True))).filter(_possible(F.col("a.n"), F.col("b.n"), F.col("i"), F.col("j"))).select("a", "b")
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= _shared_of(F.col("a.n"), F.col("b.n"))).select("a", "b")
+        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= SHARED).select("a", "b")
         new = written(compared(pairs, sets), "compared")
         if turn == 0:
             known, leaders = new, written(leads.select("token", F.col("lead.s").alias("lead")), "leaders")
