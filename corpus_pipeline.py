@@ -2,7 +2,8 @@
 
 All stages but the last return the columns of documents (and any other columns that came in):
 language ID drops documents without letters or with a label less likely than LEAST_SCORE; the n-gram
-Jaccard join keeps the document with the smallest id of each component; benchmark decontamination
+Jaccard join (shingles of NEAR_WORDS words, NEAR_SIMILARITY per cent) keeps the document with the
+smallest id of each component; benchmark decontamination
 drops documents that hold SIMILARITY of an item's windows; secret scans replace secrets by <secret>;
 SentencePiece encoding returns the ids of each document, decoded and compared.
 Null texts are dropped by the first stage; an empty table stays empty throughout.
@@ -17,6 +18,8 @@ from kerbgrid.llm import decontaminate, jaccard, langid, pieces, secrets
 from kerbgrid.llm.common import table, written
 
 LEAST_SCORE = 0.5
+#: Words of a shingle, and per cent of the union that near copies share.
+NEAR_WORDS, NEAR_SIMILARITY = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.deduplicated(docs)
+    return jaccard.deduplicated(docs, NEAR_WORDS, NEAR_SIMILARITY)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

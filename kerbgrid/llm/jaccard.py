@@ -1,13 +1,14 @@
 """N-gram Jaccard join with set-relation skipping.
 
-Sets. A document's set is its distinct 3-word shingles as 64-bit hashes (ASCII upper case lowered,
-words cut at ASCII white space; with one or two words the sequence is the one shingle). Two documents
-link when 100 * intersection >= 90 * union. Null, empty and wordless texts have empty sets and link
+Sets. A document's set is its distinct shingles of so many words (WORDS, if not given) as 64-bit
+hashes (ASCII upper case lowered, words cut at ASCII white space; with fewer words the sequence is the
+one shingle). Two documents link when 100 * intersection >= similarity * union (SIMILARITY, if not
+given; under 100). All bounds below follow from the two; figures are those of 90. Null, empty and wordless texts have empty sets and link
 with nothing. Documents with equal sets are one node: (size, hash of the sorted set).
 
 Index. Tokens have one global order: by the level of their frequency (a sketch of CELLS counters over
 all tokens of all documents, fixed in size) and then by hash. A set's prefix, its first
-n - ceil(0.9 n) + shared(n) tokens, goes to the index lists, with the set's size and the position; linked
+n - ceil(similarity n) + shared(n) tokens, goes to the index lists, with the set's size and the position; linked
 sets share at least shared(n) prefix tokens, n the smaller size. Sets with fewer tokens in lists of two
 or more leave the index at once. Lists are cut into blocks by size class: a probe joins only its own and
 the next block and skips the rest, and skips entries whose positions leave too few tokens or lie past
@@ -17,7 +18,7 @@ Answers. Within a list, first each set is compared with a leader only (the set w
 then others by a seeded hash), in ROUNDS rounds. Sets that link with a leader have answers that derive from it:
 they are one component already, and pairs within a component are never looked at again. Left are
 pairs in lists that hold several components. Set distance is a metric, so two sets whose distances to
-their list's leader differ by over a tenth cannot link; the rest is counted, and verified on whole sets.
+their list's leader differ by over 1 - similarity cannot link; the rest is counted, and verified on whole sets.
 No link between components is lost, while a group of m copies costs about m comparisons, not m * m.
 
 Components come from large-star and small-star steps on tables in the shared folder. Copies, hot
@@ -37,14 +38,12 @@ from pyspark.sql import functions as F
 
 from kerbgrid.llm.common import map_rows, only, slices, written
 
-SIMILARITY = 90
+WORDS, SIMILARITY = 3, 90
 #: shared(n) is SHARED tokens and one more for each SHARE tokens of the set.
 SHARED, SHARE = 3, 50
 #: Documents in the index up to which their ids are broadcast; beyond, texts are shuffled to them.
 BROADCAST_ROWS = 500_000
 ROUNDS = 2
-#: Smaller sets link with equal sets only: one differing token is more than a tenth of their union.
-LEAST = 9
 CELLS, BLOCKS = 1 << 20, 64
 #: Bytes of text that become arrays at once.
 BYTES_AT_ONCE = 1 << 19
@@ -67,7 +66,8 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 class Shingler:
     """Sets of texts, many at once by array arithmetic."""
 
-    def __init__(self) -> None:
+    def __init__(self, width: int = WORDS) -> None:
+        self.width = width
         self.powers, self.inverses = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def _grow(self, n: int) -> None:
@@ -104,14 +104,27 @@ class Shingler:
     def _sets(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         h, of = self.words(texts)
         ends = np.cumsum(np.bincount(of, minlength=len(texts)))
-        three = _mixed(h[:-2] * _A + _mixed(h[1:-1] * _B + _mixed(h[2:] * _C))) if len(h) > 2 else h[:0]
+        every = _shingles(h, self.width)
         for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
-            if b - a > 2:
-                yield np.unique(three[a : b - 2])
-            elif b > a:
-                yield _mixed(h[a : a + 1] * _A + (_mixed(h[b - 1 : b] * _C) if b - a == 2 else np.uint64(7)) * np.uint64(b - a))
+            if b - a >= self.width:
+                yield np.unique(every[a : b - self.width + 1])
             else:
-                yield h[:0]
+                yield _shingles(h[a:b], b - a) if b > a else h[:0]
+
+
+def _shingles(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of width word hashes."""
+    n = max(len(h) - width + 1, 0)
+    x = _mixed(h[width - 1 :] * _C) if n else h[:0]
+    for k in range(width - 2, 0, -1):
+        x = _mixed(h[k : k + n] * _B + x)
+    return _mixed(h[:n] * _A + x)
+
+
+def least(similarity: int) -> int:
+    """The smallest set that links with other sets than equal ones: one differing token is more than
+    1 - similarity of the union of smaller ones."""
+    return -(-similarity // (100 - similarity))
 
 
 def signature(tokens: np.ndarray) -> int:
@@ -120,11 +133,11 @@ def signature(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), 11)).astype(np.int64))
 
 
-def token_levels(docs: DataFrame) -> np.ndarray:
+def token_levels(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     """Level of each sketch cell: 0 up to four times the mean count, then one more for each doubling."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, cells = Shingler(), np.zeros(CELLS, np.uint32)
+        shingler, cells = Shingler(words), np.zeros(CELLS, np.uint32)
         for whole in batches:
             for part in slices(whole):
                 for s in shingler.sets(part.column(0).to_pylist()):
@@ -149,29 +162,29 @@ def token_levels(docs: DataFrame) -> np.ndarray:
     return np.where(share > 1, np.ceil(np.log2(np.maximum(share, 1))), 0).astype(np.uint8)
 
 
-def set_nodes(docs: DataFrame) -> DataFrame:
+def set_nodes(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n (size of the set) and sig of each row."""
 
     def make() -> Callable:
-        shingler = Shingler()
+        shingler = Shingler(words)
         return lambda columns: ((k, len(s), signature(s)) for k, s in zip(columns[0], shingler.sets(columns[1])))
 
     return map_rows(only(docs, doc_id="long", text="string"), "doc_id long, n long, sig long", make)
 
 
-def prefixes(docs: DataFrame, levels) -> DataFrame:
+def prefixes(docs: DataFrame, levels, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """token, sig, place (size << 32 | position): the index entries of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, level = Shingler(), levels.value
+        shingler, level = Shingler(words), levels.value
         for whole in batches:
             for part in slices(whole):
                 token, size, sig, pos = [], [], [], []
                 for s in shingler.sets(part.column(0).to_pylist()):
                     n = len(s)
-                    if n < LEAST:
+                    if n < least(similarity):
                         continue
-                    k = n - -(-SIMILARITY * n // 100) + SHARED + n // SHARE
+                    k = n - -(-similarity * n // 100) + SHARED + n // SHARE
                     lv = level[(s >> np.uint64(44)).astype(np.int64)]
                     first = s[np.argsort(lv, kind="stable")[:k]] if lv.any() else s[:k]
                     token.append(first)
@@ -185,11 +198,11 @@ def prefixes(docs: DataFrame, levels) -> DataFrame:
     return only(docs, text="string").mapInArrow(run, "token long, sig long, place long")
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """n, sig and the whole set of each document."""
 
     def make() -> Callable:
-        shingler = Shingler()
+        shingler = Shingler(words)
         return lambda columns: ((len(s), signature(s), s.view(np.int64)) for s in shingler.sets(columns[0]))
 
     return map_rows(only(docs, text="string"), "n long, sig long, tokens array<long>", make)
@@ -213,23 +226,23 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _need(nx, ny):
+def _need(nx, ny, similarity):
     """Tokens that linked sets of these sizes have in common at least."""
-    return F.ceil((nx + ny) * SIMILARITY / (100 + SIMILARITY) - F.lit(1e-9))
+    return F.ceil((nx + ny) * similarity / (100 + similarity) - F.lit(1e-9))
 
 
-def _shared(n):
+def _shared(n, similarity):
     """Prefix tokens that a set has in common with any set that it links with, at least: shared() of the
     smallest partner that it can have."""
-    return F.lit(SHARED) + F.floor(F.ceil(n * SIMILARITY / F.lit(100)) / SHARE)
+    return F.lit(SHARED) + F.floor(F.ceil(n * similarity / F.lit(100)) / SHARE)
 
 
-def _possible(nx, ny, i, j):
+def _possible(nx, ny, i, j, similarity):
     """Whether sizes and positions of a common token leave room for a link. Linked sets have SHARED
     tokens in common within their first n - need + SHARED, so later entries are skipped."""
-    need = _need(nx, ny)
+    need = _need(nx, ny, similarity)
     left = F.least(i, j) + 1 + F.least(nx - i - 1, ny - j - 1)
-    return (100 * F.least(nx, ny) >= SIMILARITY * F.greatest(nx, ny)) & (left >= need) & (i < nx - need + SHARED) & (j < ny - need + SHARED)
+    return (100 * F.least(nx, ny) >= similarity * F.greatest(nx, ny)) & (left >= need) & (i < nx - need + SHARED) & (j < ny - need + SHARED)
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -241,28 +254,28 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return found.withColumn("far", 1 - F.col("both") / (F.col("a.n") + F.col("b.n") - F.col("both")))
 
 
-def _links(found: DataFrame) -> DataFrame:
-    return found.filter(100 * F.col("both") >= SIMILARITY * (F.col("a.n") + F.col("b.n") - F.col("both"))).select("a", "b")
+def _links(found: DataFrame, similarity: int) -> DataFrame:
+    return found.filter(100 * F.col("both") >= similarity * (F.col("a.n") + F.col("b.n") - F.col("both"))).select("a", "b")
 
 
-def class_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def class_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sig) of all rows, and (n, sig, component_id) of all sets."""
     spark = docs.sparkSession
     docs = only(docs, doc_id="long", text="string")
-    nodes = written(set_nodes(docs), "nodes")
+    nodes = written(set_nodes(docs, words), "nodes")
     classes = nodes.filter("n > 0").groupBy("n", "sig").agg(F.min("doc_id").alias("first"))
-    levels = spark.sparkContext.broadcast(token_levels(docs))
-    entries = prefixes(docs, levels)
+    levels = spark.sparkContext.broadcast(token_levels(docs, words))
+    entries = prefixes(docs, levels, words, similarity)
     # lists of two or more sets; a list of copies of one set is none
     lists = entries.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).filter("low <> high").select("token")
     entries = entries.join(lists, "token").select("token", F.struct(F.shiftright("place", 32).alias("n"), "sig").alias("s"), F.col("place").bitwiseAND((1 << 32) - 1).alias("pos"))
     entries = written(entries.dropDuplicates(["token", "s"]), "lists")
-    enough = entries.groupBy("s").agg(F.count("*").alias("held")).filter(F.col("held") >= _shared(F.col("s.n")))
+    enough = entries.groupBy("s").agg(F.count("*").alias("held")).filter(F.col("held") >= _shared(F.col("s.n"), similarity))
     entries = written(entries.join(enough, "s"), "index")  # held: the set's lists, many for the centre of a group
     named = written(enough.select("s.n", "s.sig").join(classes, ["n", "sig"]).select(F.col("first").alias("doc_id")).distinct(), "named")
     if named.count() <= BROADCAST_ROWS:
         named = F.broadcast(named)
-    sets = written(sets_of(docs.join(named, "doc_id")).dropDuplicates(["n", "sig"]), "sets")
+    sets = written(sets_of(docs.join(named, "doc_id"), words).dropDuplicates(["n", "sig"]), "sets")
     links, roots, leaders, known = None, None, None, None
     for turn in range(ROUNDS + 1):
         rows = entries.withColumn("root", F.col("s")) if roots is None else entries.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
@@ -272,34 +285,34 @@ def class_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if turn < ROUNDS:
             first = (F.col("held") if turn == 0 else F.lit(0)).alias("first")
             leads = rows.groupBy("token").agg(F.max(F.struct(first, F.xxhash64(F.lit(turn), "s").alias("h"), "s", "pos", "root")).alias("lead"))
-            pairs = rows.join(leads, "token").filter("root <> lead.root").filter(_possible(F.col("s.n"), F.col("lead.s.n"), F.col("pos"), F.col("lead.pos"))).select(F.col("s").alias("a"), F.col("lead.s").alias("b"))
+            pairs = rows.join(leads, "token").filter("root <> lead.root").filter(_possible(F.col("s.n"), F.col("lead.s.n"), F.col("pos"), F.col("lead.pos"), similarity)).select(F.col("s").alias("a"), F.col("lead.s").alias("b"))
         else:
             # each entry's distance to the leader its list had at first, where they were compared
             near = known.select(F.col("a").alias("s"), F.col("b").alias("lead"), "far")
             rows = rows.join(leaders, "token").join(near, ["s", "lead"], "left").withColumn("far", F.when(F.col("s") == F.col("lead"), 0.0).otherwise(F.col("far")))
-            size_class = F.floor(F.log(F.col("s.n")) / F.lit(float(np.log(100 / SIMILARITY))))
+            size_class = F.floor(F.log(F.col("s.n")) / F.lit(float(np.log(100 / similarity))))
             left = rows.select("token", F.col("s").alias("a"), F.col("pos").alias("i"), F.col("root").alias("ra"), F.col("far").alias("fa"), size_class.alias("block"))
             right = rows.select("token", F.col("s").alias("b"), F.col("pos").alias("j"), F.col("root").alias("rb"), F.col("far").alias("fb"), F.explode(F.array(size_class, size_class - 1)).alias("block"))
-            pairs = left.join(right, ["token", "block"]).filter("a < b and ra <> rb").filter(F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= (100 - SIMILARITY) / 100 + 1e-9, F.lit(True))).filter(_possible(F.col("a.n"), F.col("b.n"), F.col("i"), F.col("j"))).select("a", "b")
+            pairs = left.join(right, ["token", "block"]).filter("a < b and ra <> rb").filter(F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= (100 - similarity) / 100 + 1e-9, F.lit(True))).filter(_possible(F.col("a.n"), F.col("b.n"), F.col("i"), F.col("j"), similarity)).select("a", "b")
         pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= SHARED).select("a", "b")
         new = written(compared(pairs, sets), "compared")
         if turn == 0:
             known, leaders = new, written(leads.select("token", F.col("lead.s").alias("lead")), "leaders")
-        links = _links(new) if links is None else links.union(_links(new))
+        links = _links(new, similarity) if links is None else links.union(_links(new, similarity))
         roots = components(links)
     found = classes.withColumn("s", F.struct("n", "sig")).join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     least = found.groupBy("root").agg(F.min("first").alias("component_id"))
     return nodes, found.join(least, "root").select("n", "sig", "component_id")
 
 
-def jaccard_report(docs: DataFrame) -> DataFrame:
+def jaccard_report(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
-    nodes, classes = class_components(docs)
+    nodes, classes = class_components(docs, words, similarity)
     return nodes.join(classes, ["n", "sig"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """docs with one document of each component: that with the smallest id. Of rows that share that
     id, all stay; documents without words and rows with a null id stay."""
-    drop = jaccard_report(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    drop = jaccard_report(docs, words, similarity).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti").select(*[F.col(f"`{x}`") for x in docs.columns])
