@@ -5,9 +5,13 @@ a number) become placeholders, other words are lower-cased. Windows of WINDOW to
 LITERAL words that are no placeholders are hashed and joined with the windows of the benchmark. For
 each document and item, the share of the item's distinct windows that the document holds is its
 coverage. Slots are then compared: each value in an item's placeholders must always meet the same
-value in the document's (one mapping a pair of window sets); windows that contradict the pair's most
-frequent mapping don't count. A document is contaminated where the coverage of an item is at least
-SIMILARITY; reparameterised where slot values differ.
+value in the document's. As a document may hold an item several times with other values each, this is
+judged in scopes, and the best one counts: the windows of one alignment (place in the document less
+place in the item), those of alignments near each other (two overlapping grids of the item's length,
+so that up to half of it may be put in or left out), all of the document's, and those with the item's
+own values. Windows that contradict a scope's most frequent mapping don't count in it. A document is
+contaminated where the coverage of an item is at least SIMILARITY; reparameterised where the slot
+values of its best scope differ (among equals, the item's own values come first).
 
 Null and empty texts, and texts shorter than a window, hold nothing. Items of fewer than WINDOW
 tokens have no window and cannot be found. Repeated benchmark rows count once (smallest item_id).
@@ -81,11 +85,16 @@ def _literals(toks: Column, at: Column) -> Column:
     return sum((F.when(F.get(toks, at + k) > UNIT, 1).otherwise(0) for k in range(WINDOW)), F.lit(0))
 
 
-def benchmark_windows(benchmark: DataFrame, item: str = "item_id") -> DataFrame:
-    """hash, item_id, n (the item's distinct windows), at, item_slots."""
+def benchmark_words(benchmark: DataFrame, item: str = "item_id") -> DataFrame:
+    """item_id, words and tokens of each distinct text."""
     rows = only(benchmark, **{item: "long", "text": "string"}).groupBy("text").agg(F.min(item).alias("item_id"))
-    out = windows(worded(rows, "item_id"), "item_id")
-    out = out.filter(_literals(F.col("tokens"), F.col("at")) >= LITERAL).select("item_id", "at", "hash", _slots(F.col("words"), F.col("tokens"), F.col("at")).alias("item_slots"))
+    return worded(rows, "item_id")
+
+
+def benchmark_windows(benchmark: DataFrame, item: str = "item_id") -> DataFrame:
+    """hash, item_id, n (the item's distinct windows), at, length (of the item), item_slots."""
+    out = windows(benchmark_words(benchmark, item), "item_id")
+    out = out.filter(_literals(F.col("tokens"), F.col("at")) >= LITERAL).select("item_id", "at", "hash", F.size("tokens").alias("length"), _slots(F.col("words"), F.col("tokens"), F.col("at")).alias("item_slots"))
     sizes = out.groupBy("item_id").agg(F.countDistinct("hash").alias("n"))
     return out.join(sizes, "item_id")
 
@@ -101,14 +110,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataF
     else:
         found = found.drop("words", "tokens").join(index, "hash").join(rows, key)
     pairs = F.arrays_zip(F.col("item_slots").alias("item"), _slots(F.col("words"), F.col("tokens"), F.col("at_doc")).alias("doc"))
-    found = written(found.select(key, "item_id", "hash", "n", pairs.alias("pairs")), "leaks")
-    # one mapping for each document and item: the most frequent document value of each item value
-    votes = found.select(key, "item_id", F.explode("pairs").alias("p")).groupBy(key, "item_id", F.col("p.item").alias("of"), F.col("p.doc").alias("to")).agg(F.count("*").alias("votes"))
-    mapping = votes.groupBy(key, "item_id", "of").agg(F.max(F.struct("votes", "to"))["to"].alias("to")).groupBy(key, "item_id").agg(F.map_from_entries(F.collect_list(F.struct("of", "to"))).alias("mapping"))
-    found = found.join(mapping, [key, "item_id"], "left")
+    shift = F.col("at_doc") - F.col("at")
+    found = written(found.select(key, "item_id", "hash", "n", "length", shift.alias("shift"), pairs.alias("pairs")), "leaks")
+    half = F.floor(F.col("length") / 2)
+    places = [(0, F.lit(0)), (1, F.col("shift")), (2, F.floor(F.col("shift") / F.col("length"))), (3, F.floor((F.col("shift") + half) / F.col("length")))]
+    scopes = F.array(*[F.struct(F.lit(k).alias("scope"), place.cast("long").alias("place")) for k, place in places])
+    found = found.select(key, "item_id", "hash", "n", "pairs", F.explode(scopes).alias("s")).select(key, "item_id", "hash", "n", "pairs", "s.scope", "s.place")
+    scope = [key, "item_id", "scope", "place"]
+    # one mapping for each document, item and scope: the most frequent document value of each item value
+    votes = found.select(*scope, F.explode("pairs").alias("p")).groupBy(*scope, F.col("p.item").alias("of"), F.col("p.doc").alias("to")).agg(F.count("*").alias("votes"))
+    mapping = votes.groupBy(*scope, "of").agg(F.max(F.struct("votes", "to"))["to"].alias("to")).groupBy(*scope).agg(F.map_from_entries(F.collect_list(F.struct("of", "to"))).alias("mapping"))
+    same = found.filter("scope = 0").filter(F.forall("pairs", lambda p: p["item"] == p["doc"])).withColumn("scope", F.lit(4))
+    found = found.join(mapping, scope, "left")
     found = found.filter(F.coalesce(F.forall("pairs", lambda p: F.element_at("mapping", p["item"]) == p["doc"]), F.lit(True)))
-    out = found.groupBy(key, "item_id").agg(F.countDistinct("hash").alias("held"), F.max("n").alias("n"), F.max(F.exists("pairs", lambda p: p["item"] != p["doc"])).alias("reparameterised"))
-    return out.select(key, "item_id", (F.col("held") / F.col("n")).alias("coverage"), "reparameterised")
+    by_scope = found.drop("mapping").unionByName(same).groupBy(*scope).agg(F.countDistinct("hash").alias("held"), F.max("n").alias("n"), F.max(F.exists("pairs", lambda p: p["item"] != p["doc"])).alias("differs"))
+    best = by_scope.groupBy(key, "item_id").agg(F.max(F.struct((F.col("held") / F.col("n")).alias("coverage"), (~F.col("differs")).alias("same"))).alias("best"))
+    return best.select(key, "item_id", "best.coverage", (~F.col("best.same")).alias("reparameterised"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
