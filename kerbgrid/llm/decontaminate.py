@@ -13,8 +13,12 @@ own values. Windows that contradict a scope's most frequent mapping don't count
 contaminated where the coverage of an item is at least SIMILARITY; reparameterised where the slot
 values of its best scope differ (among equals, the item's own values come first).
 
-Null and empty texts, and texts shorter than a window, hold nothing. Items of fewer than WINDOW
-tokens have no window and cannot be found. Repeated benchmark rows count once (smallest item_id).
+Items without a window (fewer than WINDOW tokens, or too few literal words in each) are one window as a
+whole: their words must follow each other in the document, in either case of letters; where the whole
+has LITERAL literal words, its typed tokens, with any consistent slot values, do too. In other items
+windows with too few literal words are left out of the coverage.
+
+Null and empty texts hold nothing. Repeated benchmark rows count once (smallest item_id).
 The benchmark's windows are broadcast while at most BROADCAST_ROWS; beyond that they are joined by
 shuffling the hashes. Long documents give rows for their windows, never one large row.
 """
@@ -125,7 +129,56 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataF
     found = found.filter(F.coalesce(F.forall("pairs", lambda p: F.element_at("mapping", p["item"]) == p["doc"]), F.lit(True)))
     by_scope = found.drop("mapping").unionByName(same).groupBy(*scope).agg(F.countDistinct("hash").alias("held"), F.max("n").alias("n"), F.max(F.exists("pairs", lambda p: p["item"] != p["doc"])).alias("differs"))
     best = by_scope.groupBy(key, "item_id").agg(F.max(F.struct((F.col("held") / F.col("n")).alias("coverage"), (~F.col("differs")).alias("same"))).alias("best"))
-    return best.select(key, "item_id", "best.coverage", (~F.col("best.same")).alias("reparameterised"))
+    out = best.select(key, "item_id", "best.coverage", (~F.col("best.same")).alias("reparameterised"))
+    whole = whole_matches(rows, benchmark, key)
+    return out if whole is None else out.unionByName(whole)
+
+
+def _folded() -> Column:
+    return F.transform("words", lambda w: F.translate(F.lower(w), START, ""))
+
+
+def whole_items(benchmark: DataFrame) -> DataFrame:
+    """The items without a window: item_id, item_words, typed, sequence (typed tokens, or words in lower
+    case), at, width and hash of the part by which it is looked up (the one richest in literals)."""
+    usable = benchmark_windows(benchmark).select("item_id").distinct()
+    size = F.size("tokens")
+    width = F.least(size, F.lit(WINDOW))
+    at = -F.array_max(F.transform(F.sequence(F.lit(0), size - width), lambda i: F.named_struct(F.lit("literals"), _literals(F.col("tokens"), i), F.lit("at"), -i)))["at"]
+    forms = F.when(F.size(F.filter("tokens", lambda t: t > UNIT)) >= LITERAL, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    rows = benchmark_words(benchmark).filter((size > 0) & F.col("item_id").isNotNull()).join(usable, "item_id", "left_anti")
+    rows = rows.select("item_id", "words", "tokens", at.alias("at"), width.alias("width"), F.explode(forms).alias("typed"))
+    rows = rows.select("item_id", F.col("words").alias("item_words"), "typed", F.when(F.col("typed"), F.col("tokens")).otherwise(_folded()).alias("sequence"), "at", "width")
+    return rows.withColumn("hash", F.xxhash64("typed", F.slice("sequence", F.col("at") + 1, F.col("width"))))
+
+
+def whole_matches(rows: DataFrame, benchmark: DataFrame, key: str) -> DataFrame | None:
+    """As matches(), for the items without a window; None where there are none."""
+    items = written(whole_items(benchmark), "whole")
+    forms = [(r["typed"], r["width"]) for r in items.select("typed", "width").distinct().collect()]
+    if not forms:
+        return None
+    rows = rows.withColumn("low", _folded())
+
+    def places(typed: bool, width: int) -> Column:
+        size, of = F.size("tokens"), "tokens" if typed else "low"
+        at = F.when(size >= width, F.sequence(F.lit(0), size - width)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.named_struct(F.lit("at_doc"), i, F.lit("hash"), F.xxhash64(F.lit(typed), F.slice(of, i + 1, F.lit(width)))))
+
+    found = rows.withColumn("w", F.explode(F.concat(*[places(*x) for x in sorted(forms)]))).select(key, "words", "tokens", "low", "w.at_doc", "w.hash")
+    if items.count() <= BROADCAST_ROWS:
+        found = found.join(F.broadcast(items), "hash")
+    else:
+        found = found.select(key, "at_doc", "hash").join(items, "hash").join(rows, key)
+    start = F.col("at_doc") - F.col("at")
+    part = lambda of: F.slice(of, F.greatest(start, F.lit(0)) + 1, F.size("sequence"))
+    found = found.filter((start >= 0) & (part(F.when(F.col("typed"), F.col("tokens")).otherwise(F.col("low"))) == F.col("sequence")))
+    found = found.select(key, "item_id", "typed", F.arrays_zip(F.col("item_words").alias("item"), part(F.col("words")).alias("doc"), F.col("sequence").alias("token")).alias("pairs"))
+    slots = F.array_distinct(F.transform(F.filter("pairs", lambda p: p["token"] <= UNIT), lambda p: F.named_struct(F.lit("item"), p["item"], F.lit("doc"), p["doc"])))
+    found = found.select(key, "item_id", F.when(F.col("typed"), slots).alias("slots"))
+    found = found.filter(F.col("slots").isNull() | (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: p["item"])))))
+    differs = F.coalesce(F.exists("slots", lambda p: p["item"] != p["doc"]), F.lit(False))
+    return found.groupBy(key, "item_id").agg(F.lit(1.0).alias("coverage"), F.min(differs).alias("reparameterised"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

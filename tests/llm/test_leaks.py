@@ -31,3 +31,13 @@ def test_items_held_several_times(spark):
     texts = [f"{x[0]} {x[1]}" for x in (train, fruit)] + [f"{x[1]} {x[2]}" for x in (train, fruit)] + [" Words between. ".join(train), train[0] + " " + longer, mixed, "Nothing of it is here."]
     got = held(spark, texts, [train[0], fruit[0]])
     assert got == [([0], False), ([1], False), ([0], True), ([1], True), ([0], False), ([0], False), ([], False), ([], False)]
+
+
+def test_items_without_a_window(spark):
+    items = ["What is 12 + 34?", "Add 12, 34, 56, 78 and 90.", "Did Anna Smith or Paul Jones meet 14 times?", "Add the numbers 5"]
+    texts = [
+        "Question: what is 12 + 34? Say it.", "Now. Add 12, 34, 56, 78 and 90. Done.", "Well. Did Anna Smith or Paul Jones meet 14 times? No.", "Exercise. Did Eve Long or Max Short meet 3 times? Yes.",
+        "What is 5 + 6? Nobody knows.", "Add 1, 2, 3, 4 and 5.", "Did Anna Smith or Paul Smith meet 14 times?", "Did Eve Long or Max Short see it 3 times?", "", "Please. Add the numbers 7 today.",
+    ]
+    got = held(spark, texts, items)
+    assert got == [([0], False), ([1], False), ([2], False), ([2], True), ([], False), ([], False), ([2], True), ([], False), ([], False), ([3], True)]
