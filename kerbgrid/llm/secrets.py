@@ -39,6 +39,12 @@ class Rule:
     fold: bool = False
 
 
+#: A private key: from its header to its END line, if no other five dashes come before; else header fields
+#: and base64 lines after the header (breaks may be escapes; a short last line follows long ones only).
+_PEM = (
+    r"-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----((-{0,4}[^-])*-----END ([A-Z0-9]+ )*PRIVATE KEY-----"
+    r"|((\r?\n|(\\r)?\\n)[ \t]*[A-Z][A-Za-z]*-[A-Za-z-]*: [^\r\n\\]*)*((([ \t\r\n]|\\r|\\n)*[A-Za-z0-9+/=]{16,})+((\r?\n|(\\r)?\\n)[ \t]*[A-Za-z0-9+/=]{1,15})?)?)"
+)
 #: The base kinds, in their order, then the kinds this method adds.
 RULES = (
     Rule("assign", ("password", "passwd", "secret", "token", "api_key", "apikey"), r"""(password|passwd|secret|token|api_?key)["']? *[:=] *["']?[A-Za-z0-9+/_.=-]+""", fold=True),
@@ -47,7 +53,7 @@ RULES = (
     Rule("github", ("gh[pousr]_",), "gh[pousr]_[A-Za-z0-9]{36,255}"),
     Rule("slack", ("xox[abprs]-",), "xox[abprs]-[A-Za-z0-9-]{10,250}"),
     Rule("jwt", ("eyJ",), r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    Rule("pem", ("-----BEGIN ",), "-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----"),
+    Rule("pem", ("-----BEGIN ",), _PEM),
 )
 BASE = ("assign", "access", "hex")
 KINDS = tuple(r.kind for r in RULES)
