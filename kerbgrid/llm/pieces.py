@@ -5,8 +5,9 @@ a mark follows another character; the vocabulary is checked to have no piece acr
 segments merge on their own. In each segment an agenda of adjacent pairs is worked off by piece score,
 leftmost first; each candidate merge, as it arises, is skipped where a keyed hash of (seed, key, its
 place and both its symbols) is below the dropout rate. With rate 0 ids equal the library's. The key is
-one of KEYS for each segment, chosen by a hash of the seed, the row's id and the segment's number: the
-same word is cut in various ways, and ways already found are reused. Runs are reproducible.
+a hash of the seed, the row's id and the segment's number: each occurrence has draws of its own. Of each
+segment the candidates that arise without skips are remembered; where an occurrence's draws skip none
+of them, its ids are the remembered ones, and all others are cut on their own. Runs are reproducible.
 
 What has no piece is spelled in byte pieces, also a literal space mark of the text, so any ids decode
 to exactly the text. Null and empty texts have no ids and decode to an empty text. Segments of many
@@ -31,9 +32,8 @@ from kerbgrid.llm.common import only, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 20
-KEYS = 4
-#: Segments of more characters go through a heap; cut segments that a task remembers for each key.
-LONG, REMEMBERED = 64, 40_000
+#: Segments of more characters go through a heap; segments that a task remembers; segments cut at once.
+LONG, REMEMBERED, SEGMENTS_AT_ONCE = 64, 100_000, 32_768
 MARK = "▁"
 _SEGMENTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: No text has this segment: a mark after another character starts a new one.
@@ -118,22 +118,66 @@ class Encoder:
     seed: int = SEED
 
     def __post_init__(self) -> None:
-        self.keys = mixed(np.arange(1, KEYS + 1, dtype=np.uint64) * _B + np.uint64(self.seed))
-        self.literal = {_LITERAL: np.array([self.words.byte_ids[b] for b in MARK.encode()], np.int32).tobytes()}
-        self.known: list[dict[str, bytes]] = [dict(self.literal) for _ in range(KEYS)]
+        self.keys = mixed(np.arange(1, 5, dtype=np.uint64) * _B + np.uint64(self.seed))
+        self.literal = np.array([self.words.byte_ids[b] for b in MARK.encode()], np.int32).tobytes()
+        self.arisen: list[tuple[np.ndarray, np.ndarray]] | None = None
+        self.forget()
 
-    def skipped(self, key, left, right, at):
-        """Whether candidate merges are skipped: symbols and the left one's place, in arrays."""
-        h = mixed(key ^ (left.astype(np.uint64) * _A + right.astype(np.uint64) * _B + at.astype(np.uint64) * _C))
-        return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53 < self.dropout
+    def forget(self) -> None:
+        """Remembered segments: their number, ids, and where their candidates start in one array."""
+        self.number, self.ids, self.starts, self.drawn = {_LITERAL: 0}, [self.literal], np.zeros(2, np.int64), np.zeros(0, np.uint64)
+
+    def skipped(self, key, drawn):
+        """Whether candidate merges are skipped: keys and what is drawn for, in arrays."""
+        return (mixed(key ^ drawn) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < self.dropout
 
     def candidates(self, key, left, right, at):
         rank, to = self.words.look_up(left, right)
-        if self.dropout:
+        if self.dropout or self.arisen is not None:
             some = np.flatnonzero(rank < _NONE)
-            rank[some[self.skipped(key[some], left[some], right[some], at[some])]] = _NONE
+            drawn = left[some].astype(np.uint64) * _A + right[some].astype(np.uint64) * _B + at[some].astype(np.uint64) * _C
+            if self.arisen is not None:
+                self.arisen.append((key[some], drawn))
+            else:
+                rank[some[self.skipped(key[some], drawn)]] = _NONE
         return rank, to
 
+    def remember(self, new: list[str]) -> None:
+        """Cuts segments without skips, and keeps their ids and all candidates that arose."""
+        self.arisen = []
+        ids = self.cut_many(new, np.arange(len(new), dtype=np.uint64))
+        owner, drawn = (np.concatenate(x) for x in zip(*self.arisen))
+        self.arisen = None
+        owner = owner.astype(np.int64)
+        self.drawn = np.concatenate([self.drawn, drawn[np.argsort(owner, kind="stable")]])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.bincount(owner, minlength=len(new)))])
+        self.number.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
+        self.ids += ids
+
+    def cut(self, segments: list[str], keys: np.ndarray) -> list[bytes]:
+        """The ids of each occurrence of a segment."""
+        new = list(dict.fromkeys(s for s in segments if s not in self.number and len(s) <= LONG))
+        if len(self.number) + len(new) > REMEMBERED:
+            self.forget()
+            new = list(dict.fromkeys(s for s in segments if s != _LITERAL and len(s) <= LONG))
+        for k in range(0, len(new), SEGMENTS_AT_ONCE):
+            self.remember(new[k : k + SEGMENTS_AT_ONCE])
+        number = np.fromiter((self.number.get(s, -1) for s in segments), np.int64, len(segments))
+        short = np.flatnonzero(number >= 0)
+        size = (self.starts[1:] - self.starts[:-1])[number[short]]
+        owner = np.repeat(short, size)
+        place = np.arange(len(owner)) + np.repeat(self.starts[number[short]] - (np.cumsum(size) - size), size)
+        apart = np.unique(owner[self.skipped(keys[owner], self.drawn[place])]) if self.dropout else short[:0]
+        ids = self.ids
+        out = [ids[n] if n >= 0 else b"" for n in number.tolist()]
+        for k in range(0, len(apart), SEGMENTS_AT_ONCE):
+            some = apart[k : k + SEGMENTS_AT_ONCE]
+            for i, x in zip(some.tolist(), self.cut_many([segments[i] for i in some.tolist()], keys[some])):
+                out[i] = x
+        for i in np.flatnonzero(number < 0).tolist():
+            out[i] = self.cut_long(segments[i], keys[i])
+        return out
+
     def cut_many(self, segments: list[str], keys: np.ndarray) -> list[bytes]:
         """The ids of each segment, as bytes of 32-bit numbers (which the garbage collector needn't visit); each round takes the best candidate of every segment."""
         look = self.words.characters.get
@@ -230,29 +274,12 @@ class Encoder:
 
     def encode(self, rows: list[tuple[int | None, str | None]]) -> list[np.ndarray]:
         """The ids of each (id, text)."""
-        held, missing = [], [{} for _ in range(KEYS)]
-        for doc, text in rows:
-            parts = self.segments(text) if text else []
-            salt = mixed(np.array([(doc or 0) & 0xFFFFFFFFFFFFFFFF], np.uint64) * _C + np.uint64(self.seed))[0]
-            keys = (mixed(np.arange(len(parts), dtype=np.uint64) * _A + salt) % np.uint64(KEYS)).tolist()
-            for k, s in zip(keys, parts):
-                if s not in self.known[k]:
-                    missing[k][s] = None
-            held.append((keys, parts))
-        for k, new in enumerate(missing):
-            if not new:
-                continue
-            if len(self.known[k]) + len(new) > REMEMBERED:
-                keep = {s for keys, parts in held for q, s in zip(keys, parts) if q == k and s not in new}
-                self.known[k] = self.literal | {s: self.known[k][s] for s in keep}
-            short = [s for s in new if len(s) <= LONG]
-            if short:
-                self.known[k].update(zip(short, self.cut_many(short, np.full(len(short), self.keys[k]))))
-            for s in new:
-                if len(s) > LONG:
-                    self.known[k][s] = self.cut_long(s, self.keys[k])
-        known = self.known
-        return [np.frombuffer(b"".join([known[k][s] for k, s in zip(keys, parts)]), np.int32) for keys, parts in held]
+        parts = [self.segments(text) if text else [] for _, text in rows]
+        salts = mixed(np.array([(doc or 0) & 0xFFFFFFFFFFFFFFFF for doc, _ in rows], np.uint64) * _C + np.uint64(self.seed))
+        keys = [mixed(np.arange(len(p), dtype=np.uint64) * _A + salt) for p, salt in zip(parts, salts)]
+        cut = self.cut([s for p in parts for s in p], np.concatenate(keys)) if rows else []
+        ends = np.cumsum([0, *map(len, parts)]).tolist()
+        return [np.frombuffer(b"".join(cut[a:b]), np.int32) for a, b in zip(ends, ends[1:])]
 
 
 def decode(ids: list[int], words: Vocabulary) -> str:
