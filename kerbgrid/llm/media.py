@@ -4,7 +4,7 @@ store_media writes each text's UTF-8 bytes, with bytes 0 up to a positive multip
 channel of unsigned 8-bit samples by the wave module. media_features reads the stored bytes, takes a
 short-time Fourier transform and pairs spectral peaks; fingerprints are two parallel arrays, the
 frame of each pair's first peak (times) and the pair's code (codes). Null and empty texts are 64
-zero samples. A text is transformed FRAMES_AT_ONCE frames at a time, so long texts need no more
+zero samples. Samples are padded with silence to whole hops, so that all of them are in a frame. A text is transformed FRAMES_AT_ONCE frames at a time, so long texts need no more
 memory than short ones, and frames depend on their own samples alone. Equal texts have equal
 values; columns other than the key and the text are not read.
 """
@@ -51,8 +51,7 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(frames, bins) of spectral peaks, by frame and band: the largest bin of its band, over the
     band's mean in its frame, and no smaller than the band's largest in the frames beside it."""
     x = samples.astype(np.float32) - 128
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
+    x = np.pad(x, (0, FRAME - len(x) if len(x) < FRAME else (FRAME - len(x)) % HOP))  # the last samples are in a frame too
     n = 1 + (len(x) - FRAME) // HOP
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     window = np.hanning(FRAME).astype(np.float32)
