@@ -247,11 +247,27 @@ def refresh_tally(v):
     return ingest.refreshed_urls(v.images, found, F.lit("2024-01-01").cast("timestamp"))[1]
 
 
+@query("SELECT count(*) AS processed, count(*) FILTER (WHERE image_id % 7 > 1) AS refreshed, count(*) FILTER (WHERE image_id % 7 = 1) AS skipped, count(*) FILTER (WHERE image_id % 7 = 0) AS failed FROM {images}")
+def refresh_tally_all(v):
+    found = v.images.select("image_id", F.when(F.col("image_id") % 7 == 1, " ").otherwise(F.concat("url", F.lit("?new"))).alias("url"), F.when(F.col("image_id") % 7 == 0, "timeout").alias("error"))
+    return ingest.refreshed_urls(v.images, found, F.lit("2024-01-01").cast("timestamp"))[1]
+
+
 @query("SELECT image_id, region_id FROM {images} WHERE region_id = 4 AND status = 'reviewed' AND image_id IN (SELECT image_id FROM {detections})")
 def images_with_detections(v):
     return ingest.with_detections(v.images, v.detections, 4, "reviewed").select("image_id", "region_id")
 
 
+@query("SELECT image_id, region_id FROM {images} WHERE image_id IN (SELECT image_id FROM {detections})")
+def images_with_detections_all(v):
+    return ingest.with_detections(v.images, v.detections).select("image_id", "region_id")
+
+
+@query("SELECT detection_id, label FROM {detections} WHERE manual_reviewed = 0")
+def unreviewed_all(v):
+    return ingest.unreviewed_detections(v.images, v.detections).select("detection_id", "label")
+
+
 @query("SELECT detection_id, label FROM {detections} JOIN {images} USING (image_id) WHERE manual_reviewed = 0 AND region_id = 4")
 def unreviewed(v):
     return ingest.unreviewed_detections(v.images, v.detections, 4).select("detection_id", "label")
@@ -382,7 +398,15 @@ def tasks(v):
 @query("""WITH x AS (SELECT image_id, detection_id, manual_reviewed FROM {detections} JOIN {images} USING (image_id) WHERE region_id < 5),
 t AS (SELECT image_id, count(*) FILTER (WHERE manual_reviewed = 1) AS annotated, count(*) AS n FROM x GROUP BY 1) SELECT image_id, annotated, n FROM t""")
 def task_flatten(v):
-    rows = v.detections.join(v.images.filter("region_id < 5").select("image_id"), "image_id")
+    return _flattened(v.detections.join(v.images.filter("region_id < 5").select("image_id"), "image_id"))
+
+
+@query("SELECT image_id, count(*) FILTER (WHERE manual_reviewed = 1) AS annotated, count(*) AS n FROM {detections} JOIN {images} USING (image_id) GROUP BY 1")
+def task_flatten_all(v):
+    return _flattened(v.detections.join(v.images.select("image_id"), "image_id"))
+
+
+def _flattened(rows: DataFrame) -> DataFrame:
     item = F.struct(F.col("detection_id").alias("id"), "label", *[F.lit(float(x)).alias(k) for k, x in (("x", 10), ("y", 10), ("width", 20), ("height", 20))])
     made = rows.groupBy("image_id").agg(F.collect_list(F.when(F.col("manual_reviewed") == 1, item)).alias("annotations"), F.collect_list(item).alias("predictions"))
     flat = dataset.flattened_tasks(made.withColumn("task_id", F.col("image_id")).withColumn("annotated", F.size("annotations")))
@@ -421,9 +445,18 @@ def rate_audit(v):
 
 @query("""SELECT image_id FROM {images} i WHERE EXISTS (SELECT 1 FROM {landuse_polygons} p WHERE lng > x0 AND lng < x0 + side AND lat > y0 AND lat < y0 + side AND p.region_id = 0)""")
 def bbox_polygon_filter(v):
+    return _inside_any(v, v.landuse_polygons.filter("region_id = 0"))
+
+
+@query("""SELECT image_id FROM {images} i WHERE EXISTS (SELECT 1 FROM {landuse_polygons} p WHERE lng > x0 AND lng < x0 + side AND lat > y0 AND lat < y0 + side)""")
+def bbox_polygon_filter_all(v):
+    return _inside_any(v, v.landuse_polygons)
+
+
+def _inside_any(v: Views, polygons: DataFrame) -> DataFrame:
     c = F.col
     ring = boxes.outline((c("x0"), c("y0"), c("x0") + c("side"), c("y0") + c("side")))
-    shapes = v.landuse_polygons.filter("region_id = 0").select("poly_id", ring.alias("ring"))
+    shapes = polygons.select("poly_id", ring.alias("ring"))
     return spatial.points_in_any(v.images.select(c("image_id").alias("point_id"), c("lng").alias("x"), c("lat").alias("y")), shapes, 1.0).select(c("point_id").alias("image_id"))
 
 
