@@ -44,6 +44,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Deletes the files of a table from written() that no later step reads."""
+    spark = table.sparkSession
+    for name in table.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch in slices of at most ROWS_AT_ONCE rows and about BYTES_AT_ONCE bytes of text."""
     sizes = np.ones(batch.num_rows, np.int64)

@@ -3,48 +3,55 @@
 Sets. A document's set is its distinct shingles of so many words (WORDS, if not given) as 64-bit
 hashes (ASCII upper case lowered, words cut at ASCII white space; with fewer words the sequence is the
 one shingle). Two documents link when 100 * intersection >= similarity * union (SIMILARITY, if not
-given; under 100). All bounds below follow from the two; figures are those of 90. Null, empty and wordless texts have empty sets and link
-with nothing. Documents with equal sets are one node: (size, hash of the sorted set).
-
-Index. Tokens have one global order: by the level of their frequency (a sketch of CELLS counters over
-all tokens of all documents, fixed in size) and then by hash. A set's prefix, its first
-n - ceil(similarity n) + shared(n) tokens, goes to the index lists, with the set's size and the position; linked
-sets share at least shared(n) prefix tokens, n the smaller size. Sets with fewer tokens in lists of two
-or more leave the index at once. Lists are cut into blocks by size class: a probe joins only its own and
-the next block and skips the rest, and skips entries whose positions leave too few tokens or lie past
-the shorter prefix that two known sizes need.
-
-Answers. Within a list, first each set is compared with a leader only (the set with the most entries,
-then others by a seeded hash), in ROUNDS rounds. Sets that link with a leader have answers that derive from it:
-they are one component already, and pairs within a component are never looked at again. Left are
-pairs in lists that hold several components. Set distance is a metric, so two sets whose distances to
-their list's leader differ by over 1 - similarity cannot link; the rest is counted, and verified on whole sets.
-No link between components is lost, while a group of m copies costs about m comparisons, not m * m.
-
-Components come from large-star and small-star steps on tables in the shared folder. Copies, hot
-tokens and large groups: counts are combined before shuffles, joins are plain equi-joins that adaptive
-execution may split. Repeated rows are copies of each other; other columns of the input are not read.
+given; under 100). All bounds below follow from the two; figures are those of 90. Null, empty and wordless
+texts have empty sets and link with nothing. Documents with equal sets are one node: (size, hash of the
+sorted set). Rows with a null id take part where a row with an id has the same set; else they link with nothing.
+
+Sieve. Linked sets x, y differ in at most t = (100 - similarity) (|x| + |y|) / (100 + similarity) tokens. Tokens
+fall into p ranges of hash values, p > t, so at least p - t ranges hold the same tokens in both (p is
+one number for all sets of a size window; a set also enters the window of the smallest set that it can
+link with). A set goes on only where that many of its ranges stand in another set too (ranges empty in it
+count as such). No linked set is lost; sets without near copies leave here, before any list of single
+tokens is made.
+
+Index. Tokens of the sets that go on have one global order: by the number of those sets that hold them,
+then by hash; tokens of one set only come first. A set's first n - ceil(similarity n) + 1 tokens go to the
+index lists with its size and the position. Lists are cut into blocks by size class, and the position
+says which blocks an entry has to look at: with i tokens before it, a set of n tokens can still link with sets
+of up to (n - i) (100 + similarity) / similarity - n tokens; it is dealt to the blocks of just those sizes, so
+deeper entries skip all blocks but those of smaller sets, in the join key, before pairs are made.
+
+Answers. Within a list, first each set is compared with a leader only (the set with the fewest tokens
+of its own, then by a seeded hash), in ROUNDS rounds. Sets that link with a leader have answers that
+derive from its: they are one component already. In the last join entries of the leader's component
+meet only entries of other components. No link between components is lost, while a group of m copies
+costs about m comparisons, not m * m.
+
+Components come from large-star and small-star steps on tables in the shared folder; each round
+starts from the roots of the one before. Copies, hot tokens and large groups: counts are combined
+before shuffles, joins are plain equi-joins that adaptive execution may split. Repeated rows are copies
+of each other; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbgrid.llm.common import map_rows, only, slices, written
+from kerbgrid.llm.common import dropped, map_rows, only, slices, written
 
 WORDS, SIMILARITY = 3, 90
-#: shared(n) is SHARED tokens and one more for each SHARE tokens of the set.
-SHARED, SHARE = 3, 50
-#: Documents in the index up to which their ids are broadcast; beyond, texts are shuffled to them.
+#: Sets that go on up to which their ids are broadcast; beyond, texts are shuffled to them.
 BROADCAST_ROWS = 500_000
-ROUNDS = 2
-CELLS, BLOCKS = 1 << 20, 64
+#: Rounds of comparisons with leaders; size classes of an index list in the span of sizes that can link.
+ROUNDS, CLASSES = 2, 4
+#: Ranges beyond those that linked sets can differ in, per cent of these: what ranges without tokens cost.
+SPARE = 15
 #: Bytes of text that become arrays at once.
 BYTES_AT_ONCE = 1 << 19
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -133,69 +140,88 @@ def signature(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), 11)).astype(np.int64))
 
 
-def token_levels(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Level of each sketch cell: 0 up to four times the mean count, then one more for each doubling."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, cells = Shingler(words), np.zeros(CELLS, np.uint32)
-        for whole in batches:
-            for part in slices(whole):
-                for s in shingler.sets(part.column(0).to_pylist()):
-                    np.add.at(cells, (s >> np.uint64(44)).astype(np.int64), 1)
-        for k, part in enumerate(np.split(cells, BLOCKS)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["block", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for whole in batches:
-            for k, c in zip(whole.column(0).to_pylist(), whole.column(1).to_pylist()):
-                part = np.frombuffer(zlib.decompress(c), np.uint32).astype(np.uint64)
-                total[k] = total[k] + part if k in total else part
-        rows = sorted(total.items())
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([c.tobytes() for _, c in rows], pa.binary())], ["block", "counts"])
-
-    parts = only(docs, text="string").mapInArrow(count, "block int, counts binary").repartition(8, "block").mapInArrow(add, "block int, counts binary").collect()
-    cells = np.zeros(CELLS, np.uint64)
-    for r in parts:
-        cells[r["block"] * (CELLS // BLOCKS) : (r["block"] + 1) * (CELLS // BLOCKS)] = np.frombuffer(r["counts"], np.uint64)
-    share = cells / max(4 * cells.mean(), 1.0)
-    return np.where(share > 1, np.ceil(np.log2(np.maximum(share, 1))), 0).astype(np.uint8)
-
-
-def set_nodes(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n (size of the set) and sig of each row."""
-
-    def make() -> Callable:
-        shingler = Shingler(words)
-        return lambda columns: ((k, len(s), signature(s)) for k, s in zip(columns[0], shingler.sets(columns[1])))
-
-    return map_rows(only(docs, doc_id="long", text="string"), "doc_id long, n long, sig long", make)
-
-
-def prefixes(docs: DataFrame, levels, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
-    """token, sig, place (size << 32 | position): the index entries of each document's set."""
+def window_bounds(most: int = 1 << 40) -> np.ndarray:
+    """The smallest size of each window; sizes grow by 8 / 5."""
+    out = [1]
+    while out[-1] < most:
+        out.append(max(out[-1] + 1, out[-1] * 8 // 5))
+    return np.array(out, np.int64)
+
+
+def most_apart(n, similarity: int):
+    """Tokens in which a set of n tokens and a set at least as large differ at most if they link."""
+    return (100 - similarity) * (n + 100 * n // similarity) // (100 + similarity)
+
+
+class Sieve:
+    """Range hashes of sets: windows(sets) gives for each set and window its number, the window, how many
+    ranges another set must share, and the hashes of the ranges that hold tokens."""
+
+    def __init__(self, similarity: int) -> None:
+        self.similarity, self.bounds = similarity, window_bounds()
+        self.apart = most_apart(self.bounds[1:] - 1, similarity)
+        self.ranges = self.apart + 1 + self.apart * SPARE // 100
+
+    def windows(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        n = np.array([len(s) for s in sets], np.int64)
+        high = np.searchsorted(self.bounds, n, "right") - 1
+        low = np.searchsorted(self.bounds, -(-self.similarity * n // 100), "right") - 1
+        low[n < least(self.similarity)] = high[n < least(self.similarity)] + 1
+        times = high - low + 1
+        own = np.repeat(np.arange(len(sets)), times)
+        window = np.repeat(low, times) + np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times)
+        if not len(own):
+            return own, window, window, window, window
+        ranges = self.ranges[window].astype(np.uint64)
+        size = n[own]
+        entry = np.repeat(np.arange(len(own)), size)
+        tokens = np.concatenate([sets[k] for k in own.tolist()])
+        part = (tokens >> np.uint64(32)) * ranges[entry] >> np.uint64(32)  # ascending within a set
+        starts = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (entry[1:] != entry[:-1])]))
+        sums = np.add.reduceat(_mixed(tokens ^ _C), starts)
+        hashes = _mixed(sums + part[starts] * _A + ranges[entry[starts]] * _B)
+        held = np.bincount(entry[starts], minlength=len(own))
+        apart = np.minimum(most_apart(size, self.similarity), self.apart[window])
+        need = self.ranges[window] - apart - (self.ranges[window] - held)
+        return own, window, need, hashes, held
+
+
+def sieve_rows(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
+    """For each row of docs and window (one row with a null window where the set is too small to link
+    with others): row (a key of the row), first (whether this is its first window), doc_id, n, sig,
+    need (ranges that another set must have too) and parts (the hashes of its ranges)."""
+    schema = "row long, first boolean, doc_id long, n long, sig long, need long, parts array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, level = Shingler(words), levels.value
+        shingler, sieve, at = Shingler(words), Sieve(similarity), TaskContext.get().partitionId() << 40
         for whole in batches:
             for part in slices(whole):
-                token, size, sig, pos = [], [], [], []
-                for s in shingler.sets(part.column(0).to_pylist()):
-                    n = len(s)
-                    if n < least(similarity):
-                        continue
-                    k = n - -(-similarity * n // 100) + SHARED + n // SHARE
-                    lv = level[(s >> np.uint64(44)).astype(np.int64)]
-                    first = s[np.argsort(lv, kind="stable")[:k]] if lv.any() else s[:k]
-                    token.append(first)
-                    size.append(n)
-                    sig.append(signature(s))
-                    pos.append(len(first))
-                if token:
-                    place = (np.repeat(np.array(size, np.int64), pos) << 32) | np.concatenate([np.arange(x) for x in pos])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.repeat(np.array(sig, np.int64), pos)), pa.array(place)], ["token", "sig", "place"])
-
-    return only(docs, text="string").mapInArrow(run, "token long, sig long, place long")
+                sets = list(shingler.sets(part.column(1).to_pylist()))
+                own, _, need, hashes, held = sieve.windows(sets)
+                alone = np.setdiff1d(np.arange(len(sets)), own)
+                rows = np.concatenate([own, alone])
+                first = np.concatenate([[True], own[1:] != own[:-1], np.ones(len(alone), bool)]) if len(own) else np.ones(len(alone), bool)
+                ends = np.concatenate([[0], np.cumsum(held), np.full(len(alone), held.sum())]).astype(np.int32)
+                sig = np.array([signature(s) for s in sets], np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(rows + at), pa.array(first), part.column(0).take(pa.array(rows)), pa.array(np.array([len(s) for s in sets], np.int64)[rows]), pa.array(sig[rows]),
+                        pa.array(np.concatenate([need, np.ones(len(alone), np.int64)])), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.astype(np.uint64).view(np.int64))),
+                    ],
+                    ["row", "first", "doc_id", "n", "sig", "need", "parts"],
+                )
+                at += len(sets)
+
+    return only(docs, doc_id="long", text="string").mapInArrow(run, schema)
+
+
+def sieved(rows: DataFrame) -> DataFrame:
+    """n, sig and the smallest doc_id of the sets of sieve_rows() that share as many ranges as they need."""
+    parts = rows.filter(F.size("parts") > 0)
+    lists = parts.select(F.explode("parts").alias("part"), "sig").groupBy("part").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).filter("low <> high").select("part")
+    shared = parts.select("row", "need", F.explode("parts").alias("part")).join(lists.hint("shuffle_hash"), "part", "left_semi").groupBy("row", "need").count().filter("count >= need")
+    keys = shared.select("row").union(rows.filter("need <= 0").select("row")).distinct()
+    return rows.filter("first").select("row", "doc_id", "n", "sig").join(keys, "row").groupBy("n", "sig").agg(F.min("doc_id").alias("doc_id"))
 
 
 def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -219,88 +245,107 @@ def components(links: DataFrame) -> DataFrame:
         large = large.filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = written(small.filter("u <> v").distinct(), "edges")
+        old, edges = edges, written(small.filter("u <> v").distinct(), "edges")
+        dropped(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
 
 
-def _need(nx, ny, similarity):
+def _need(nx: Column, ny: Column, similarity: int) -> Column:
     """Tokens that linked sets of these sizes have in common at least."""
     return F.ceil((nx + ny) * similarity / (100 + similarity) - F.lit(1e-9))
 
 
-def _shared(n, similarity):
-    """Prefix tokens that a set has in common with any set that it links with, at least: shared() of the
-    smallest partner that it can have."""
-    return F.lit(SHARED) + F.floor(F.ceil(n * similarity / F.lit(100)) / SHARE)
+def _largest(n: Column, i: Column, similarity: int) -> Column:
+    """The largest size of a set that can link with a set of n tokens of which the first i are not shared."""
+    return F.floor((n - i) * (100 + similarity) / F.lit(similarity) - n + F.lit(1e-6))
 
 
-def _possible(nx, ny, i, j, similarity):
-    """Whether sizes and positions of a common token leave room for a link. Linked sets have SHARED
-    tokens in common within their first n - need + SHARED, so later entries are skipped."""
-    need = _need(nx, ny, similarity)
-    left = F.least(i, j) + 1 + F.least(nx - i - 1, ny - j - 1)
-    return (100 * F.least(nx, ny) >= similarity * F.greatest(nx, ny)) & (left >= need) & (i < nx - need + SHARED) & (j < ny - need + SHARED)
+def _possible(nx: Column, ny: Column, i: Column, j: Column, similarity: int) -> Column:
+    """Whether sets of these sizes can link if their first common tokens are at these positions."""
+    return (100 * F.least(nx, ny) >= similarity * F.greatest(nx, ny)) & (1 + F.least(nx - i - 1, ny - j - 1) >= _need(nx, ny, similarity))
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b of struct<n,sig>) with both (common tokens) and far (set distance)."""
-    one = sets.select(F.struct("n", "sig").alias("a"), F.col("tokens").alias("ta"))
-    two = sets.select(F.struct("n", "sig").alias("b"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    found = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"))
-    return found.withColumn("far", 1 - F.col("both") / (F.col("a.n") + F.col("b.n") - F.col("both")))
+    """The pairs (a, b: sigs) with na, nb (sizes) and both (common tokens)."""
+    one = sets.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    two = sets.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("both"))
 
 
-def _links(found: DataFrame, similarity: int) -> DataFrame:
-    return found.filter(100 * F.col("both") >= similarity * (F.col("a.n") + F.col("b.n") - F.col("both"))).select("a", "b")
+def linked(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Those of the pairs (a, b) that link."""
+    return compared(pairs, sets).filter(100 * F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def class_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, sig) of all rows, and (n, sig, component_id) of all sets."""
-    spark = docs.sparkSession
-    docs = only(docs, doc_id="long", text="string")
-    nodes = written(set_nodes(docs, words), "nodes")
-    classes = nodes.filter("n > 0").groupBy("n", "sig").agg(F.min("doc_id").alias("first"))
-    levels = spark.sparkContext.broadcast(token_levels(docs, words))
-    entries = prefixes(docs, levels, words, similarity)
-    # lists of two or more sets; a list of copies of one set is none
-    lists = entries.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).filter("low <> high").select("token")
-    entries = entries.join(lists, "token").select("token", F.struct(F.shiftright("place", 32).alias("n"), "sig").alias("s"), F.col("place").bitwiseAND((1 << 32) - 1).alias("pos"))
-    entries = written(entries.dropDuplicates(["token", "s"]), "lists")
-    enough = entries.groupBy("s").agg(F.count("*").alias("held")).filter(F.col("held") >= _shared(F.col("s.n"), similarity))
-    entries = written(entries.join(enough, "s"), "index")  # held: the set's lists, many for the centre of a group
-    named = written(enough.select("s.n", "s.sig").join(classes, ["n", "sig"]).select(F.col("first").alias("doc_id")).distinct(), "named")
-    if named.count() <= BROADCAST_ROWS:
-        named = F.broadcast(named)
-    sets = written(sets_of(docs.join(named, "doc_id"), words).dropDuplicates(["n", "sig"]), "sets")
-    links, roots, leaders, known = None, None, None, None
+def index_entries(sets: DataFrame, similarity: int) -> DataFrame:
+    """token, s (sig), n, pos, own (tokens of that set alone): the index entries of sets (n, sig, tokens)."""
+    tokens = sets.select("sig", "n", F.explode("tokens").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = tokens.join(counts, "token").groupBy("sig").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    own = F.col("n") - F.size("shared")
+    prefix = F.col("n") - F.ceil(F.col("n") * similarity / F.lit(100) - F.lit(1e-9)) + 1
+    first = shared.withColumn("own", own).filter(F.col("own") < prefix).select("sig", "n", "own", F.posexplode(F.slice("shared", F.lit(1), (prefix - F.col("own")).cast("int"))).alias("k", "t"))
+    return first.select("t.token", F.col("sig").alias("s"), "n", (F.col("own") + F.col("k")).alias("pos"), "own")
+
+
+def block_pairs(rows: DataFrame, similarity: int) -> DataFrame:
+    """a, b: the pairs of different components that entries (with root, and lead: the root of the list's
+    leader) leave, joined by token and size class: see the module's text."""
+    step = float(np.log(100 / similarity) / CLASSES)
+
+    def size_class(n: Column) -> Column:
+        return F.floor(F.log(n) / step).cast("int")
+
+    small = rows.withColumn("most", F.least(_largest(F.col("n"), F.col("pos"), similarity), F.floor(100 * F.col("n") / F.lit(similarity)))).filter("most >= n")
+    small = small.select("token", F.col("s").alias("a"), F.col("n").alias("na"), F.col("pos").alias("i"), F.col("root").alias("ra"), (F.col("root") == F.col("lead")).alias("main"), F.explode(F.sequence(size_class(F.col("n")), size_class(F.col("most")))).alias("block"))
+    large = rows.select("token", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("j"), F.col("root").alias("rb"), (F.col("root") == F.col("lead")).alias("other_main"), size_class(F.col("n")).alias("block"))
+    fits = (F.col("ra") != F.col("rb")) & (F.col("na") <= F.col("nb")) & _possible(F.col("na"), F.col("nb"), F.col("i"), F.col("j"), similarity)
+    found = [x.join(y, ["token", "block"]).filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for x, y in ((small.filter("not main"), large), (small.filter("main"), large.filter("not other_main")))]
+    return found[0].union(found[1]).distinct()
+
+
+def set_components(sets: DataFrame, similarity: int) -> DataFrame | None:
+    """node, root (sigs) of all sets (n, sig, tokens) that link with another one."""
+    entries, roots = written(index_entries(sets, similarity), "entries"), None
     for turn in range(ROUNDS + 1):
         rows = entries.withColumn("root", F.col("s")) if roots is None else entries.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-        if roots is not None:
-            several = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
-            rows = rows.join(several, "token")
+        # lists of one component are done
+        leads = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("own", F.xxhash64(F.lit(turn), "s").alias("h"), "s", "n", "pos", "root")).alias("lead")).filter("low <> high")
+        rows = rows.join(leads.select("token", "lead"), "token")
         if turn < ROUNDS:
-            first = (F.col("held") if turn == 0 else F.lit(0)).alias("first")
-            leads = rows.groupBy("token").agg(F.max(F.struct(first, F.xxhash64(F.lit(turn), "s").alias("h"), "s", "pos", "root")).alias("lead"))
-            pairs = rows.join(leads, "token").filter("root <> lead.root").filter(_possible(F.col("s.n"), F.col("lead.s.n"), F.col("pos"), F.col("lead.pos"), similarity)).select(F.col("s").alias("a"), F.col("lead.s").alias("b"))
+            fits = _possible(F.col("n"), F.col("lead.n"), F.col("pos"), F.col("lead.pos"), similarity)
+            pairs = rows.filter("root <> lead.root").filter(fits).select(F.least("s", "lead.s").alias("a"), F.greatest("s", "lead.s").alias("b")).distinct()
         else:
-            # each entry's distance to the leader its list had at first, where they were compared
-            near = known.select(F.col("a").alias("s"), F.col("b").alias("lead"), "far")
-            rows = rows.join(leaders, "token").join(near, ["s", "lead"], "left").withColumn("far", F.when(F.col("s") == F.col("lead"), 0.0).otherwise(F.col("far")))
-            size_class = F.floor(F.log(F.col("s.n")) / F.lit(float(np.log(100 / similarity))))
-            left = rows.select("token", F.col("s").alias("a"), F.col("pos").alias("i"), F.col("root").alias("ra"), F.col("far").alias("fa"), size_class.alias("block"))
-            right = rows.select("token", F.col("s").alias("b"), F.col("pos").alias("j"), F.col("root").alias("rb"), F.col("far").alias("fb"), F.explode(F.array(size_class, size_class - 1)).alias("block"))
-            pairs = left.join(right, ["token", "block"]).filter("a < b and ra <> rb").filter(F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= (100 - similarity) / 100 + 1e-9, F.lit(True))).filter(_possible(F.col("a.n"), F.col("b.n"), F.col("i"), F.col("j"), similarity)).select("a", "b")
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= SHARED).select("a", "b")
-        new = written(compared(pairs, sets), "compared")
-        if turn == 0:
-            known, leaders = new, written(leads.select("token", F.col("lead.s").alias("lead")), "leaders")
-        links = _links(new, similarity) if links is None else links.union(_links(new, similarity))
-        roots = components(links)
-    found = classes.withColumn("s", F.struct("n", "sig")).join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+            pairs = block_pairs(written(rows.withColumn("lead", F.col("lead.root")), "open"), similarity)
+        links = linked(pairs, sets, similarity)
+        if roots is not None:
+            for end in ("a", "b"):
+                links = links.join(roots.select(F.col("node").alias(end), F.col("root").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        new = components(links)
+        if roots is not None:
+            moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+            new = written(moved.union(new.join(roots, "node", "left_anti").select("node", "root")), "roots")
+        roots = new
+    return roots
+
+
+def class_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, sig) of all rows, and (n, sig, component_id) of all sets."""
+    docs = only(docs, doc_id="long", text="string")
+    sieve = written(sieve_rows(docs, words, similarity), "sieve")
+    named = written(sieved(sieve), "named")
+    nodes = written(sieve.filter("first").select("doc_id", "n", "sig"), "nodes")
+    dropped(sieve)
+    ids = named.select("doc_id").distinct()
+    if named.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    sets = sets_of(docs.join(ids, "doc_id"), words).join(named.select("n", "sig"), ["n", "sig"], "left_semi")
+    roots = set_components(written(sets.dropDuplicates(["n", "sig"]), "sets"), similarity)
+    classes = nodes.filter("n > 0").groupBy("n", "sig").agg(F.min("doc_id").alias("first"))
+    found = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = found.groupBy("root").agg(F.min("first").alias("component_id"))
     return nodes, found.join(least, "root").select("n", "sig", "component_id")
 
