@@ -20,8 +20,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -155,14 +157,17 @@ class Encoder:
         self.ids += ids
 
     def cut(self, segments: list[str], keys: np.ndarray) -> list[bytes]:
-        """The ids of each occurrence of a segment."""
-        new = list(dict.fromkeys(s for s in segments if s not in self.number and len(s) <= LONG))
-        if len(self.number) + len(new) > REMEMBERED:
+        """The ids of each occurrence of a segment. Segments that are new and stand here once are not
+        remembered, but cut with their draws at once."""
+        number = np.fromiter(map(self.number.get, segments, repeat(-1)), np.int64, len(segments))
+        open_ = np.flatnonzero(number < 0).tolist()
+        new = [s for s, n in Counter([segments[i] for i in open_]).items() if n > 1 and len(s) <= LONG]
+        if len(self.number) + len(new) > REMEMBERED and len(self.number) > 1:
             self.forget()
-            new = list(dict.fromkeys(s for s in segments if s != _LITERAL and len(s) <= LONG))
+            return self.cut(segments, keys)
         for k in range(0, len(new), SEGMENTS_AT_ONCE):
             self.remember(new[k : k + SEGMENTS_AT_ONCE])
-        number = np.fromiter((self.number.get(s, -1) for s in segments), np.int64, len(segments))
+        number[open_] = [self.number.get(segments[i], -1) for i in open_]
         short = np.flatnonzero(number >= 0)
         size = (self.starts[1:] - self.starts[:-1])[number[short]]
         owner = np.repeat(short, size)
@@ -170,11 +175,14 @@ class Encoder:
         apart = np.unique(owner[self.skipped(keys[owner], self.drawn[place])]) if self.dropout else short[:0]
         ids = self.ids
         out = [ids[n] if n >= 0 else b"" for n in number.tolist()]
+        alone = np.flatnonzero(number < 0)
+        long = np.fromiter((len(segments[i]) > LONG for i in alone.tolist()), bool, len(alone))
+        apart = np.concatenate([apart, alone[~long]])
         for k in range(0, len(apart), SEGMENTS_AT_ONCE):
             some = apart[k : k + SEGMENTS_AT_ONCE]
             for i, x in zip(some.tolist(), self.cut_many([segments[i] for i in some.tolist()], keys[some])):
                 out[i] = x
-        for i in np.flatnonzero(number < 0).tolist():
+        for i in alone[long].tolist():
             out[i] = self.cut_long(segments[i], keys[i])
         return out
 
