@@ -1,13 +1,15 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick machine finds anchors in one pass: at-signs, schemes and identifier cues. From each
-anchor a deterministic local parser expands left and right and validates what it has. Base kinds:
-email, ip, card, phone; ip, card and phone have no fixed anchor text, so runs of digits are theirs.
-Added kinds: url (from ://), account (an identifier after a cue such as iban or ssn, validated).
+An Aho-Corasick machine finds anchors in one pass: at-signs, schemes, identifier cues, dots, plus signs
+and digits. From each anchor a deterministic local parser expands left and right and validates what it
+has. Base kinds: email (from @), ip (from a dot: the chain of digit runs around it, four at a time), card
+(from the first digit of a run), phone (from +). Added kinds: url (from ://), account (an identifier after
+a cue such as iban or ssn, validated).
 
 Per kind, spans are leftmost and do not overlap; a candidate that fails its validation is dropped
-and its characters stay used up. Offsets are code points, end exclusive. Null and empty texts have
-no spans. Very long texts are parsed whole. Other columns of the input are not read.
+and its characters stay used up, so each parser reads a character a bounded number of times and very long
+texts, which are parsed whole, take linear time. Offsets are code points, end exclusive. Null and empty
+texts have no spans. Equal rows give equal results; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ from kerbgrid.llm.common import map_rows, only
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
 #: Anchors of the machine and what they announce.
-ANCHORS = {"@": "email", "://": "url", "iban": "account", "ssn": "account", "account": "account", "passport": "account"}
+ANCHORS = {"@": "email", ".": "ip", "+": "phone", "://": "url", "iban": "account", "ssn": "account", "account": "account", "passport": "account"} | dict.fromkeys("0123456789", "card")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
-_CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
+_CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+_CARD = re.compile(r"[0-9](?:[ -]?[0-9])*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SCHEME = re.compile(r"(?:https?|ftp|ssh|wss?)\Z", re.I | re.A)
 _URL = re.compile(r"[A-Za-z0-9.-]+(?::[0-9]+)?(?:[/?#][^\s<>\"']*)?")
@@ -36,7 +38,7 @@ _CUE_END = re.compile(r"(?:\s?(?:number|no\.?|nr\.?|id))?[\s:#=]{1,3}", re.I | r
 _ACCOUNT = re.compile(r"[A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,33}", re.A)
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", re.A)
-_DIGITS = re.compile(r"[0-9]")
+_DIGITS = frozenset("0123456789")
 
 
 def luhn(digits: str) -> bool:
@@ -85,13 +87,42 @@ def parse(text: str | None, anchors) -> list[tuple[str, int, int]]:
         after, before = last + 1, last + 1 - width
         if before < used[kind]:
             continue
-        if kind == "email":
+        if kind == "card":
+            m = _CARD.match(text, before)
+            used[kind] = m.end()
+            if m.end() - before < 12 or not (12 <= len(digits := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(digits)):
+                continue
+            start, end = before, m.end()
+        elif kind == "ip":
+            start = before
+            while start > used[kind] and text[start - 1] in _DIGITS:
+                start -= 1
+            if start == before or text[after : after + 1] not in _DIGITS:
+                continue
+            m = _CHAIN.match(text, start)
+            used[kind] = m.end()
+            runs, at = m[0].split("."), start
+            for k in range(0, len(runs) - 3, 4):
+                four = runs[k : k + 4]
+                to = at + sum(map(len, four)) + 3
+                if all(map(_small, four)):
+                    out.append((at, KINDS.index(kind), to))
+                at = to + 1
+            continue
+        elif kind == "email":
             start = before
             while start > used[kind] and text[start - 1] in _LOCAL:
                 start -= 1
             if start == before or not (m := _DOMAIN.match(text, after)):
                 continue
             end = m.end()
+        elif kind == "phone":
+            if not (m := _PHONE.match(text, before)):
+                continue
+            start, end = before, m.end()
+            used[kind] = end
+            if not 9 <= sum(map(m[0].count, "0123456789")) <= 15:
+                continue
         elif kind == "url":
             if not (m := _SCHEME.search(text, max(used[kind], before - 5), before)) or not (tail := _URL.match(text, after)):
                 continue
@@ -115,16 +146,6 @@ def parse(text: str | None, anchors) -> list[tuple[str, int, int]]:
             end = m.end()
         used[kind] = end
         out.append((start, KINDS.index(kind), end))
-    if _DIGITS.search(text):
-        for m in _IP.finditer(text) if text.count(".") > 2 else ():
-            if all(map(_small, m.groups())):
-                out.append((m.start(), 1, m.end()))
-        for m in _CARD.finditer(text):
-            if m.end() - m.start() >= 12 and 12 <= len(digits := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(digits):
-                out.append((m.start(), 2, m.end()))
-        for m in _PHONE.finditer(text) if "+" in text else ():
-            if 9 <= sum(map(m[0].count, "0123456789")) <= 15:
-                out.append((m.start(), 3, m.end()))
     return [(KINDS[k], s, e) for s, k, e in sorted(out)]
 
 
