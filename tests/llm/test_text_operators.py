@@ -52,7 +52,7 @@ def test_minimised_automaton_has_no_equal_states():
 def _nfa(pattern):
     nfa = secrets.Nfa()
     start = nfa.new()
-    return nfa, start, {nfa.add(secrets.parser.parse(pattern), start, False): 0}
+    return nfa, start, {nfa.add(secrets.Expression(pattern).tree, start): 0}
 
 
 def test_redaction_takes_effect(spark, odd):
