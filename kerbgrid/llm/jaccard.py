@@ -39,7 +39,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +51,8 @@ BROADCAST_ROWS = 500_000
 ROUNDS, CLASSES = 2, 4
 #: Ranges beyond those that linked sets can differ in, per cent of these: what ranges without tokens cost.
 SPARE = 15
+#: Sets whose copies a task leaves out.
+SEEN = 200_000
 #: Bytes of text that become arrays at once.
 BYTES_AT_ONCE = 1 << 19
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -154,15 +155,16 @@ def most_apart(n, similarity: int):
 
 
 class Sieve:
-    """Range hashes of sets: windows(sets) gives for each set and window its number, the window, how many
-    ranges another set must share, and the hashes of the ranges that hold tokens."""
+    """Hashes of the ranges of sets."""
 
     def __init__(self, similarity: int) -> None:
         self.similarity, self.bounds = similarity, window_bounds()
         self.apart = most_apart(self.bounds[1:] - 1, similarity)
         self.ranges = self.apart + 1 + self.apart * SPARE // 100
 
-    def windows(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each set and window: the set's number, and how many of its ranges another set must share; and
+        for each of its ranges with tokens: which of those rows it is of, and its hash."""
         n = np.array([len(s) for s in sets], np.int64)
         high = np.searchsorted(self.bounds, n, "right") - 1
         low = np.searchsorted(self.bounds, -(-self.similarity * n // 100), "right") - 1
@@ -171,7 +173,7 @@ class Sieve:
         own = np.repeat(np.arange(len(sets)), times)
         window = np.repeat(low, times) + np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times)
         if not len(own):
-            return own, window, window, window, window
+            return own, window, window, window
         ranges = self.ranges[window].astype(np.uint64)
         size = n[own]
         entry = np.repeat(np.arange(len(own)), size)
@@ -179,49 +181,87 @@ class Sieve:
         part = (tokens >> np.uint64(32)) * ranges[entry] >> np.uint64(32)  # ascending within a set
         starts = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (entry[1:] != entry[:-1])]))
         sums = np.add.reduceat(_mixed(tokens ^ _C), starts)
-        hashes = _mixed(sums + part[starts] * _A + ranges[entry[starts]] * _B)
-        held = np.bincount(entry[starts], minlength=len(own))
+        row = entry[starts]
+        hashes = _mixed(sums + part[starts] * _A + ranges[row] * _B)
         apart = np.minimum(most_apart(size, self.similarity), self.apart[window])
-        need = self.ranges[window] - apart - (self.ranges[window] - held)
-        return own, window, need, hashes, held
+        return own, np.bincount(row, minlength=len(own)) - apart, row, hashes
 
 
-def sieve_rows(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
-    """For each row of docs and window (one row with a null window where the set is too small to link
-    with others): row (a key of the row), first (whether this is its first window), doc_id, n, sig,
-    need (ranges that another set must have too) and parts (the hashes of its ranges)."""
-    schema = "row long, first boolean, doc_id long, n long, sig long, need long, parts array<long>"
+def set_nodes(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, n (size of the set), sig and needs (for each window of the set how many ranges it must
+    share, none where it is too small to link with another one) of each row."""
+
+    def make() -> Callable:
+        shingler, sieve = Shingler(words), Sieve(similarity)
+
+        def rows(columns) -> Iterator[tuple]:
+            sets = list(shingler.sets(columns[1]))
+            own, need, _, _ = sieve.windows(sets)
+            needs: list[list[int]] = [[] for _ in sets]
+            for k, x in zip(own.tolist(), need.tolist()):
+                needs[k].append(x)
+            return ((k, len(s), signature(s), x) for k, s, x in zip(columns[0], sets, needs))
+
+        return rows
+
+    return map_rows(only(docs, doc_id="long", text="string"), "doc_id long, n long, sig long, needs array<long>", make)
+
+
+def range_rows(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
+    """part (hash of a range), mark (the upper bits of the set's sig, and in the last bit which of its
+    windows it is). Of copies that a task meets soon after each other only the first gives rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, sieve, at = Shingler(words), Sieve(similarity), TaskContext.get().partitionId() << 40
+        shingler, sieve, seen = Shingler(words), Sieve(similarity), set()
         for whole in batches:
             for part in slices(whole):
-                sets = list(shingler.sets(part.column(1).to_pylist()))
-                own, _, need, hashes, held = sieve.windows(sets)
-                alone = np.setdiff1d(np.arange(len(sets)), own)
-                rows = np.concatenate([own, alone])
-                first = np.concatenate([[True], own[1:] != own[:-1], np.ones(len(alone), bool)]) if len(own) else np.ones(len(alone), bool)
-                ends = np.concatenate([[0], np.cumsum(held), np.full(len(alone), held.sum())]).astype(np.int32)
-                sig = np.array([signature(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(rows + at), pa.array(first), part.column(0).take(pa.array(rows)), pa.array(np.array([len(s) for s in sets], np.int64)[rows]), pa.array(sig[rows]),
-                        pa.array(np.concatenate([need, np.ones(len(alone), np.int64)])), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.astype(np.uint64).view(np.int64))),
-                    ],
-                    ["row", "first", "doc_id", "n", "sig", "need", "parts"],
-                )
-                at += len(sets)
-
-    return only(docs, doc_id="long", text="string").mapInArrow(run, schema)
-
-
-def sieved(rows: DataFrame) -> DataFrame:
-    """n, sig and the smallest doc_id of the sets of sieve_rows() that share as many ranges as they need."""
-    parts = rows.filter(F.size("parts") > 0)
-    lists = parts.select(F.explode("parts").alias("part"), "sig").groupBy("part").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).filter("low <> high").select("part")
-    shared = parts.select("row", "need", F.explode("parts").alias("part")).join(lists.hint("shuffle_hash"), "part", "left_semi").groupBy("row", "need").count().filter("count >= need")
-    keys = shared.select("row").union(rows.filter("need <= 0").select("row")).distinct()
-    return rows.filter("first").select("row", "doc_id", "n", "sig").join(keys, "row").groupBy("n", "sig").agg(F.min("doc_id").alias("doc_id"))
+                sets = {}
+                for s in shingler.sets(part.column(0).to_pylist()):
+                    if (k := signature(s)) not in seen:
+                        sets[k] = s
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.update(sets)
+                own, _, row, hashes = sieve.windows(list(sets.values()))
+                if len(own):
+                    second = np.concatenate([[False], own[1:] == own[:-1]])
+                    mark = np.array(list(sets), np.int64)[own] >> 1 << 1 | second
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(mark[row])], ["part", "mark"])
+
+    return only(docs, text="string").mapInArrow(run, "part long, mark long")
+
+
+def shared_ranges(rows: DataFrame) -> DataFrame:
+    """mark, shared: how many of the ranges of range_rows() stand in another set too. One shuffle by
+    range; a list, however long, streams by in order of its marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, int, bool] | None = None  # range and mark of the last row, and whether it was its list's first
+        for batch in batches:
+            part, mark = (batch.column(k).to_numpy() for k in (0, 1))
+            if not len(part):
+                continue
+            if last is not None:
+                part, mark = np.concatenate([[last[0]], part]), np.concatenate([[last[1]], mark])
+            fresh = np.concatenate([[True], (part[1:] != part[:-1]) | (mark[1:] != mark[:-1])])
+            begins = np.concatenate([[last is None or last[2]], part[1:] != part[:-1]])[fresh]
+            part, mark = part[fresh], mark[fresh]
+            new = np.ones(len(mark), bool)
+            new[0] = last is None
+            out = [mark[~begins & new], mark[:-1][begins[:-1] & ~begins[1:]]]
+            last = (part[-1], mark[-1], bool(begins[-1]))
+            marks, times = np.unique(np.concatenate(out), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(marks), pa.array(times)], ["mark", "shared"])
+
+    ordered = rows.repartition("part").sortWithinPartitions("part", "mark")
+    return ordered.mapInArrow(run, "mark long, shared long").groupBy("mark").agg(F.sum("shared").alias("shared"))
+
+
+def sieved(nodes: DataFrame, shared: DataFrame) -> DataFrame:
+    """n, sig and the smallest doc_id of the sets that share as many ranges as they need in one of their windows."""
+    sets = nodes.filter(F.size("needs") > 0).groupBy("n", "sig").agg(F.min("doc_id").alias("doc_id"), F.first("needs").alias("needs"))
+    rows = sets.select("n", "sig", "doc_id", F.posexplode("needs").alias("k", "need")).withColumn("mark", F.shiftleft(F.shiftright("sig", 1), 1).bitwiseOR(F.col("k").cast("long")))
+    return rows.join(shared, "mark", "left").filter(F.coalesce("shared", F.lit(0)) >= F.col("need")).groupBy("n", "sig").agg(F.min("doc_id").alias("doc_id"))
 
 
 def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -335,10 +375,8 @@ def set_components(sets: DataFrame, similarity: int) -> DataFrame | None:
 def class_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sig) of all rows, and (n, sig, component_id) of all sets."""
     docs = only(docs, doc_id="long", text="string")
-    sieve = written(sieve_rows(docs, words, similarity), "sieve")
-    named = written(sieved(sieve), "named")
-    nodes = written(sieve.filter("first").select("doc_id", "n", "sig"), "nodes")
-    dropped(sieve)
+    nodes = written(set_nodes(docs, words, similarity), "nodes")
+    named = written(sieved(nodes, shared_ranges(range_rows(docs, words, similarity))), "named")
     ids = named.select("doc_id").distinct()
     if named.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
