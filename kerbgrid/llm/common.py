@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows, and bytes of text, that a Python task turns into objects at once (one longer text is taken
 #: alone): what bounds a worker's memory.
-ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 1 << 20
+ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

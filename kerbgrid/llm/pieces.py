@@ -169,10 +169,8 @@ class Encoder:
             self.remember(new[k : k + SEGMENTS_AT_ONCE])
         number[open_] = [self.number.get(segments[i], -1) for i in open_]
         short = np.flatnonzero(number >= 0)
-        size = (self.starts[1:] - self.starts[:-1])[number[short]]
-        owner = np.repeat(short, size)
-        place = np.arange(len(owner)) + np.repeat(self.starts[number[short]] - (np.cumsum(size) - size), size)
-        apart = np.unique(owner[self.skipped(keys[owner], self.drawn[place])]) if self.dropout else short[:0]
+        parts = [short[k : k + SEGMENTS_AT_ONCE] for k in range(0, len(short), SEGMENTS_AT_ONCE)] if self.dropout else []
+        apart = np.concatenate([short[:0], *[self.hit(x, number[x], keys) for x in parts]])
         ids = self.ids
         out = [ids[n] if n >= 0 else b"" for n in number.tolist()]
         alone = np.flatnonzero(number < 0)
@@ -186,6 +184,13 @@ class Encoder:
             out[i] = self.cut_long(segments[i], keys[i])
         return out
 
+    def hit(self, some: np.ndarray, number: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Those of some occurrences, of remembered segments, whose draws skip a candidate."""
+        size = self.starts[number + 1] - self.starts[number]
+        owner = np.repeat(some, size)
+        place = np.arange(len(owner)) + np.repeat(self.starts[number] - (np.cumsum(size) - size), size)
+        return np.unique(owner[self.skipped(keys[owner], self.drawn[place])])
+
     def cut_many(self, segments: list[str], keys: np.ndarray) -> list[bytes]:
         """The ids of each segment, as bytes of 32-bit numbers (which the garbage collector needn't visit); each round takes the best candidate of every segment."""
         look = self.words.characters.get
