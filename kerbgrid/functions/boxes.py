@@ -14,8 +14,11 @@ KM_PER_DEGREE = 111.0
 
 
 def parsed_box(text: Column) -> Column:
-    """JSON text of four numbers (numeric strings too) as array<double>; anything else is null."""
-    some = F.transform(F.from_json(text, "array<string>"), lambda x: x.try_cast("double"))
+    """JSON text of four numbers (numeric strings too) as array<double>; anything else is null. A plain
+    list of numbers is split; only other texts go through the JSON parser."""
+    plain = text.rlike(r"^\[-?[0-9]+(\.[0-9]+)?(, ?-?[0-9]+(\.[0-9]+)?){3}\]$")
+    parts = F.when(plain, F.split(F.translate(text, "[] ", ""), ",")).otherwise(F.from_json(text, "array<string>"))
+    some = F.transform(parts, lambda x: x.try_cast("double"))
     return F.when((F.size(some) == 4) & F.forall(some, lambda x: x.isNotNull()), some)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 SEVERITY = {"billboard": 0.9, "graffiti": 0.4, "pothole": 0.1, "utility_pole": 0.3, "bin": 0.2, "road_sign": 0.0, "barrier": 0.1, "mobile_advertisement": 0.05, "shop_sign": 0.05}
 #: Weight of each listed feature type.
 FEATURE_SEVERITY = {"billboard": 0.9, "power": 0.3, "bin": 0.2, "barrier": 0.1, "traffic_sign": 0.0, "traffic_light": 0.0, "street_light": 0.0, "other": 0.0}
+#: Share of the feature index in the blend, and least images and features of a score.
 FEATURE_WEIGHT = 0.5
 MIN_IMAGES = MIN_FEATURES = 300
 #: Detector classes, in the order of their ids.
@@ -16,6 +17,8 @@ CLASSES = ("barrier", "billboard", "bin", "graffiti", "mobile_advertisement", "p
 #: Reported land uses, by priority.
 LAND_USES = ("commercial", "residential", "industrial", "retail", "park/leisure/green")
 MIXED_USE = "mixed-use"
+#: Label of points without any land use, where they are asked for.
+UNMATCHED = "unmatched"
 #: Tag values of each land use.
 MIXED_TAGS = ("mixed", "mixed_use", "mixed-use")
 PLAIN_TAGS = ("commercial", "residential", "industrial", "retail")
@@ -34,6 +37,8 @@ FEATURE_RULES = (
 #: Features that are asked for: (tag, value or None for any).
 FEATURE_SELECTORS = (("amenity", "waste_basket"), ("power", None), ("advertising", "billboard"), ("barrier", None), ("highway", "traffic_signals"))
 #: Right-closed bins of counts.
+CATEGORIES = ((0, "0"), (5, "1–5"), (10, "5–10"), (25, "10–25"), (50, "25–50"), (100, "50–100"), (250, "100–250"), (1000, "250+"))
+#: The same bins under labels of our own, which name both ends.
 BINS = ((0, "0"), (5, "1-5"), (10, "6-10"), (25, "11-25"), (50, "26-50"), (100, "51-100"), (250, "101-250"), (1000, "251-1000"))
 
 
@@ -54,10 +59,10 @@ def class_name(number: Column) -> Column:
     return F.try_element_at(literal_map(dict(enumerate(CLASSES))), number)
 
 
-def count_bin(n: Column) -> Column:
+def count_bin(n: Column, bins: tuple = BINS) -> Column:
     """Label of the bin of a count; null above the last and below 0."""
     out = F.when(n < 0, None)
-    for top, label in BINS:
+    for top, label in bins:
         out = out.when(n <= top, label)
     return out
 

@@ -77,15 +77,18 @@ def in_window(moment_: Column, start: Column, end: Column) -> Column:
     return (start.isNull() | (moment_ >= start)) & (end.isNull() | (moment_ <= end))
 
 
-#: File suffixes by content type.
-SUFFIXES = {"image/jpeg": ".jpg", "image/png": ".png", "image/webp": ".webp", "image/gif": ".gif", "image/bmp": ".bmp"}
+#: Suffixes of images in URLs, and suffixes by content type.
+IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp", ".bmp", ".tif", ".tiff")
+SUFFIXES = {
+    "image/jpeg": ".jpg", "image/png": ".png", "image/webp": ".webp", "image/gif": ".gif", "image/bmp": ".bmp", "image/tiff": ".tiff", "image/svg+xml": ".svg", "image/avif": ".avif", "image/heic": ".heic",
+}
 
 
 def image_suffix(url: Column, content_type: Column) -> Column:
-    """Suffix of the URL's path, else by content type, else .jpg."""
+    """Suffix of the URL's path if it is one of an image, else by content type, else .jpg."""
     found = F.lower(F.regexp_extract(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), r"(\.[A-Za-z0-9]{1,5})$", 1))
     kind = F.lower(F.trim(F.split_part(F.coalesce(content_type, F.lit("")), F.lit(";"), F.lit(1))))
-    return F.coalesce(F.nullif(found, F.lit("")), F.try_element_at(F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv]), kind), F.lit(".jpg"))
+    return F.coalesce(F.when(found.isin(*IMAGE_SUFFIXES), found), F.try_element_at(F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv]), kind), F.lit(".jpg"))
 
 
 def safe_token(text: Column) -> Column:

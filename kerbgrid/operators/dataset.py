@@ -6,48 +6,85 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbgrid.functions.boxes import centre_box, parsed_box, percent_rectangle, percent_to_centre
+from kerbgrid.functions.lookups import CLASSES, class_id
 
 TRAIN, VAL = 0.7, 0.2
 
 
+def seeded(seed: int, key: str = "image_id") -> Column:
+    """The key of a seeded shuffle."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
+
+
 def sample_per_country(images: DataFrame, regions: DataFrame, n: int = 10, seed: int = 0) -> DataFrame:
-    """n images of each country by a seeded hash of their id: the same rows in each run."""
+    """n images of each country by a seeded hash of their id: the same rows in each run and engine."""
     rows = images.join(regions.select("region_id", "country"), "region_id")
-    order = Window.partitionBy("country").orderBy(F.xxhash64(F.lit(seed), "image_id"), "image_id")
+    order = Window.partitionBy("country").orderBy(seeded(seed), "image_id")
     return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
 
 
 def sample_of_region(images: DataFrame, region_id, k: int, seed: int = 0) -> DataFrame:
-    return images.filter(F.col("region_id") == region_id).orderBy(F.xxhash64(F.lit(seed), "image_id"), "image_id").limit(k)
+    return images.filter(F.col("region_id") == region_id).orderBy(seeded(seed), "image_id").limit(k)
+
+
+def with_parsed(detections: DataFrame) -> DataFrame:
+    """detections with their readable box as corners (null: unreadable). The generator keeps the parsing
+    from being copied into each expression and filter that reads it."""
+    return detections.select("*", F.explode(F.array(parsed_box(F.col("bbox")))).alias("corners"))
 
 
 def centre_boxes(images: DataFrame, detections: DataFrame) -> DataFrame:
     """image_id, detection_id and class_id, xc, yc, w, h of each usable box."""
-    rows = detections.join(images.select("image_id", "width", "height"), "image_id")
-    box = centre_box(parsed_box(F.col("bbox")), F.col("width"), F.col("height"), F.col("label"))
+    rows = with_parsed(detections).join(images.select("image_id", "width", "height"), "image_id")
+    box = centre_box(F.col("corners"), F.col("width"), F.col("height"), F.col("label"))
     return rows.select("image_id", "detection_id", box.alias("box")).filter("box is not null").select("image_id", "detection_id", "box.*")
 
 
 def export_records(images: DataFrame, regions: DataFrame, detections: DataFrame) -> DataFrame:
-    """One nested record an image: region, predictions, usable boxes."""
-    pred = F.struct("detection_id", "label", "confidence", parsed_box(F.col("bbox")).alias("bbox"))
-    preds = detections.groupBy("image_id").agg(F.array_sort(F.collect_list(pred)).alias("predictions"))
+    """One nested record an image: its fields, those of its region, boxes (usable ones) and predictions
+    (label, class_id, confidence, bbox; detections with an unreadable box are dropped)."""
+    read = with_parsed(detections).filter("corners IS NOT NULL")
+    pred = F.struct("detection_id", "label", class_id(F.col("label")).alias("class_id"), "confidence", F.col("corners").alias("bbox"))
+    preds = read.groupBy("image_id").agg(F.array_sort(F.collect_list(pred)).alias("predictions"))
     boxes = centre_boxes(images, detections).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("detection_id", "class_id", "xc", "yc", "w", "h"))).alias("boxes"))
-    region = regions.select("region_id", F.struct("region_id", "city", "country").alias("region"))
+    name = F.col("name") if "name" in regions.columns else F.lit(None).cast("string")
+    region = regions.select("region_id", name.alias("region_name"), "city", "country")
     rows = images.join(region, "region_id", "left").join(preds, "image_id", "left").join(boxes, "image_id", "left")
-    none = lambda c: F.coalesce(F.col(c), F.array())
-    return rows.select("image_id", "url", "width", "height", "region", none("predictions").alias("predictions"), none("boxes").alias("boxes"))
+    none = lambda c: F.coalesce(F.col(c), F.array()).alias(c)
+    return rows.select(F.lit("image").alias("type"), "image_id", "url", "width", "height", "region_id", "region_name", "city", "country", "lng", "lat", none("boxes"), none("predictions"))
+
+
+def annotated_records(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """One nested record for each image with annotated boxes (image_id, id, class_id, xc, yc, w, h), by an
+    inner join: boxes of images that are not stored are left out."""
+    some = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("id", "class_id", "xc", "yc", "w", "h"))).alias("boxes"))
+    return images.select("image_id", "url", "width", "height").join(some, "image_id").select(F.lit("image").alias("type"), "*")
+
+
+#: The descriptor of an exported dataset.
+DESCRIPTOR = {"type": "dataset", "task": "detect", "name": "VP Detection", "description": "Dataset containing images of visual pollution"}
+FORMAT = {"storage": "tar-shards", "index": "ndjson"}
+
+
+def dataset_descriptor(spark, shard_size: int, index: str, shards: str) -> DataFrame:
+    """One row that describes an exported dataset: what it is, its classes by id, format and paths."""
+    lit = lambda values: [F.lit(v).alias(k) for k, v in values.items()]
+    format_ = F.struct(*lit(FORMAT), F.lit(True).alias("preserves_original_bytes"), F.lit(shard_size).alias("shard_size"))
+    names = F.create_map(*[F.lit(x) for i, c in enumerate(CLASSES) for x in (str(i), c)])
+    return spark.range(1).select(*lit(DESCRIPTOR), names.alias("class_names"), format_.alias("format"), F.struct(F.lit(index).alias("index"), F.lit(shards).alias("shards")).alias("paths"))
 
 
-def tasks(images: DataFrame, detections: DataFrame, batch: int = 1000) -> DataFrame:
+def tasks(images: DataFrame, detections: DataFrame, batch: int = 1000, keep_empty: bool = False, model_version: str | None = None) -> DataFrame:
     """Annotation tasks: image_id, score (largest confidence), results (percent rectangles by
-    confidence), JSON payload and batch number by image order."""
-    rect = percent_rectangle(parsed_box(F.col("bbox")), F.col("width"), F.col("height"), F.col("label"))
-    rows = detections.join(images.select("image_id", "width", "height", "url"), "image_id")
+    confidence), JSON payload and batch number by image order. With keep_empty images without
+    detections are tasks too, without predictions."""
+    rect = percent_rectangle(F.col("corners"), F.col("width"), F.col("height"), F.col("label"))
+    rows = with_parsed(detections).join(images.select("image_id", "width", "height"), "image_id")
     item = F.struct((-F.coalesce("confidence", F.lit(-1.0))).alias("c"), "label", "detection_id", rect.alias("rect"))
-    found = rows.groupBy("image_id", "url").agg(F.max("confidence").alias("score"), F.array_sort(F.collect_list(item)).alias("items"))
-    found = found.withColumn("results", F.transform("items", lambda x: x["rect"]))
-    payload = F.to_json(F.struct(F.struct("image_id", F.col("url").alias("image")).alias("data"), F.array(F.struct("score", F.col("results").alias("result"))).alias("predictions")))
+    found = rows.groupBy("image_id").agg(F.max("confidence").alias("score"), F.array_sort(F.collect_list(item)).alias("items"))
+    found = images.select("image_id", "url").join(found, "image_id", "left" if keep_empty else "inner").withColumn("results", F.transform("items", lambda x: x["rect"]))
+    prediction = F.struct(F.lit(model_version).cast("string").alias("model_version"), "score", F.col("results").alias("result"))
+    payload = F.to_json(F.struct(F.struct(F.col("url").alias("image"), "image_id").alias("data"), F.when(F.col("results").isNotNull(), F.array(prediction)).alias("predictions")))
     return with_index(found.select("image_id", "score", "results", payload.alias("payload")), "image_id").withColumn("batch", F.floor(F.col("index") / batch)).drop("index")
 
 
@@ -94,7 +131,7 @@ def balanced_split(rows: DataFrame, boxes: DataFrame, seed: int = 0, train: floa
     class is spread in proportion. Single images need not fall as a sequential draw would have it."""
     freq = boxes.groupBy("class_id").agg(F.count("*").alias("n"))
     rarest = boxes.join(F.broadcast(freq), "class_id").groupBy("image_id").agg(F.min(F.struct("n", "class_id"))["class_id"].alias("stratum"))
-    rows = with_index(rows.select("image_id").join(rarest, "image_id", "left").withColumn("h", F.xxhash64(F.lit(seed), "image_id")), F.coalesce("stratum", F.lit(-1)), "h", "image_id")
+    rows = with_index(rows.select("image_id").join(rarest, "image_id", "left").withColumn("h", seeded(seed)), F.coalesce("stratum", F.lit(-1)), "h", "image_id")
     n = rows.count()
     a, b = int(n * train), int(n * val)
     m = max(n - a, 1)

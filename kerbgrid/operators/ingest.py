@@ -88,6 +88,30 @@ def admitted_regions(regions: DataFrame, batch: DataFrame, override: bool = Fals
     return regions.unionByName(new_rows(regions, batch, "name", "region_id"), allowMissingColumns=True)
 
 
+def overridden(regions: DataFrame, batch: DataFrame, images: DataFrame, detections: DataFrame, features: DataFrame) -> dict[str, DataFrame]:
+    """Admission with override: regions of batch replace those of their name, and with these go their
+    images, the images' detections and their features. The tables by name, as in delete_regions."""
+    left = delete_regions(regions.join(batch.select("name").distinct(), "name", "left_semi"), regions, images, detections, features)
+    return left | {"regions": left["regions"].unionByName(batch, allowMissingColumns=True)}
+
+
+def features_of(features: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Features of the wanted regions and types: (region_id, osm_type), a null type stands for all."""
+    any_ = wanted.filter("osm_type is null").select("region_id").distinct()
+    some = wanted.filter("osm_type is not null").select("region_id", "osm_type").distinct()
+    return features.join(any_, "region_id", "left_semi").unionByName(features.join(any_, "region_id", "left_anti").join(some, ["region_id", "osm_type"], "left_semi"))
+
+
+#: Sources that dense scans leave out.
+NOT_DENSE = ("kartaview",)
+
+
+def eligible_sources(regions: DataFrame, sources: list[str]) -> DataFrame:
+    """region_id, source: the sources to ask for each region; dense scans leave some out."""
+    rows = regions.select("region_id", "dense_scan", F.explode(F.array(*map(F.lit, sources))).alias("source"))
+    return rows.filter(~(F.coalesce("dense_scan", F.lit(False)) & F.col("source").isin(*NOT_DENSE))).select("region_id", "source")
+
+
 def with_detections(images: DataFrame, detections: DataFrame, region_id=None, status: str | None = None) -> DataFrame:
     """Images with a detection at least, of a region and status if given."""
     if region_id is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbgrid.functions.lookups import LAND_USES, MIN_IMAGES, MIXED_USE, SEVERITY, count_bin, weight
+from kerbgrid.functions.lookups import BINS, LAND_USES, MIN_IMAGES, MIXED_USE, SEVERITY, UNMATCHED, count_bin, weight
 from kerbgrid.functions.text import clean_label, norm, ratio
 from kerbgrid.operators.score import detections_with_region, images_per_region
 
@@ -40,19 +40,20 @@ def billboard_ratio(wanted: DataFrame, regions: DataFrame, images: DataFrame, de
     return rows.select("region_id", named("city"), named("country"), zero("images").alias("images"), zero("billboards").alias("billboards"), zero("detections").alias("detections"), ratio(zero("billboards"), zero("images")).alias("per_image"))
 
 
-def cities_over(regions: DataFrame, counts: DataFrame, least: int) -> DataFrame:
-    """country, cities, bin: per country the cities whose rows of counts (region_id, n) sum to least or
-    more; countries without such cities have 0."""
-    per_city = counts.join(regions.select("region_id", "country", "city"), "region_id").groupBy("country", "city").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    per_country = per_city.groupBy("country").agg(F.count("*").alias("cities"))
-    found = regions.select("country").distinct().join(per_country, "country", "left").select("country", F.coalesce("cities", F.lit(0)).cast("long").alias("cities"))
-    return found.withColumn("bin", count_bin(F.col("cities")))
+def cities_over(regions: DataFrame, counts: DataFrame, least: int, by: str = "country", bins: tuple = BINS) -> DataFrame:
+    """country (or iso3, by that), cities, bin: per country the cities whose rows of counts (region_id, n)
+    sum to least or more; countries without such cities have 0, regions without the key are left out."""
+    known = regions.filter(F.col(by).isNotNull())
+    per_city = counts.join(known.select("region_id", by, "city"), "region_id").groupBy(by, "city").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    per_country = per_city.groupBy(by).agg(F.count("*").alias("cities"))
+    found = known.select(by).distinct().join(per_country, by, "left").select(by, F.coalesce("cities", F.lit(0)).cast("long").alias("cities"))
+    return found.withColumn("bin", count_bin(F.col("cities"), bins))
 
 
-def distinct_cities(regions: DataFrame) -> DataFrame:
-    """country, cities, bin over regions whose population is known."""
-    found = regions.filter(F.col("population").isNotNull()).groupBy("country").agg(F.countDistinct("city").alias("cities"))
-    return found.withColumn("bin", count_bin(F.col("cities")))
+def distinct_cities(regions: DataFrame, by: str = "country", bins: tuple = BINS) -> DataFrame:
+    """country (or iso3, by that), cities, bin over regions whose population and key are known."""
+    found = regions.filter(F.col("population").isNotNull() & F.col(by).isNotNull()).groupBy(by).agg(F.countDistinct("city").alias("cities"))
+    return found.withColumn("bin", count_bin(F.col("cities"), bins))
 
 
 def midpoints(regions: DataFrame) -> DataFrame:
@@ -117,10 +118,10 @@ def midpoint_extent(regions: DataFrame) -> DataFrame:
     return midpoints(regions).agg(F.min("lng").alias("min_lng"), F.min("lat").alias("min_lat"), F.max("lng").alias("max_lng"), F.max("lat").alias("max_lat"))
 
 
-def land_use_density(assigned: DataFrame, detections: DataFrame, include_mixed: bool = False) -> DataFrame:
+def land_use_density(assigned: DataFrame, detections: DataFrame, include_mixed: bool = False, include_unmatched: bool = False) -> DataFrame:
     """label, land_use, images, detections, density: detections an image for every label and land use,
     zero-filled; null density where a land use has no images. assigned: image_id, land_use."""
-    uses = [*LAND_USES, *([MIXED_USE] if include_mixed else [])]
+    uses = [*LAND_USES, *([MIXED_USE] if include_mixed else []), *([UNMATCHED] if include_unmatched else [])]
     grid = detections.sparkSession.createDataFrame([(u, i) for i, u in enumerate(uses)], "land_use string, place int")
     shown = assigned.filter(F.col("land_use").isin(uses))
     per_use = shown.groupBy("land_use").agg(F.count("*").alias("images"))

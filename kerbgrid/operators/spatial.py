@@ -6,17 +6,12 @@ and points have one cell, so candidates meet by hash; hot cells are left to adap
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType, DoubleType
 
-from kerbgrid.functions.boxes import in_box
-from kerbgrid.functions.lookups import land_use, resolved_land_use
+from kerbgrid.functions.boxes import EARTH_RADIUS, in_box, outline
+from kerbgrid.functions.lookups import UNMATCHED, land_use, resolved_land_use
 
 BOX = ("min_lng", "min_lat", "max_lng", "max_lat")
 
@@ -93,44 +88,58 @@ def inside_ring(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
     return inside & ~on_edge
 
 
-def _rings(rings: pd.Series) -> Iterator[np.ndarray]:
-    for r in rings:
-        yield np.array([(p["x"], p["y"]) for p in r], float)
+def edges_of(rings: Column) -> Column:
+    """The edges array<struct<ax,ay,bx,by>> of closed or open rings array<array<struct<x,y>>>; further rings
+    are holes."""
+
+    def of(r: Column) -> Column:
+        closed = F.concat(r, F.slice(r, 1, 1))
+        return F.transform(F.sequence(F.lit(1), F.size(r)), lambda k: F.struct(F.get(closed, k - 1)["x"].alias("ax"), F.get(closed, k - 1)["y"].alias("ay"), F.get(closed, k)["x"].alias("bx"), F.get(closed, k)["y"].alias("by")))
+
+    return F.flatten(F.transform(F.filter(rings, lambda r: F.size(r) > 0), of))
+
+
+def inside(x: Column, y: Column, edges: Column) -> Column:
+    """Whether a point is strictly inside: a ray from it crosses edges an odd number of times, and it is
+    on none."""
+
+    def crossed(e: Column) -> Column:
+        at = F.try_divide((e["bx"] - e["ax"]) * (y - e["ay"]), e["by"] - e["ay"]) + e["ax"]
+        return F.when((e["ay"] > y) != (e["by"] > y), x < at).otherwise(False).cast("int")
 
+    def touched(e: Column) -> Column:
+        on_line = (e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"]) == 0
+        return on_line & x.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])) & y.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"]))
 
-@pandas_udf(BooleanType())
-def point_within(x: pd.Series, y: pd.Series, ring: pd.Series) -> pd.Series:
-    """Whether a point is strictly inside a ring (array<struct<x,y>>)."""
-    return pd.Series([bool(inside_ring(np.array([a]), np.array([b]), r)[0]) for a, b, r in zip(x, y, _rings(ring))])
+    return (F.aggregate(edges, F.lit(0), lambda n, e: n + crossed(e)) % 2 == 1) & ~F.exists(edges, touched)
 
 
-@pandas_udf(DoubleType())
-def ring_distance(x: pd.Series, y: pd.Series, ring: pd.Series) -> pd.Series:
-    """Distance of a point to a ring's area, 0 inside and on the edge."""
+def edge_distance(x: Column, y: Column, edges: Column) -> Column:
+    """Distance of a point to the nearest edge."""
 
-    def one(px: float, py: float, r: np.ndarray) -> float:
-        if inside_ring(np.array([px]), np.array([py]), r)[0]:
-            return 0.0
-        a, d = r, np.roll(r, -1, axis=0) - r
-        length = (d * d).sum(1)
-        t = np.clip(((np.array([px, py]) - a) * d).sum(1) / np.where(length == 0, 1, length), 0, 1)
-        gap = a + t[:, None] * d - np.array([px, py])
-        return float(np.sqrt((gap * gap).sum(1)).min())
+    def one(e: Column) -> Column:
+        dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+        t = F.coalesce(F.try_divide((x - e["ax"]) * dx + (y - e["ay"]) * dy, dx * dx + dy * dy), F.lit(0.0))
+        t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+        return F.hypot(e["ax"] + t * dx - x, e["ay"] + t * dy - y)
 
-    return pd.Series([one(a, b, r) for a, b, r in zip(x, y, _rings(ring))])
+    return F.array_min(F.transform(edges, one))
 
 
-def with_bounds(polygons: DataFrame) -> DataFrame:
-    """Polygons (poly_id, ring) with the bounds of their ring."""
-    end = lambda f, k: f(F.transform("ring", lambda p: p[k]))
-    return polygons.withColumns({"bx0": end(F.array_min, "x"), "by0": end(F.array_min, "y"), "bx1": end(F.array_max, "x"), "by1": end(F.array_max, "y")})
+def with_edges(polygons: DataFrame) -> DataFrame:
+    """Polygons (rings array<array<struct<x,y>>>) with edges and the bounds bx0, by0, bx1, by1 of them."""
+    rows = polygons.withColumn("edges", edges_of(F.col("rings"))).filter(F.size("edges") > 0)
+    end = lambda f, k: f(F.transform("edges", lambda e: e[k]))
+    return rows.withColumns({"bx0": end(F.array_min, "ax"), "by0": end(F.array_min, "ay"), "bx1": end(F.array_max, "ax"), "by1": end(F.array_max, "ay")})
 
 
 def points_in_any(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """The points (point_id, x, y) strictly inside any polygon (poly_id, ring)."""
-    boxes = _in_cells(with_bounds(polygons), F.col("bx0"), F.col("by0"), F.col("bx1"), F.col("by1"), size)
+    """The points (point_id, x, y) strictly inside any polygon (poly_id, and rings or one ring)."""
+    rings = F.col("rings") if "rings" in polygons.columns else F.array("ring")
+    boxes = _in_cells(with_edges(polygons.select("poly_id", rings.alias("rings"))), F.col("bx0"), F.col("by0"), F.col("bx1"), F.col("by1"), size)
     near = _cell(points, "x", "y", size).join(boxes, ["cx", "cy"]).filter(F.col("x").between(F.col("bx0"), F.col("bx1")) & F.col("y").between(F.col("by0"), F.col("by1")))
-    return points.join(near.filter(point_within("x", "y", "ring")).select("point_id"), "point_id", "left_semi")
+    x, y, edges = F.col("x"), F.col("y"), F.col("edges")
+    return points.join(near.filter(inside(x, y, edges)).select("point_id"), "point_id", "left_semi")
 
 
 def within(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
@@ -155,20 +164,49 @@ def nearest(points: DataFrame, boxes: DataFrame, radius: float) -> DataFrame:
     return near.withColumn("rank", F.rank().over(least)).filter("rank = 1").select("point_id", "poly_id")
 
 
-def land_use_of_points(points: DataFrame, polygons: DataFrame, radius: float, size: float = 0.5) -> DataFrame:
-    """point_id, land_use: of the boxes around a point, else of the nearest within radius; a point's
-    classes are resolved to one. points: point_id, region_id, x, y; polygons: poly_id, region_id,
-    landuse, leisure, x0, y0, side."""
-    classed = polygons.withColumn("kind", land_use(F.col("landuse"), F.col("leisure"))).filter(F.col("kind").isNotNull())
-    inside = within(points, classed, size)
-    rest = points.join(inside.select("point_id"), "point_id", "left_anti")
-    found = inside.unionByName(nearest(rest, classed, radius)).join(classed.select("poly_id", "kind"), "poly_id")
-    return found.groupBy("point_id").agg(F.collect_set("kind").alias("kinds")).select("point_id", resolved_land_use(F.col("kinds")).alias("land_use"))
+def clipped(polygons: DataFrame, regions: DataFrame) -> DataFrame:
+    """Polygons (region_id, x0, y0, side) as rings, cut to their region's box; those outside are dropped."""
+    x0, y0 = F.greatest("x0", "min_lng"), F.greatest("y0", "min_lat")
+    x1, y1 = F.least(F.col("x0") + F.col("side"), F.col("max_lng")), F.least(F.col("y0") + F.col("side"), F.col("max_lat"))
+    rows = polygons.join(regions.select("region_id", *BOX), "region_id").filter((x1 > x0) & (y1 > y0))
+    return rows.select(*polygons.columns, F.array(outline((x0, y0, x1, y1))).alias("rings"))
+
+
+def land_use_of_points(points: DataFrame, polygons: DataFrame, radius: float, size: float = 0.5, include_unmatched: bool = False, true_metres: bool = False) -> DataFrame:
+    """point_id, land_use: of the polygons around a point, else of the nearest within radius (ties kept, to
+    nine decimals; a radius of 0 takes none); a point's classes are resolved to one. points: point_id, region_id, x, y; polygons:
+    poly_id, region_id, landuse, leisure and rings (holes after the outer one) or x0, y0, side. One
+    candidate join by grid cell and one group by point. include_unmatched: points without any are
+    UNMATCHED instead of left out. true_metres: coordinates are spherical Mercator metres and radius is
+    on the ground, where these are shorter by the cosine of the latitude (below 80 degrees)."""
+    x, y, ringed = F.col("x"), F.col("y"), "rings" in polygons.columns
+    classed = polygons.withColumn("kind", land_use(F.col("landuse"), F.col("leisure"))).filter("kind is not null")
+    if ringed:
+        bounded = with_edges(classed.select("region_id", "kind", "rings"))
+        within_, gap = inside(x, y, F.col("edges")), edge_distance(x, y, F.col("edges"))
+    else:  # boxes need no edges
+        x0, y0, side = F.col("x0"), F.col("y0"), F.col("side")
+        bounded = classed.select("region_id", "kind", "x0", "y0", "side", x0.alias("bx0"), y0.alias("by0"), (x0 + side).alias("bx1"), (y0 + side).alias("by1"))
+        within_, gap = (x > x0) & (x < x0 + side) & (y > y0) & (y < y0 + side), box_distance(x, y, x0, y0, side)
+    stretch = lambda y: F.cosh(y / EARTH_RADIUS) if true_metres else F.lit(1.0)
+    reach = 1e-8 + radius * stretch(F.greatest(F.abs("by0"), F.abs("by1")) + 8 * radius)
+    cell = max(radius, size)
+    shapes = _in_cells(bounded.withColumn("reach", reach), *[F.col(b) + s * F.col("reach") for b, s in (("bx0", -1), ("by0", -1), ("bx1", 1), ("by1", 1))], cell)
+    close = x.between(F.col("bx0") - F.col("reach"), F.col("bx1") + F.col("reach")) & y.between(F.col("by0") - F.col("reach"), F.col("by1") + F.col("reach"))
+    near = _cell(points, "x", "y", cell).join(shapes, ["region_id", "cx", "cy"]).filter(close)
+    near = near.select("point_id", "kind", F.struct((~within_).alias("outside"), F.when(within_, 0.0).otherwise(F.round(gap / stretch(y), 9)).alias("d"), "kind").alias("c"))
+    found = near.filter(~F.col("c.outside") | ((F.col("c.d") <= radius) & F.lit(radius > 0))).groupBy("point_id").agg(F.collect_set("c").alias("all"))
+    best = F.array_min("all")
+    kinds = F.transform(F.filter("all", lambda c: (c["outside"] == best["outside"]) & (c["d"] == best["d"])), lambda c: c["kind"])
+    found = found.select("point_id", resolved_land_use(kinds).alias("land_use"))
+    return points.select("point_id").join(found, "point_id", "left").select("point_id", F.coalesce("land_use", F.lit(UNMATCHED)).alias("land_use")) if include_unmatched else found
 
 
 def dissolved(polygons: DataFrame) -> DataFrame:
-    """Rings collected by land-use class: a multipolygon each, inner boundaries kept."""
-    return polygons.withColumn("land_use", land_use(F.col("landuse"), F.col("leisure"))).filter("land_use is not null").groupBy("land_use").agg(F.collect_list("ring").alias("rings"))
+    """region_id, land_use, rings: the rings of each class and region as one multipolygon, inner
+    boundaries kept; a row holds one region's polygons, not a class's of the whole world."""
+    rows = polygons.withColumn("land_use", land_use(F.col("landuse"), F.col("leisure"))).filter("land_use is not null")
+    return rows.groupBy("region_id", "land_use").agg(F.collect_list("ring").alias("rings"))
 
 
 def shape_box(default: Column, shape: Column, inside: Column, largest: float = 0.5) -> Column:

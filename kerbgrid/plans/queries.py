@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from kerbgrid.functions import boxes, lookups, text
 from kerbgrid.operators import dataset, inference, ingest, reports, score, spatial
 from kerbgrid.plans.fixtures import Views, oracle
+from kerbgrid.plans.scratch import written
 from kerbgrid.streaming import jobs
 
 MIN_IMAGES, MIN_FEATURES, RADIUS = 600, 400, 0.2
@@ -43,6 +44,7 @@ def _weights(values: dict[str, float], column: str) -> str:
 
 
 _BIN = "CASE " + " ".join(f"WHEN {{0}} <= {top} THEN '{label}'" for top, label in lookups.BINS) + " END"
+_CATEGORY = "CASE WHEN {0} <= 0 THEN '0' WHEN {0} <= 5 THEN '1–5' WHEN {0} <= 10 THEN '5–10' WHEN {0} <= 25 THEN '10–25' WHEN {0} <= 50 THEN '25–50' WHEN {0} <= 100 THEN '50–100' WHEN {0} <= 250 THEN '100–250' WHEN {0} <= 1000 THEN '250+' END"
 _W, _FW = _weights(lookups.SEVERITY, "label"), _weights(lookups.FEATURE_SEVERITY, "osm_type")
 #: Sub-queries that several oracles share.
 _INDEX = f"""
@@ -127,6 +129,15 @@ def cities_ge_threshold(v):
     return reports.cities_over(v.regions, reports.count_by(v.images, "region_id"), MIN_IMAGES)
 
 
+@query(f"""WITH g AS (SELECT region_id, city, CASE WHEN region_id % 7 <> 3 THEN upper(left(country, 3)) END AS iso3, population FROM {{regions}}), c AS (SELECT iso3, city FROM {{images}} i JOIN g ON g.region_id = i.region_id WHERE iso3 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= {MIN_IMAGES}),
+k AS (SELECT iso3, count(*) AS cities FROM c GROUP BY 1), p AS (SELECT iso3, count(DISTINCT city) AS cities FROM g WHERE population IS NOT NULL AND iso3 IS NOT NULL GROUP BY 1)
+SELECT 'over' AS of, iso3, coalesce(cities, 0) AS cities, {_CATEGORY.format('coalesce(cities, 0)')} AS bin FROM (SELECT DISTINCT iso3 FROM g WHERE iso3 IS NOT NULL) LEFT JOIN k USING (iso3) UNION ALL SELECT 'known', iso3, cities, {_CATEGORY.format('cities')} FROM p""")
+def cities_by_iso3(v):
+    regions = v.regions.withColumn("iso3", F.when(F.col("region_id") % 7 != 3, F.upper(F.left("country", F.lit(3)))))
+    over = reports.cities_over(regions, reports.count_by(v.images, "region_id"), MIN_IMAGES, "iso3", lookups.CATEGORIES)
+    return over.select(F.lit("over").alias("of"), "*").unionByName(reports.distinct_cities(regions, "iso3", lookups.CATEGORIES).select(F.lit("known").alias("of"), "*"))
+
+
 @query(_cities("SELECT region_id, count(*) AS n FROM {images} GROUP BY 1 UNION ALL SELECT region_id, count(*) AS n FROM {osm_features} GROUP BY 1", 1000))
 def cities_combined_ge_threshold(v):
     both = reports.count_by(v.images, "region_id").unionByName(reports.count_by(v.osm_features, "region_id"))
@@ -318,7 +329,8 @@ g AS (SELECT label, land_use, place, coalesce(images, 0) AS images, coalesce(det
 
 def _assigned(v: Views) -> DataFrame:
     points = v.images.select(F.col("image_id").alias("point_id"), "region_id", F.col("lng").alias("x"), F.col("lat").alias("y"))
-    return spatial.land_use_of_points(points, v.landuse_polygons, RADIUS).withColumnRenamed("point_id", "image_id")
+    # the report reads the assignment three times
+    return written(spatial.land_use_of_points(points, v.landuse_polygons, RADIUS).withColumnRenamed("point_id", "image_id"), "landuse")
 
 
 def _density(v: Views) -> DataFrame:
@@ -376,7 +388,10 @@ def capture_window(v):
     return v.images.join(window, "region_id").filter(text.in_window(F.col("source_captured_at"), F.col("start_captured_at"), F.col("end_captured_at"))).select("image_id")
 
 
-@query()
+_DRAWN = "SELECT country, image_id, row_number() OVER (PARTITION BY country ORDER BY md5(concat('0:', CAST(image_id AS STRING))), image_id) AS place FROM {images} JOIN {regions} USING (region_id)"
+
+
+@query(f"SELECT country, image_id, CAST(place AS INT) AS place FROM ({_DRAWN}) WHERE place <= 10")
 def sample_per_country(v):
     return dataset.sample_per_country(v.images, v.regions, 10).select("country", "image_id", "place")
 
@@ -395,6 +410,17 @@ def tasks(v):
     return dataset.tasks(v.images, v.detections).select("image_id", "score", F.size("results").cast("long").alias("n"), "batch")
 
 
+@query(f"""WITH s AS (SELECT image_id FROM ({_DRAWN}) WHERE place <= 500), d AS (SELECT image_id, max(confidence) AS score, count(*) AS n, round(sum(100.0e0 * CAST(json_extract(bbox, '$[0]') AS DOUBLE) / width), 6) AS left_sum, string_agg(label, ',' ORDER BY confidence DESC, label, detection_id) AS labels FROM {{detections}} JOIN {{images}} USING (image_id) GROUP BY 1)
+SELECT image_id, score, coalesce(n, 0) AS n, coalesce(left_sum, 0) AS left_sum, coalesce(labels, '') AS labels, (row_number() OVER (ORDER BY image_id) - 1) // 100 AS batch FROM s LEFT JOIN d USING (image_id)""")
+def tasks_of_sample(v):
+    drawn = v.images.join(dataset.sample_per_country(v.images, v.regions, 500).select("image_id"), "image_id", "left_semi")
+    some = F.coalesce("results", F.array().cast("array<struct<type:string,original_width:int,original_height:int,value:struct<x:double,y:double,width:double,height:double,rectanglelabels:array<string>>>>"))
+    made = dataset.tasks(drawn, v.detections, 100, keep_empty=True, model_version="stub")
+    left = F.round(F.aggregate(some, F.lit(0.0), lambda n, r: n + r["value"]["x"]), 6)
+    labels = F.array_join(F.transform(some, lambda r: r["value"]["rectanglelabels"][0]), ",")
+    return made.select("image_id", "score", F.size(some).cast("long").alias("n"), left.alias("left_sum"), labels.alias("labels"), "batch")
+
+
 @query("""WITH x AS (SELECT image_id, detection_id, manual_reviewed FROM {detections} JOIN {images} USING (image_id) WHERE region_id < 5),
 t AS (SELECT image_id, count(*) FILTER (WHERE manual_reviewed = 1) AS annotated, count(*) AS n FROM x GROUP BY 1) SELECT image_id, annotated, n FROM t""")
 def task_flatten(v):
@@ -418,12 +444,18 @@ def _split(v: Views) -> tuple[DataFrame, DataFrame]:
     return dataset.balanced_split(v.images, found), found
 
 
-@query()
+_SPLIT = f"""f AS (SELECT class_id, count(*) AS n FROM ({_BOXED}) GROUP BY 1), z AS (SELECT image_id, arg_min(class_id, n * 100 + class_id) AS stratum FROM ({_BOXED}) JOIN f USING (class_id) GROUP BY 1),
+o AS (SELECT image_id, stratum, row_number() OVER (ORDER BY coalesce(stratum, -1), md5(concat('0:', CAST(image_id AS STRING))), image_id) - 1 AS i FROM {{images}} LEFT JOIN z USING (image_id)),
+t AS (SELECT count(*) AS n, CAST(floor(count(*) * 0.7e0) AS BIGINT) AS a, CAST(floor(count(*) * 0.2e0) AS BIGINT) AS b FROM o),
+y AS (SELECT *, i - i * a // n AS j FROM o, t), s AS (SELECT image_id, stratum, CASE WHEN (i + 1) * a // n > i * a // n THEN 'train' WHEN (j + 1) * b // (n - a) > j * b // (n - a) THEN 'val' ELSE 'test' END AS split FROM y)"""
+
+
+@query(f"WITH {_SPLIT} SELECT image_id, CAST(stratum AS INT) AS stratum, split FROM s")
 def split_balanced(v):
     return _split(v)[0]
 
 
-@query()
+@query(f"WITH {_SPLIT} SELECT split, CAST(class_id AS INT) AS class_id, count(*) AS n FROM ({_BOXED}) JOIN s USING (image_id) GROUP BY 1, 2")
 def split_class_counts(v):
     return dataset.class_counts(*_split(v))
 
@@ -435,7 +467,49 @@ def shard_index(v):
 
 @query("SELECT i.image_id, r.city, count(d.detection_id) AS n FROM {images} i LEFT JOIN {regions} r ON r.region_id = i.region_id LEFT JOIN {detections} d ON d.image_id = i.image_id GROUP BY 1, 2")
 def export_records(v):
-    return dataset.export_records(v.images, v.regions, v.detections).select("image_id", F.col("region.city").alias("city"), F.size("predictions").cast("long").alias("n"))
+    return dataset.export_records(v.images, v.regions, v.detections).select("image_id", "city", F.size("predictions").cast("long").alias("n"))
+
+
+@query(f"""WITH b AS (SELECT image_id, count(*) AS boxes, round(sum(xc + yc + w + h), 6) AS box_sum FROM ({_BOXED}) GROUP BY 1),
+p AS (SELECT image_id, count(*) AS predictions, count(CASE label WHEN 'barrier' THEN 1 WHEN 'billboard' THEN 1 WHEN 'bin' THEN 1 WHEN 'graffiti' THEN 1 WHEN 'mobile_advertisement' THEN 1 WHEN 'pothole' THEN 1 WHEN 'road_sign' THEN 1 WHEN 'shop_sign' THEN 1 WHEN 'utility_pole' THEN 1 END) AS classed, round(sum(confidence), 6) AS confidence, round(sum(CAST(json_extract(bbox, '$[2]') AS DOUBLE)), 6) AS right_sum FROM {{detections}} GROUP BY 1)
+SELECT image_id, url, width, height, i.region_id, r.city AS city, r.country AS country, i.lng AS lng, i.lat AS lat, coalesce(boxes, 0) AS boxes, coalesce(box_sum, 0) AS box_sum, coalesce(predictions, 0) AS predictions, coalesce(classed, 0) AS classed, coalesce(confidence, 0) AS confidence, coalesce(right_sum, 0) AS right_sum
+FROM {{images}} i LEFT JOIN {{regions}} r ON r.region_id = i.region_id LEFT JOIN b USING (image_id) LEFT JOIN p USING (image_id)""")
+def export_payload(v):
+    made = dataset.export_records(v.images, v.regions, v.detections)
+    total = lambda c, one: F.round(F.aggregate(c, F.lit(0.0), lambda n, x: n + F.coalesce(one(x), F.lit(0.0))), 6)
+    size = lambda c: F.size(c).cast("long")
+    return made.select(
+        "image_id", "url", "width", "height", "region_id", "city", "country", "lng", "lat", size("boxes").alias("boxes"), total("boxes", lambda b: b["xc"] + b["yc"] + b["w"] + b["h"]).alias("box_sum"), size("predictions").alias("predictions"),
+        size(F.filter("predictions", lambda p: p["class_id"].isNotNull())).alias("classed"), total("predictions", lambda p: p["confidence"]).alias("confidence"), total("predictions", lambda p: F.get(p["bbox"], 2)).alias("right_sum"),
+    )
+
+
+@query(f"SELECT image_id, url, width, height, count(*) AS n, round(sum(xc), 6) AS xc FROM ({_BOXED}) JOIN (SELECT image_id, url, width, height FROM {{images}}) USING (image_id) GROUP BY 1, 2, 3, 4")
+def annotated_records(v):
+    found = dataset.centre_boxes(v.images, v.detections).withColumnRenamed("detection_id", "id")
+    made = dataset.annotated_records(v.images, found)
+    return made.select("image_id", "url", "width", "height", F.size("boxes").cast("long").alias("n"), F.round(F.aggregate("boxes", F.lit(0.0), lambda n, b: n + b["xc"]), 6).alias("xc"))
+
+
+@query("SELECT feature_id, region_id, osm_type FROM {osm_features} WHERE osm_type = 'billboard' OR region_id IN (SELECT region_id FROM {regions} WHERE dense_scan)")
+def features_by_region_and_type(v):
+    wanted = v.regions.select("region_id", F.when(~F.col("dense_scan"), "billboard").alias("osm_type"))
+    return ingest.features_of(v.osm_features, wanted).select("feature_id", "region_id", "osm_type")
+
+
+@query("SELECT region_id, source FROM {regions}, (SELECT unnest(['mapillary', 'kartaview']) AS source) s WHERE NOT (dense_scan AND source = 'kartaview')")
+def eligible_sources(v):
+    return ingest.eligible_sources(v.regions, ["mapillary", "kartaview"])
+
+
+@query("""SELECT 'image' AS kind, image_id AS id FROM {images} WHERE region_id % 6 <> 1 UNION ALL SELECT 'feature', feature_id FROM {osm_features} WHERE region_id % 6 <> 1
+UNION ALL SELECT 'region', CASE WHEN region_id % 6 = 1 THEN region_id + 1000 ELSE region_id END FROM {regions}""")
+def region_override(v):
+    named = v.regions.withColumn("name", F.concat(F.lit("r"), "region_id"))
+    batch = named.filter("region_id % 6 = 1").withColumn("region_id", F.col("region_id") + 1000)
+    left = ingest.overridden(named, batch, v.images, v.detections, v.osm_features)
+    row = lambda name, kind, key: left[name].select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id"))
+    return row("images", "image", "image_id").unionByName(row("features", "feature", "feature_id")).unionByName(row("regions", "region", "region_id"))
 
 
 @query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS calls FROM {events}")
@@ -456,7 +530,7 @@ def bbox_polygon_filter_all(v):
 def _inside_any(v: Views, polygons: DataFrame) -> DataFrame:
     c = F.col
     ring = boxes.outline((c("x0"), c("y0"), c("x0") + c("side"), c("y0") + c("side")))
-    shapes = polygons.select("poly_id", ring.alias("ring"))
+    shapes = polygons.select("poly_id", F.array(ring).alias("rings"))
     return spatial.points_in_any(v.images.select(c("image_id").alias("point_id"), c("lng").alias("x"), c("lat").alias("y")), shapes, 1.0).select(c("point_id").alias("image_id"))
 
 
@@ -464,7 +538,29 @@ def _inside_any(v: Views, polygons: DataFrame) -> DataFrame:
 def landuse_dissolve(v):
     c = F.col
     ring = boxes.outline((c("x0"), c("y0"), c("x0") + c("side"), c("y0") + c("side")))
-    return spatial.dissolved(v.landuse_polygons.withColumn("ring", ring)).select("land_use", F.size("rings").cast("long").alias("parts"))
+    return spatial.dissolved(v.landuse_polygons.withColumn("ring", ring)).groupBy("land_use").agg(F.sum(F.size("rings")).alias("parts"))
+
+
+@query("""SELECT region_id, land_use, count(*) AS parts, round(sum(x0), 6) AS left_sum, round(sum(y0 + side), 6) AS top_sum FROM (SELECT *, """ + _KIND + """ AS land_use FROM {landuse_polygons}) WHERE land_use IS NOT NULL GROUP BY 1, 2""")
+def landuse_multipolygons(v):
+    c = F.col
+    ring = boxes.outline((c("x0"), c("y0"), c("x0") + c("side"), c("y0") + c("side")))
+    total = lambda end, k: F.round(F.aggregate("rings", F.lit(0.0), lambda n, r: n + end(F.transform(r, lambda p: p[k]))), 6)
+    return spatial.dissolved(v.landuse_polygons.withColumn("ring", ring)).select("region_id", "land_use", F.size("rings").cast("long").alias("parts"), total(F.array_min, "x").alias("left_sum"), total(F.array_max, "y").alias("top_sum"))
+
+
+@query("""WITH p AS (SELECT region_id, x0, y0, side + 0.0037e0 AS side, """ + _KIND + """ AS kind FROM {landuse_polygons}),
+k AS (SELECT image_id, list(DISTINCT kind) AS kinds FROM {images} JOIN p USING (region_id) WHERE kind IS NOT NULL AND lng > x0 AND lat > y0 AND (lng - x0) + (lat - y0) < side GROUP BY 1)
+SELECT image_id, CASE WHEN kinds IS NULL THEN 'unmatched' WHEN list_contains(kinds, 'residential') AND (list_contains(kinds, 'commercial') OR list_contains(kinds, 'retail') OR list_contains(kinds, 'industrial')) THEN 'mixed-use' WHEN list_contains(kinds, 'mixed-use') THEN 'mixed-use'
+ WHEN list_contains(kinds, 'commercial') THEN 'commercial' WHEN list_contains(kinds, 'residential') THEN 'residential' WHEN list_contains(kinds, 'industrial') THEN 'industrial' WHEN list_contains(kinds, 'retail') THEN 'retail' ELSE 'park/leisure/green' END AS land_use
+FROM {images} LEFT JOIN k USING (image_id)""")
+def landuse_of_triangles(v):
+    c, side = F.col, F.col("side") + 0.0037
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    rings = F.array(F.array(corner(c("x0"), c("y0")), corner(c("x0") + side, c("y0")), corner(c("x0"), c("y0") + side)))
+    points = v.images.select(c("image_id").alias("point_id"), "region_id", c("lng").alias("x"), c("lat").alias("y"))
+    shapes = v.landuse_polygons.select("poly_id", "region_id", "landuse", "leisure", rings.alias("rings"))
+    return spatial.land_use_of_points(points, shapes, 0.0, include_unmatched=True).withColumnRenamed("point_id", "image_id")
 
 
 @query("SELECT image_id, round(lng * pi() / 180 * 6378137, 3) AS x, round(ln(tan(pi() / 4 + lat * pi() / 360)) * 6378137, 3) AS y FROM {images}")
