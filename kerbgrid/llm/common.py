@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from kerbgrid.plans.scratch import written
+
+__all__ = ["dropped", "map_rows", "only", "slices", "table", "written"]
+
 #: Rows, and bytes of text, that a Python task turns into objects at once (one longer text is taken
 #: alone): what bounds a worker's memory.
 ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 1 << 19
@@ -22,28 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a fresh one is set only where none is."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isEmpty():
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = held.get()
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder, read again: later steps start from files, not from lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def dropped(table: DataFrame) -> None:
     """Deletes the files of a table from written() that no later step reads."""
     spark = table.sparkSession

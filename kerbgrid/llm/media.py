@@ -4,9 +4,10 @@ store_media writes each text's UTF-8 bytes, with bytes 0 up to a positive multip
 channel of unsigned 8-bit samples by the wave module. media_features reads the stored bytes, takes a
 short-time Fourier transform and pairs spectral peaks; fingerprints are two parallel arrays, the
 frame of each pair's first peak (times) and the pair's code (codes). Null and empty texts are 64
-zero samples. Samples are padded with silence to whole hops, so that all of them are in a frame. A text is transformed FRAMES_AT_ONCE frames at a time, so long texts need no more
-memory than short ones, and frames depend on their own samples alone. Equal texts have equal
-values; columns other than the key and the text are not read.
+zero samples. Samples are padded with silence to whole hops, so that all of them are in a frame. A text is
+transformed FRAMES_AT_ONCE frames at a time, so long texts need no more memory than short ones, and
+frames depend on their own samples alone. Equal texts have equal values; columns other than the key and
+the text are not read.
 """
 
 from __future__ import annotations
@@ -112,7 +113,7 @@ def media_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def media_report(docs: DataFrame) -> DataFrame:
     """The features of all texts, read back from a written media table; feature: number of pairs and
-    a hash of the time-coded arrays."""
+    a hash of the time-coded arrays, which follow as times and codes."""
     found = media_features(written(store_media(docs), "media"))
     feature = F.concat_ws(":", F.size("codes").cast("string"), F.lower(F.hex(F.xxhash64("times", "codes"))))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "times", "codes")
