@@ -1,12 +1,13 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
 Words are lower-cased runs of ASCII digits and letters and of all other non-ASCII characters. Base
-labels are places of three phrases. The method's labels come from short licence templates: each
-template is indexed under the RARE of its words with the highest inverse document frequency, counted
-over all rows. A file's words that are in the index are looked up; where all of a template's rare
-words agree on one relative position (postings intersected by offset), its mandatory key phrases
-are verified there. Null and empty texts have no words, score 0 and empty label strings. Repeated
-phrases count at each place; other columns of the input are not read.
+labels are places of three phrases. The method's labels come from licence templates (names, notices and
+passages of whole texts): all places of the INDEXED highest-IDF words of a template's key phrases are in
+one index. Of each file, its own FILE_WORDS licence words with the highest inverse document frequency
+(counted over all rows) are looked up; a template is a candidate where two of their places agree on one
+position relative to it (postings sorted by template and offset), and holds where the file has all of
+its mandatory key phrases. Null and empty texts have no words, score 0 and empty label strings.
+Repeated phrases count at each place; other columns of the input are not read.
 
 The score is the largest share of a verified template's words that stand in place, 0.5 at least
 where a base phrase stands, else 0. Nothing is shuffled but the word counts of the templates'
@@ -22,25 +23,57 @@ from pyspark.sql import functions as F
 
 from kerbgrid.llm.common import only
 
-RARE = 2
+#: Words of a template in the index, and words of a file that are looked up, by IDF.
+INDEXED, FILE_WORDS = 6, 16
 #: Base phrases by label.
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
-#: Fixed values: (label, template, mandatory key phrase within the template).
+#: Fixed values: (label, template, mandatory key phrases within the template).
 TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    ("agpl-3.0", "gnu affero general public license version 3", "affero general public license version 3"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4 0"),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa 4 0"),
-    ("gpl-2.0", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "copy modify and or distribute this software"),
-    ("lgpl", "gnu lesser general public license", "lesser general public license"),
-    ("mit-notice", "released under the mit license", "released under the mit license"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software", "granted free of charge to any person obtaining a copy"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
+    ("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
+    ("agpl-3.0", "gnu affero general public license version 3", ("affero general public license version 3",)),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
+    ("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
+    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
+    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
+    ("gpl-2.0", "licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
+    ("gpl-3.0", "licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("copy modify and or distribute this software",)),
+    ("lgpl", "gnu lesser general public license", ("lesser general public license",)),
+    ("mit-notice", "released under the mit license", ("released under the mit license",)),
+    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("granted free of charge to any person obtaining a copy",)),
+    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
+    (
+        "apache-2.0-header",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+        ("you may not use this file except in compliance with the license", "unless required by applicable law or agreed to in writing", "without warranties or conditions of any kind"),
+    ),
+    (
+        "bsd-3-clause",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of "
+        "conditions and the following disclaimer in the documentation and or other materials provided with the distribution neither the name of the copyright holder nor the names of its contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written permission",
+        ("redistributions of source code must retain", "redistributions in binary form must reproduce", "endorse or promote products derived from this software"),
+    ),
+    (
+        "gpl-header",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your "
+        "option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+        ("redistribute it and or modify it under the terms of the gnu general public license", "as published by the free software foundation", "in the hope that it will be useful"),
+    ),
+    (
+        "mit-full",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation "
+        "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above "
+        "copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        ("without restriction including without limitation", "sublicense and or sell copies of the software", "shall be included in all copies or substantial portions"),
+    ),
+    (
+        "mpl-2.0-header",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+        ("source code form is subject to the terms of the mozilla public license", "if a copy of the mpl was not distributed with this file"),
+    ),
 )
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -66,15 +99,16 @@ def frequencies(worded: DataFrame) -> dict[str, float]:
     return {w: math.log((1 + n.get("", 0)) / (1 + n.get(w, 0))) for w in vocabulary()}
 
 
-def rare_index(idf: dict[str, float]) -> list[dict[str, list[tuple[int, int]]]]:
-    """For each of RARE ranks: word -> (template, position) of the templates in which it has that rank
-    by IDF among the words of the key phrase, at its first place."""
-    out: list[dict[str, list[tuple[int, int]]]] = [{} for _ in range(RARE)]
-    for k, (_, template, key) in enumerate(TEMPLATES):
+def rare_index(idf: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
+    """word -> (template, position), words by falling IDF: the INDEXED highest of each template's key phrases."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for k, (_, template, keys) in enumerate(TEMPLATES):
         words = template.split()
-        for rank, w in enumerate(sorted(set(key.split()), key=lambda w: (-idf[w], words.index(w)))[:RARE]):
-            out[rank].setdefault(w, []).append((k, words.index(w)))
-    return out
+        rare = sorted({w for key in keys for w in key.split()}, key=lambda w: (-idf[w], words.index(w)))[:INDEXED]
+        for at, w in enumerate(words):
+            if w in rare:
+                out.setdefault(w, []).append((k, at))
+    return dict(sorted(out.items(), key=lambda x: (-idf[x[0]], x[0])))
 
 
 def _places(words: Column, word: str) -> Column:
@@ -105,42 +139,50 @@ def _postings(index: dict[str, list[tuple[int, int]]]) -> Column:
     return F.create_map(*posts)
 
 
-def verified(words: Column, index: list[dict[str, list[tuple[int, int]]]]) -> Column:
-    """array<struct<label,share>>: templates whose rare words agree on an offset, key phrases verified."""
-    labels, templates, keys = zip(*TEMPLATES)
-    firsts = [f" {t} ".index(f" {k} ") and len(t[: f" {t} ".index(f" {k} ")].split()) for t, k in zip(templates, keys)]
-    of = lambda values, t: F.get(_array(values), t)
+def postings_of(words: Column, index: dict[str, list[tuple[int, int]]]) -> Column:
+    """array<struct<t,o>> sorted: template and offset of each place of the file's rarest licence words."""
+    top = F.slice(F.array_intersect(_array(index), words), 1, FILE_WORDS)
+    hits = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(top, w), F.struct(w.alias("w"), i.alias("i")))), lambda h: h.isNotNull())
+    return F.array_sort(F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(_postings(index), h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["at"]).alias("o"))))))
 
-    def looked_up(posts: dict[str, list[tuple[int, int]]]) -> Column:
-        hits = F.filter(F.transform(words, lambda w, i: F.when(w.isin(sorted(posts)), F.struct(w.alias("w"), i.alias("i")))), lambda h: h.isNotNull())
-        return F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(_postings(posts), h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["at"]).alias("o")))))
 
-    both = looked_up(index[0])
-    for posts in index[1:]:
-        both = F.array_intersect(both, looked_up(posts))
-
-    def holds(c: Column) -> Column:
-        start = c["o"] + of(firsts, c["t"])
-        phrase = F.slice(words, F.greatest(start + 1, F.lit(1)), of([len(k.split()) for k in keys], c["t"]))
-        return (start >= 0) & (F.array_join(phrase, " ") == of(keys, c["t"]))
+def verified(words: Column, posts: Column) -> Column:
+    """array<struct<label,share>>: the templates on whose offset two of a file's postings agree, and all of
+    whose key phrases the file has."""
+    labels, templates, keys = zip(*TEMPLATES)
+    of = lambda values, t: F.get(_array(values), t)
+    agreed = F.array_distinct(F.filter(posts, lambda c, i: F.coalesce(F.get(posts, F.greatest(i - 1, F.lit(0))) == c, F.lit(False)) & (i > 0)))
+    text = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    held = F.array(*[F.lit(True) if not k else _all([F.contains(text, F.lit(f" {x} ")) for x in k]) for k in keys])
 
     def share(c: Column) -> Column:
         parts = F.split(of(templates, c["t"]), " ")
         same = F.transform(parts, lambda w, i: F.when((c["o"] + i >= 0) & (F.get(words, F.greatest(c["o"] + i, F.lit(0))) == w), 1.0).otherwise(0.0))
         return F.aggregate(same, F.lit(0.0), lambda n, x: n + x) / F.size(parts)
 
-    return F.transform(F.filter(both, holds), lambda c: F.struct(of(labels, c["t"]).alias("label"), share(c).alias("share")))
+    def shares(held: Column, agreed: Column) -> Column:
+        return F.transform(F.filter(agreed, lambda c: F.get(held, c["t"])), lambda c: F.struct(of(labels, c["t"]).alias("label"), share(c).alias("share")))
+
+    # a one-element array binds both, so that they are worked out once a file
+    return F.flatten(F.transform(F.array(F.struct(held.alias("held"), agreed.alias("agreed"))), lambda x: shares(x["held"], x["agreed"])))
+
+
+def _all(some: list[Column]) -> Column:
+    out = some[0]
+    for x in some[1:]:
+        out = out & x
+    return out
 
 
 def license_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     worded = only(docs, doc_id="long", text="string").select("doc_id", words_of("text").alias("words"))
-    idf = frequencies(worded)
-    index = rare_index(idf)
-    keys = sorted({w for posts in index for w in posts})
+    index = rare_index(frequencies(worded))
+    none = F.array().cast("array<struct<t:int,o:int>>")
     rows = worded.withColumn("license_at", F.when(F.array_contains("words", "license"), _places(F.col("words"), "license")).otherwise(F.array().cast("array<int>")))
     rows = rows.withColumn("base", F.when(F.size("license_at") > 0, base_places(F.col("words"))).otherwise(F.array().cast("array<struct<start:bigint,label:string>>")))
-    rows = rows.withColumn("more", F.when(F.arrays_overlap("words", _array(keys)), verified(F.col("words"), index)).otherwise(F.array().cast("array<struct<label:string,share:double>>")))
+    rows = rows.withColumn("posts", F.when(F.arrays_overlap("words", _array(index)), postings_of(F.col("words"), index)).otherwise(none))
+    rows = rows.withColumn("more", F.when(F.size("posts") > 1, verified(F.col("words"), F.col("posts"))).otherwise(F.array().cast("array<struct<label:string,share:double>>")))
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     return rows.select(
         "doc_id",
