@@ -3,7 +3,7 @@
 Words are lower-cased runs of ASCII digits and letters and of all other non-ASCII characters. Base
 labels are places of three phrases. The method's labels come from licence templates (names, notices and
 passages of whole texts): all places of the INDEXED highest-IDF words of a template's key phrases are in
-one index. Of each file, its own FILE_WORDS licence words with the highest inverse document frequency
+one index (common words only where a template has no two others). Of each file, its own FILE_WORDS licence words with the highest inverse document frequency
 (counted over all rows) are looked up; a template is a candidate where two of their places agree on one
 position relative to it (postings sorted by template and offset), and holds where the file has all of
 its mandatory key phrases. Null and empty texts have no words, score 0 and empty label strings.
@@ -25,6 +25,8 @@ from kerbgrid.llm.common import only
 
 #: Words of a template in the index, and words of a file that are looked up, by IDF.
 INDEXED, FILE_WORDS = 6, 16
+#: Beyond a template's two rarest words only those are indexed that stand in fewer than one of so many files.
+COMMON = 16
 #: Base phrases by label.
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 #: Fixed values: (label, template, mandatory key phrases within the template).
@@ -100,11 +102,13 @@ def frequencies(worded: DataFrame) -> dict[str, float]:
 
 
 def rare_index(idf: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
-    """word -> (template, position), words by falling IDF: the INDEXED highest of each template's key phrases."""
+    """word -> (template, position), words by falling IDF: the INDEXED highest of each template's key
+    phrases, without common words but for the two highest."""
     out: dict[str, list[tuple[int, int]]] = {}
     for k, (_, template, keys) in enumerate(TEMPLATES):
         words = template.split()
         rare = sorted({w for key in keys for w in key.split()}, key=lambda w: (-idf[w], words.index(w)))[:INDEXED]
+        rare = rare[:2] + [w for w in rare[2:] if idf[w] > math.log(COMMON)]
         for at, w in enumerate(words):
             if w in rare:
                 out.setdefault(w, []).append((k, at))
@@ -139,32 +143,37 @@ def _postings(index: dict[str, list[tuple[int, int]]]) -> Column:
     return F.create_map(*posts)
 
 
-def postings_of(words: Column, index: dict[str, list[tuple[int, int]]]) -> Column:
-    """array<struct<t,o>> sorted: template and offset of each place of the file's rarest licence words."""
-    top = F.slice(F.array_intersect(_array(index), words), 1, FILE_WORDS)
+# The steps below are columns of their own, each read twice at least by the next, so that Spark works
+# them out once a file and not once an element.
+def postings_of(words: Column, top: Column, index: dict[str, list[tuple[int, int]]]) -> Column:
+    """array<struct<t,o>> sorted: template and offset of each place of a file's rarest licence words (top)."""
     hits = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(top, w), F.struct(w.alias("w"), i.alias("i")))), lambda h: h.isNotNull())
     return F.array_sort(F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(_postings(index), h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["at"]).alias("o"))))))
 
 
-def verified(words: Column, posts: Column) -> Column:
-    """array<struct<label,share>>: the templates on whose offset two of a file's postings agree, and all of
-    whose key phrases the file has."""
+def agreed_offsets(posts: Column) -> Column:
+    """The template and offset pairs that stand twice at least in sorted postings."""
+    return F.array_distinct(F.filter(posts, lambda c, i: F.coalesce(F.get(posts, F.greatest(i - 1, F.lit(0))) == c, F.lit(False)) & (i > 0)))
+
+
+def verified(words: Column, agreed: Column, flat: Column) -> Column:
+    """array<struct<label,share>>: the templates of agreed offsets all of whose key phrases stand in flat,
+    the words of a file with blanks around each."""
     labels, templates, keys = zip(*TEMPLATES)
     of = lambda values, t: F.get(_array(values), t)
-    agreed = F.array_distinct(F.filter(posts, lambda c, i: F.coalesce(F.get(posts, F.greatest(i - 1, F.lit(0))) == c, F.lit(False)) & (i > 0)))
-    text = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    held = F.array(*[F.lit(True) if not k else _all([F.contains(text, F.lit(f" {x} ")) for x in k]) for k in keys])
+
+    def holds(c: Column) -> Column:
+        out = F.lit(False)
+        for t, k in enumerate(keys):
+            out = F.when(c["t"] == t, _all([F.contains(flat, F.lit(f" {x} ")) for x in k])).otherwise(out)
+        return out
 
     def share(c: Column) -> Column:
         parts = F.split(of(templates, c["t"]), " ")
         same = F.transform(parts, lambda w, i: F.when((c["o"] + i >= 0) & (F.get(words, F.greatest(c["o"] + i, F.lit(0))) == w), 1.0).otherwise(0.0))
         return F.aggregate(same, F.lit(0.0), lambda n, x: n + x) / F.size(parts)
 
-    def shares(held: Column, agreed: Column) -> Column:
-        return F.transform(F.filter(agreed, lambda c: F.get(held, c["t"])), lambda c: F.struct(of(labels, c["t"]).alias("label"), share(c).alias("share")))
-
-    # a one-element array binds both, so that they are worked out once a file
-    return F.flatten(F.transform(F.array(F.struct(held.alias("held"), agreed.alias("agreed"))), lambda x: shares(x["held"], x["agreed"])))
+    return F.transform(F.filter(agreed, holds), lambda c: F.struct(of(labels, c["t"]).alias("label"), share(c).alias("share")))
 
 
 def _all(some: list[Column]) -> Column:
@@ -181,8 +190,11 @@ def license_report(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<t:int,o:int>>")
     rows = worded.withColumn("license_at", F.when(F.array_contains("words", "license"), _places(F.col("words"), "license")).otherwise(F.array().cast("array<int>")))
     rows = rows.withColumn("base", F.when(F.size("license_at") > 0, base_places(F.col("words"))).otherwise(F.array().cast("array<struct<start:bigint,label:string>>")))
-    rows = rows.withColumn("posts", F.when(F.arrays_overlap("words", _array(index)), postings_of(F.col("words"), index)).otherwise(none))
-    rows = rows.withColumn("more", F.when(F.size("posts") > 1, verified(F.col("words"), F.col("posts"))).otherwise(F.array().cast("array<struct<label:string,share:double>>")))
+    rows = rows.withColumn("top", F.slice(F.array_intersect(_array(index), F.col("words")), 1, FILE_WORDS))
+    rows = rows.withColumn("posts", F.when(F.size("top") > 1, postings_of(F.col("words"), F.col("top"), index)).otherwise(none))
+    rows = rows.withColumn("agreed", F.when(F.size("posts") > 1, agreed_offsets(F.col("posts"))).otherwise(none))
+    rows = rows.withColumn("flat", F.when(F.size("agreed") > 0, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))))
+    rows = rows.withColumn("more", F.when(F.size("agreed") > 0, verified(F.col("words"), F.col("agreed"), F.col("flat"))).otherwise(F.array().cast("array<struct<label:string,share:double>>")))
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     return rows.select(
         "doc_id",
