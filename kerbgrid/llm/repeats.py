@@ -6,32 +6,34 @@ are thinned first: of the FIRST-byte strings in each THRESHOLD-byte window the o
 window's anchor (leftmost of equals). Equal windows have their anchors at equal places, so a repeated
 window's anchor has a repeated FIRST-byte string, and windows need only be compared below such anchors.
 
-Doubling. At offset FIRST each anchor has a rank (the fingerprint of its FIRST bytes). Anchors are
-grouped by it, and unique ones, with all windows that they stand for, leave. At the next offset the rank
-is that of an anchor's stretch (its windows' bytes together): where it equals another's, all its windows
-repeat and it is done. Of the others one for each distinct stretch goes on past the threshold: of
-at most SMALL stretches with one anchor string the common bytes left and right of the anchor are measured
-pair by pair, which gives their repeated windows; of more stretches each window becomes a pair of ranks
-(of its halves), and pairs that occur twice are repeats. Ranks are 64-bit fingerprints instead of dense
-numbers, which a distributed sort would have to hand out in order; the pairs that decide have 128 bits.
-A text's identity is its 64-bit hash.
+Doubling. The windows of an anchor are told apart by how many bytes they have before it. All of them hold
+the anchor's FIRST bytes, whose fingerprint is its first rank; those between two such numbers hold a
+longer string around the anchor, the longer the closer the numbers are. So ranks grow with the part of
+the windows that they stand for: all, then parts of SIZES, down to one window of THRESHOLD bytes. In each
+round a part's rank is the pair (rank so far, fingerprint of the bytes added before and after), pairs are
+grouped and reranked, and parts whose pair is unique leave with all their windows. A part whose windows'
+bytes together (its span) equal another's is repeated as a whole and done; one of equal spans stays, for
+others to meet. The last round is past the threshold: its spans are the windows themselves.
+Ranks are 64-bit fingerprints instead of dense numbers, which a distributed sort would have to hand out
+in order; spans, which decide, have 128 bits. A text's identity is its 64-bit hash.
 
 Equal whole texts are one text with a count; they are removed whole where they have THRESHOLD bytes.
-Groups are only ever counted (smallest and largest occurrence differ) and joined back by equi-joins
-that adaptive execution may split; no group meets in one task. Null is empty, nothing is removed from
+Groups are only ever counted (smallest and largest occurrence differ) and joined back; the HOT most
+frequent keys of a join are joined by broadcast where their rows lie, so no group meets in one task and no
+task gets more than a HOT-th of the rows by one key. Null is empty, nothing is removed from
 texts under THRESHOLD bytes, repeated rows are copies, other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbgrid.llm.common import map_rows, only, slices, written
+from kerbgrid.llm.common import dropped, map_rows, only, slices, written
 
 THRESHOLD, FIRST = 200, 32
 #: K-mers in a window.
@@ -41,12 +43,12 @@ _BASE = 0x2545F4914F6CDD1D
 #: Low bits of a sort key that hold a position: texts are at most 1 GB.
 _PLACE = 30
 _WHOLE = 1 << 40
-#: Windows are looked at with this stride first.
-STRIDE = 8
-#: Stretches with one anchor string that are compared pair by pair; more are expanded to windows.
-SMALL = 48
-#: Anchors that go on past the threshold, up to which they are broadcast to the texts; beyond, texts are
-#: shuffled to them.
+#: Windows of an anchor that stand together in each round.
+SIZES = (64, 16, 4, 1)
+#: Most frequent keys of a join that are broadcast.
+HOT = 1000
+#: Anchors (rows of fixed size, about 60 bytes) that go on after the first round, up to which they are
+#: broadcast to the texts; beyond, texts are shuffled to them.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -123,113 +125,75 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
 
 
 def stretches(texts: DataFrame) -> DataFrame:
-    """For texts (tid, text, anchors array<struct<at,more,off,fp,alone>>) each anchor with its bytes."""
+    """For texts (tid, text, anchors array<struct<at,more,off,fp,asked>>) each anchor as a part: tid, place,
+    low and high (bytes of its windows before it), rank, asked, data (the windows' bytes)."""
 
     def rows(columns) -> Iterator[tuple]:
         for tid, text, anchors in zip(*columns):
             data = _utf8(text)
             for a in anchors:
-                yield tid, a["at"], a["more"], a["off"], a["fp"], a["alone"], a["small"], data[a["at"] : a["at"] + a["more"] + THRESHOLD]
-
-    return map_rows(texts.select("tid", "text", "anchors"), "tid long, at long, more int, off int, fp long, alone boolean, small boolean, data binary", lambda: rows)
-
-
-def window_rows(some: DataFrame, strides: bool) -> DataFrame:
-    """For stretches (with low and high) the rank pairs of their windows: r1, r2, tid, at, stretch, asked.
-    Equal windows have equally many bytes before their anchor, so those with a multiple of STRIDE
-    (strides) and the others match among themselves. Windows between low and high are partners only."""
-
-    def make() -> Callable:
-        import xxhash
-
-        h, half = xxhash.xxh3_64_intdigest, THRESHOLD // 2
-
-        def rows(columns) -> Iterator[tuple]:
-            for tid, at, more, off, alone, data, low, high in zip(*columns):
-                for p in range(more + 1):
-                    if ((off - p) % STRIDE == 0) == strides:
-                        asked = alone and (low is None or not low < at + p < high)
-                        yield h(data[p : p + half]) - (1 << 63), h(data[p + half : p + THRESHOLD]) - (1 << 63), tid, at + p, at, asked
-
-        return rows
-
-    return map_rows(some.select("tid", "at", "more", "off", "alone", "data", "low", "high"), "r1 long, r2 long, tid long, at long, stretch long, asked boolean", make)
-
-
-def _repeated_windows(windows: DataFrame) -> DataFrame:
-    """tid, stretch, low, high: the first and last repeated window of each stretch."""
-    hits = windows.filter("asked").join(_twice(windows, "r1", "r2"), ["r1", "r2"])
-    return hits.groupBy("tid", "stretch").agg(F.min("at").alias("low"), F.max("at").alias("high"))
-
-
-def window_spans(some: DataFrame) -> DataFrame:
-    """tid, start, end of repeated windows in stretches. A stretch has fewer windows than THRESHOLD, so
-    its first and last repeated window cover all between: every STRIDE-th window is looked at first,
-    then the rest outside what those cover."""
-    none = F.lit(None).cast("long")
-    first = _repeated_windows(written(window_rows(some.withColumn("low", none).withColumn("high", none), True), "windows"))
-    first = written(first, "edges")
-    rest = some.join(first.withColumnRenamed("stretch", "at"), ["tid", "at"], "left")
-    second = _repeated_windows(written(window_rows(rest, False), "windows"))
-    both = first.unionByName(second).groupBy("tid", "stretch").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    return both.select("tid", F.col("low").alias("start"), (F.col("high") + THRESHOLD).alias("end"))
-
-
-def _common(a: bytes, b: bytes, order: str) -> int:
-    """Bytes that a and b have in common at their start (little) or end (big)."""
-    n = min(len(a), len(b))
-    x, y = (a[:n], b[:n]) if order == "little" else (a[len(a) - n :], b[len(b) - n :])
-    if x == y:
-        return n
-    d = int.from_bytes(x, "little" if order == "little" else "big") ^ int.from_bytes(y, "little" if order == "little" else "big")
-    return ((d & -d).bit_length() - 1) // 8
-
-
-def pair_spans(group: list[tuple]) -> Iterator[tuple[int, int, int]]:
-    """(tid, start, end) of repeated windows in stretches (tid, at, more, off, alone, data) of one anchor
-    string: a window with i bytes before the anchor repeats in another stretch that shares i bytes before
-    it and the rest after it."""
-    for k, (tid, at, more, off, alone, data) in enumerate(group):
-        if not alone:
-            continue
-        for j, (_, _, _, other_off, _, other) in enumerate(group):
-            if j == k:
-                continue
-            left = _common(data[:off], other[:other_off], "big")
-            right = _common(data[off:], other[other_off:], "little")
-            low, high = max(THRESHOLD - right, off - more), min(left, off)
-            if low <= high:
-                yield tid, at + off - high, at + off - low + THRESHOLD
-
-
-def small_group_spans(some: DataFrame) -> DataFrame:
-    """tid, start, end by pair_spans; groups come sorted, each of at most SMALL rows, one at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, now = [], None
-        for batch in batches:
-            out: list[tuple] = []
-            for fp, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if fp != now:
-                    out += pair_spans(group)
-                    group, now = [], fp
-                group.append(tuple(row))
-            yield _spans(out)
-        yield _spans(list(pair_spans(group)))
-
-    rows = some.select("fp", "tid", "at", "more", "off", "alone", "data").repartition("fp").sortWithinPartitions("fp")
-    return rows.mapInArrow(run, "tid long, start long, end long")
-
-
-def _spans(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["tid", "start", "end"])
-
-
-def _twice(rows: DataFrame, *key: str) -> DataFrame:
-    """The keys that stand at two different places (tid, at) at least."""
-    place = F.xxhash64("tid", "at")
-    return rows.groupBy(*key).agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select(*key)
+                yield tid, a["at"] + a["off"], a["off"] - a["more"], a["off"], a["fp"], a["asked"], data[a["at"] : a["at"] + a["more"] + THRESHOLD]
+
+    return map_rows(texts.select("tid", "text", "anchors"), "tid long, place long, low int, high int, rank long, asked boolean, data binary", lambda: rows)
+
+
+def joined(rows: DataFrame, counts: DataFrame, *key: str) -> DataFrame:
+    """rows with the columns of counts (a written table, one row for each key, n its rows), inner. rows is
+    read twice: for the HOT keys of most rows, which are broadcast, and for the others."""
+    hot = written(counts.orderBy(F.desc("n"), *key).limit(HOT), "hot")
+    rest = rows.join(F.broadcast(hot.select(*key)), [*key], "left_anti").join(counts, [*key])
+    return rows.join(F.broadcast(hot), [*key]).unionByName(rest).drop("n")
+
+
+def settled(rows: DataFrame, *position: str) -> tuple[DataFrame, DataFrame]:
+    """One round: rows (position, core, span1, span2, asked; core follows from the span) that asked and whose
+    span stands at another position too; and those that go on, one of each span where another span has
+    the same core and one that stands alone asks. Each with its other columns."""
+    here = F.xxhash64(*position)
+    spans = rows.groupBy("core", "span1", "span2").agg(F.min(here).alias("first"), F.max(here).alias("last"), F.max("asked").alias("asks"), F.count("*").alias("n"))
+    spans = written(spans.select("core", "span1", "span2", "first", (F.col("first") == F.col("last")).alias("alone"), "asks", "n"), "spans")
+    cores = spans.groupBy("core").agg(F.count("*").alias("n"), F.max(F.col("alone") & F.col("asks")).alias("wanted"))
+    cores = written(cores.filter("n > 1 and wanted").select("core", "n"), "cores")
+    ranked = written(joined(rows, spans.drop("asks"), "core", "span1", "span2"), "ranked")
+    done = ranked.filter("asked and not alone")
+    going = joined(ranked.filter(here == F.col("first")).withColumn("asked", F.col("asked") & F.col("alone")), cores, "core")
+    return done.drop("first", "alone"), going.drop("first", "alone", "span1", "span2")
+
+
+def narrowed(parts: DataFrame, before: int, size: int) -> DataFrame:
+    """Parts of at most `before` windows cut into parts of at most size: the columns of the part with its new
+    bounds low2 and high2, core (the new rank) and the two fingerprints of its span."""
+    top = WIDTH - 1
+    cut = parts.withColumn("part", F.explode(F.sequence(F.floor(F.col("low") / size), F.floor(F.col("high") / size))))
+    old, new = F.floor(F.col("low") / before) * before, F.col("part") * size
+    old_end, new_end = F.least(old + before - 1, F.lit(top)), F.least(new + size - 1, F.lit(top))
+    cut = cut.select("*", F.greatest("low", new).cast("int").alias("low2"), F.least("high", new_end).cast("int").alias("high2"))
+    bytes_at = lambda at, n: F.substring("data", (at + 1).cast("int"), n.cast("int"))
+    begin, half = F.col("high") - F.col("high2"), F.lit(THRESHOLD // 2)
+    added = F.xxhash64(bytes_at(F.col("high") - new, new - old), bytes_at(F.col("high") + THRESHOLD - old_end, old_end - new_end))
+    bounds = ("low2", "high2")
+    cut = cut.withColumn("core", F.xxhash64("part", "rank", added))
+    return cut.select(
+        "tid", "place", "low", "high", "asked", *bounds, "core",
+        F.xxhash64(*bounds, "core", bytes_at(begin, half)).alias("span1"),
+        F.xxhash64(*bounds, bytes_at(begin + half, F.col("high2") - F.col("low2") + THRESHOLD - half)).alias("span2"),
+    )
+
+
+def later_spans(parts: DataFrame) -> list[DataFrame]:
+    """tid, start, end of the repeated windows of anchors that the first round leaves open (a written table
+    of stretches()): a round for each of SIZES."""
+    out, before = [], 2 * WIDTH
+    for size in SIZES:
+        done, going = settled(narrowed(parts, before, size), "tid", "place")
+        out.append(done.select("tid", (F.col("place") - F.col("high2")).alias("start"), (F.col("place") - F.col("low2") + THRESHOLD).alias("end")))
+        if size > 1:
+            data = F.substring("data", (F.col("high") - F.col("high2") + 1).cast("int"), (F.col("high2") - F.col("low2") + THRESHOLD).cast("int"))
+            whole = parts.drop("asked", "rank").join(going, ["tid", "place", "low", "high"])
+            narrow = written(whole.select("tid", "place", F.col("low2").alias("low"), F.col("high2").alias("high"), F.col("core").alias("rank"), "asked", data.alias("data")), "parts")
+            dropped(parts)
+            parts, before = narrow, size
+    return out
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -237,24 +201,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     with repeats. A whole repeated text has the end _WHOLE."""
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"), "text")
     anchors = written(anchor_rows(texts), "anchors")
-    found = written(anchors.join(_twice(anchors, "fp"), "fp"), "found")
+    here = F.xxhash64("tid", "at")
+    twice = anchors.groupBy("fp").agg(F.min(here).alias("first"), F.max(here).alias("last"), F.count("*").alias("n")).filter("first <> last")
     # copies give equal rows, which are one place
-    place = F.xxhash64("tid", "at")
-    kinds = found.groupBy("fp", "stretch").agg(F.min(place).alias("one"), F.max(place).alias("last"))
-    several = kinds.groupBy("fp").agg(F.count("*").alias("kinds"))
-    kinds = kinds.join(several, "fp").select("fp", "stretch", "one", (F.col("one") == F.col("last")).alias("alone"), "kinds")
-    ranked = found.join(kinds, ["fp", "stretch"])
-    whole = ranked.filter("not alone").select("tid", F.col("at").alias("start"), (F.col("at") + F.col("more") + THRESHOLD).alias("end"))
-    going = ranked.filter((F.col("kinds") > 1) & (place == F.col("one"))).groupBy("tid", "at").agg(*[F.first(c).alias(c) for c in ("more", "off", "fp", "alone", "kinds")])
-    anchor = F.struct("at", "more", "off", "fp", "alone", (F.col("kinds") <= SMALL).alias("small"))
+    found = written(joined(anchors, written(twice.select("fp", "n"), "twice"), "fp").dropDuplicates(["tid", "at"]), "found")
+    dropped(anchors)
+    named = found.select("tid", "at", "more", "off", F.col("fp").alias("core"), F.col("stretch").alias("span1"), F.col("more").cast("long").alias("span2"), F.lit(True).alias("asked"))
+    done, going = settled(named, "tid", "at")
+    whole = done.select("tid", F.col("at").alias("start"), (F.col("at") + F.col("more") + THRESHOLD).alias("end"))
+    anchor = F.struct("at", "more", "off", F.col("core").alias("fp"), "asked")
     going = written(going.groupBy("tid").agg(F.collect_list(anchor).alias("anchors")), "open")
     if going.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
         going = F.broadcast(going)
-    some = written(stretches(texts.join(going, "tid")).dropDuplicates(["tid", "at"]), "stretches")
-    near = small_group_spans(some.filter("small"))
-    ends = window_spans(some.filter("not small"))
+    parts = written(stretches(texts.join(going, "tid")).dropDuplicates(["tid", "place"]), "parts")
     copies = texts.groupBy("tid").agg(F.count("*").alias("n")).filter("n > 1").select("tid", F.lit(0).cast("long").alias("start"), F.lit(_WHOLE).alias("end"))
-    return whole.union(near).union(ends).union(copies).groupBy("tid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    for more in later_spans(parts):
+        whole = whole.union(more)
+    return whole.union(copies).groupBy("tid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:

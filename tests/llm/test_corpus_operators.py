@@ -56,8 +56,8 @@ def test_repeats(spark, texts):
 
 @pytest.mark.parametrize("limit", [0, 1])
 def test_repeats_by_the_other_ways(spark, texts, monkeypatch, limit):
-    """All groups expanded to windows, texts shuffled instead of anchors broadcast."""
-    monkeypatch.setattr(repeats, "SMALL", limit)
+    """Few or no keys broadcast, texts shuffled instead of anchors broadcast."""
+    monkeypatch.setattr(repeats, "HOT", limit)
     monkeypatch.setattr(repeats, "BROADCAST_ROWS", -1)
     some = texts[:45] + texts[-30:]
     got = {r["doc_id"]: tuple(r)[1:] for r in repeats.repeats_report(docs_of(spark, some)).collect()}
