@@ -18,9 +18,11 @@ whole: their words must follow each other in the document, in either case of let
 has LITERAL literal words, its typed tokens, with any consistent slot values, do too. In other items
 windows with too few literal words are left out of the coverage.
 
-Null and empty texts hold nothing. Repeated benchmark rows count once (smallest item_id).
-The benchmark's windows are broadcast while at most BROADCAST_ROWS; beyond that they are joined by
-shuffling the hashes. Long documents give rows for their windows, never one large row.
+Null and empty texts hold nothing. Repeated benchmark rows count once (smallest item_id). A document is
+an id with a text: rows that repeat both are one, rows that repeat only the id (a null one too) are judged
+each by its own text. The benchmark's windows are broadcast while at most BROADCAST_ROWS; beyond that the
+hashes are shuffled with the slots of their windows. Long documents give rows for their windows, never one
+large row.
 """
 
 from __future__ import annotations
@@ -52,9 +54,10 @@ def _digit(w: Column) -> Column:
     return (w < ":") & (w >= "0")
 
 
-def worded(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, words and their canonical tokens, one for each word."""
-    rows = rows.select(key, marked(text).alias("marked")).select(key, _split(F.col("marked")).alias("words"), _split(F.lower("marked")).alias("low"))
+def worded(rows: DataFrame, key: str, text: str = "text", starts: bool = True) -> DataFrame:
+    """key, words and their canonical tokens, one for each word. Without starts the first word of a
+    sentence is taken as one within it."""
+    rows = rows.select(key, (marked(text) if starts else F.coalesce(F.col(text), F.lit(""))).alias("marked")).select(key, _split(F.col("marked")).alias("words"), _split(F.lower("marked")).alias("low"))
 
     def token(low: Column, i: Column) -> Column:
         w = F.get("words", i)
@@ -89,33 +92,46 @@ def _literals(toks: Column, at: Column) -> Column:
     return sum((F.when(F.get(toks, at + k) > UNIT, 1).otherwise(0) for k in range(WINDOW)), F.lit(0))
 
 
-def benchmark_words(benchmark: DataFrame, item: str = "item_id") -> DataFrame:
+def benchmark_words(benchmark: DataFrame, starts: bool = True) -> DataFrame:
     """item_id, words and tokens of each distinct text."""
-    rows = only(benchmark, **{item: "long", "text": "string"}).groupBy("text").agg(F.min(item).alias("item_id"))
-    return worded(rows, "item_id")
+    rows = only(benchmark, item_id="long", text="string").groupBy("text").agg(F.min("item_id").alias("item_id"))
+    return worded(rows, "item_id", starts=starts)
 
 
-def benchmark_windows(benchmark: DataFrame, item: str = "item_id") -> DataFrame:
-    """hash, item_id, n (the item's distinct windows), at, length (of the item), item_slots."""
-    out = windows(benchmark_words(benchmark, item), "item_id")
-    out = out.filter(_literals(F.col("tokens"), F.col("at")) >= LITERAL).select("item_id", "at", "hash", F.size("tokens").alias("length"), _slots(F.col("words"), F.col("tokens"), F.col("at")).alias("item_slots"))
-    sizes = out.groupBy("item_id").agg(F.countDistinct("hash").alias("n"))
-    return out.join(sizes, "item_id")
+def benchmark_windows(benchmark: DataFrame) -> DataFrame:
+    """hash, item_id, n (the item's distinct windows), at, window (its hash as the item has it), length (of
+    the item), item_slots. Windows with the start of a sentence have a second row with the hash that they
+    have within one, as after a colon."""
 
+    def cut(starts: bool) -> DataFrame:
+        out = windows(benchmark_words(benchmark, starts), "item_id")
+        return out.filter(_literals(F.col("tokens"), F.col("at")) >= LITERAL).select("item_id", "at", "hash", F.size("tokens").alias("length"), _slots(F.col("words"), F.col("tokens"), F.col("at")).alias("item_slots"))
 
-def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """For each document and item that share a window: coverage, with consistent slots, and
+    out = cut(True).withColumn("window", F.col("hash"))
+    within = cut(False).join(out.select("item_id", "at", "window"), ["item_id", "at"]).filter("hash != window")
+    sizes = out.groupBy("item_id").agg(F.countDistinct("window").alias("n"))
+    return out.unionByName(within).join(sizes, "item_id")
+
+
+def document(docs: DataFrame) -> Column:
+    """What names a document of docs: its id and a hash of its text."""
+    return F.struct(docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"].cast("string")).alias("body"))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """For each document() and item that share a window: coverage, with consistent slots, and
     whether slot values differ."""
-    index = benchmark_windows(benchmark)
-    rows = worded(only(docs, **{key: "long", "text": "string"}), key)
+    index, key = benchmark_windows(benchmark), "document"
+    rows = worded(docs.select(document(docs).alias(key), docs["text"].cast("string").alias("text")), key)
     found = windows(rows, key).withColumnRenamed("at", "at_doc")
+    slots = _slots(F.col("words"), F.col("tokens"), F.col("at_doc"))
     if index.count() <= BROADCAST_ROWS:
         found = found.join(F.broadcast(index), "hash")
     else:
-        found = found.drop("words", "tokens").join(index, "hash").join(rows, key)
-    pairs = F.arrays_zip(F.col("item_slots").alias("item"), _slots(F.col("words"), F.col("tokens"), F.col("at_doc")).alias("doc"))
+        found, slots = found.select(key, "at_doc", "hash", slots.alias("doc_slots")).join(index, "hash"), F.col("doc_slots")
+    pairs = F.arrays_zip(F.col("item_slots").alias("item"), slots.alias("doc"))
     shift = F.col("at_doc") - F.col("at")
-    found = written(found.select(key, "item_id", "hash", "n", "length", shift.alias("shift"), pairs.alias("pairs")), "leaks")
+    found = written(found.select(key, "item_id", F.col("window").alias("hash"), "n", "length", shift.alias("shift"), pairs.alias("pairs")), "leaks")
     half = F.floor(F.col("length") / 2)
     places = [(0, F.lit(0)), (1, F.col("shift")), (2, F.floor(F.col("shift") / F.col("length"))), (3, F.floor((F.col("shift") + half) / F.col("length")))]
     scopes = F.array(*[F.struct(F.lit(k).alias("scope"), place.cast("long").alias("place")) for k, place in places])
@@ -169,7 +185,7 @@ def whole_matches(rows: DataFrame, benchmark: DataFrame, key: str) -> DataFrame
     if items.count() <= BROADCAST_ROWS:
         found = found.join(F.broadcast(items), "hash")
     else:
-        found = found.select(key, "at_doc", "hash").join(items, "hash").join(rows, key)
+        found = found.select(key, "at_doc", "hash").join(items, "hash").dropDuplicates([key, "item_id", "typed", "at_doc"]).join(rows.dropDuplicates([key]), key)
     start = F.col("at_doc") - F.col("at")
     part = lambda of: F.slice(of, F.greatest(start, F.lit(0)) + 1, F.size("sequence"))
     found = found.filter((start >= 0) & (part(F.when(F.col("typed"), F.col("tokens")).otherwise(F.col("low"))) == F.col("sequence")))
@@ -182,14 +198,14 @@ def whole_matches(rows: DataFrame, benchmark: DataFrame, key: str) -> DataFrame
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Each document once: doc_id, contaminated, item_id and coverage of its best item (smallest id
+    """Each row of docs: doc_id, contaminated, item_id and coverage of its best item (smallest id
     among equals), items (all that it holds, sorted), reparameterised."""
     held = matches(docs, benchmark).filter(F.col("coverage") >= SIMILARITY)
     best = F.min(F.struct((-F.col("coverage")).alias("c"), "item_id", "reparameterised"))
-    by_doc = held.groupBy("doc_id").agg(best.alias("best"), F.sort_array(F.collect_set("item_id")).alias("items"))
-    ids = only(docs, doc_id="long")
-    return ids.join(by_doc, "doc_id", "left").select(
-        "doc_id",
+    by_doc = held.groupBy("document").agg(best.alias("best"), F.sort_array(F.collect_set("item_id")).alias("items"))
+    rows = docs.select(document(docs).alias("document"))
+    return rows.join(by_doc, "document", "left").select(
+        F.col("document.id").alias("doc_id"),
         F.col("best").isNotNull().alias("contaminated"),
         F.col("best.item_id").alias("item_id"),
         F.coalesce(-F.col("best.c"), F.lit(0.0)).alias("coverage"),
@@ -199,6 +215,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones; rows with a null id cannot be named and stay."""
-    bad = matches(docs, benchmark).filter(F.col("coverage") >= SIMILARITY).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*[F.col(f"`{x}`") for x in docs.columns])
+    """docs without the contaminated ones, all columns as they are."""
+    bad = matches(docs, benchmark).filter(F.col("coverage") >= SIMILARITY).select("document").distinct()
+    return docs.join(bad, document(docs) == bad["document"], "left_anti")
