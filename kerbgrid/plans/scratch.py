@@ -1,31 +1,5 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Where shared_folder and written used to be."""
 
-from __future__ import annotations
+from kerbgrid.scratch import shared_folder, written
 
-import uuid
-
-from pyspark.sql import DataFrame
-
-
-def shared_folder(spark) -> str:
-    """spark.checkpoint.dir of the session. A fresh local folder is set only where there is none and the
-    session runs in one process; elsewhere that is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isEmpty():
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = held.get()
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder, read again: later steps start from files, not from lineage."""
-    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["shared_folder", "written"]
