@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from kerbgrid.plans.scratch import written
+from kerbgrid.scratch import dropped, written
 
 __all__ = ["dropped", "map_rows", "only", "slices", "table", "written"]
 
@@ -25,14 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dropped(table: DataFrame) -> None:
-    """Deletes the files of a table from written() that no later step reads."""
-    spark = table.sparkSession
-    for name in table.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch in slices of at most ROWS_AT_ONCE rows and about BYTES_AT_ONCE bytes of text."""
     sizes = np.ones(batch.num_rows, np.int64)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kerbgrid.llm import decontaminate, jaccard, langid, licenses, media, pieces, pii, repeats, secrets, warc
+from kerbgrid.llm import decontaminate, jaccard, langid, licenses, media, mixing, oracles, pieces, pii, repeats, secrets, tries, warc, whitening
 from kerbgrid.llm.common import table
 
 
@@ -46,7 +46,19 @@ def op10_template_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-# Those columns of four operators that SQL can express, each with its SQL.
+def op11_prefix_trie(spark, sf_dir):
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_lanczos_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_pareto_mix(spark, sf_dir):
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+# Those columns of five operators that SQL can express, each with its SQL.
 def media_bytes(spark, sf_dir):
     return op3_media_fingerprints(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
 
@@ -63,6 +75,10 @@ def secret_counts(spark, sf_dir):
     return op7_secret_automaton(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
 
 
+def embedding_deviations(spark, sf_dir):
+    return op12_lanczos_whitening(spark, sf_dir).filter("component = 1").select("vec_id", "n", "deviation")
+
+
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SQL = {
     "media_bytes": """WITH x AS (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents), y AS (SELECT *, greatest((n + 63) // 64 * 64, 64) AS p FROM x)
@@ -80,5 +96,5 @@ len(list_filter(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), lambda m: len(
 SELECT doc_id, len(list_filter(regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda v: len(v) >= 12)) AS n_assign,
 len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda v: len(v) >= 18)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda v: len(v) >= 16)) AS n_hex FROM x""",
 }
-QUERIES = {f.__name__: f for f in (op1_piece_dropout, op2_repeated_strings, op3_media_fingerprints, op4_jaccard_relations, op5_license_index, op6_pii_anchors, op7_secret_automaton, op8_warc_archives, op9_language_id, op10_template_decontamination, media_bytes, license_counts, personal_counts, secret_counts)}
-ORACLES = {"op8_warc_archives": warc.ORACLE} | _SQL
+QUERIES = {f.__name__: f for f in (op1_piece_dropout, op2_repeated_strings, op3_media_fingerprints, op4_jaccard_relations, op5_license_index, op6_pii_anchors, op7_secret_automaton, op8_warc_archives, op9_language_id, op10_template_decontamination, op11_prefix_trie, op12_lanczos_whitening, op13_pareto_mix, embedding_deviations, media_bytes, license_counts, personal_counts, secret_counts)}
+ORACLES = {"op8_warc_archives": warc.ORACLE} | oracles.ORACLES | _SQL
