@@ -54,7 +54,7 @@ def _plain(n: int, ahead: list[int], sums: list[int]) -> list[int]:
     return [a + b for a, b in zip(ahead, sums)]
 
 
-def running(rows: DataFrame, group: Sequence[str], order: Sequence[str | Column], what: str, sums: int, terms: Terms, modulus: int = 0, joined: Callable[[int, list[int], list[int]], list[int]] = _plain) -> tuple[DataFrame, list[tuple]]:
+def running(rows: DataFrame, group: Sequence[str], order: Sequence[str | Column], what: str, sums: int, terms: Terms, modulus: Sequence[int] | None = None, joined: Callable[[int, list[int], list[int]], list[int]] = _plain) -> tuple[DataFrame, list[tuple]]:
     """rows with place (from 1) and running sums s0, s1, ... in their order within each group, of any size.
 
     Rows are dealt by ranges of group and order, and each task sums in one pass, anew for each group. So a
@@ -62,7 +62,7 @@ def running(rows: DataFrame, group: Sequence[str], order: Sequence[str | Column]
     rows have the partition's number in column piece (others null), and what they lack is returned as
     (piece, rows before, sums before), one row a partition at most: joined(n, before, own) are the sums of a
     piece after n rows. ahead() adds plain sums. terms makes the summands of a batch from its whole-number
-    columns; modulus, if not 0, bounds sums. Columns that start with an underscore only sort. Ties in the
+    columns; modulus, if given, bounds each sum. Columns that start with an underscore only sort. Ties in the
     order must be between equal rows.
     """
     kept = [c for c in rows.columns if not c.startswith("_")]
@@ -86,7 +86,7 @@ def running(rows: DataFrame, group: Sequence[str], order: Sequence[str | Column]
             cum = np.cumsum(terms(columns, places), 0)
             before = np.concatenate([np.zeros((1, sums), np.int64), cum])[np.maximum(begun, 0)]
             cum = cum - before + total * goes_on[:, None]
-            cum = cum % modulus if modulus else cum
+            cum = cum if modulus is None else cum % np.array(modulus)
             piece = goes_on & in_first
             in_first = bool(piece[-1])
             edge = np.zeros(n, bool)
