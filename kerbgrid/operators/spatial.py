@@ -1,17 +1,16 @@
-"""Tiles and spatial joins on a grid: equi-joins on cells, with the geometry as a residual.
-
-A pure range join would compare every point with every box. Here boxes are exploded into grid cells
-and points have one cell, so candidates meet by hash; hot cells are left to adaptive skew splitting.
-"""
+"""Tiles and spatial joins on the grid of grid.py: equal keys first, the geometry after; hot cells are left to
+adaptive skew splitting."""
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbgrid.functions.boxes import EARTH_RADIUS, in_box, outline
 from kerbgrid.functions.lookups import UNMATCHED, land_use, resolved_land_use
+from kerbgrid.operators import grid
 
 BOX = ("min_lng", "min_lat", "max_lng", "max_lat")
 
@@ -20,8 +19,8 @@ def tiles(regions: DataFrame, n: int, truncate: bool = True) -> DataFrame:
     """region_id, tile and box of about n cells of each region, longitude first. With truncate the
     cells from the n-th on are left out (a corner stays uncovered); without it all cover the box. A box
     without width or height has none."""
-    nx = int(np.ceil(np.sqrt(n)))
-    ny = int(np.ceil(n / nx))
+    nx = math.ceil(math.sqrt(n))
+    ny = math.ceil(n / nx)
     w, h = (F.col("max_lng") - F.col("min_lng")) / nx, (F.col("max_lat") - F.col("min_lat")) / ny
     rows = regions.filter((F.col("max_lng") > F.col("min_lng")) & (F.col("max_lat") > F.col("min_lat"))).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit((min(n, nx * ny) if truncate else nx * ny) - 1))))
     i, j = F.floor(F.col("tile") / ny), F.col("tile") % ny
@@ -31,8 +30,8 @@ def tiles(regions: DataFrame, n: int, truncate: bool = True) -> DataFrame:
 
 def tile_of(lng: Column, lat: Column, n: int) -> Column:
     """The tile of a point within its region's box columns."""
-    nx = int(np.ceil(np.sqrt(n)))
-    ny = int(np.ceil(n / nx))
+    nx = math.ceil(math.sqrt(n))
+    ny = math.ceil(n / nx)
     i = F.least(F.floor((lng - F.col("min_lng")) * nx / (F.col("max_lng") - F.col("min_lng"))), F.lit(nx - 1))
     j = F.least(F.floor((lat - F.col("min_lat")) * ny / (F.col("max_lat") - F.col("min_lat"))), F.lit(ny - 1))
     return i * ny + j
@@ -49,119 +48,21 @@ def capped_per_tile(images: DataFrame, regions: DataFrame, n: int, caps: dict[st
     return rows.filter(F.coalesce(F.col("place") <= F.try_element_at(cap, F.col("source")), F.lit(True))).select("image_id", "region_id", "source", "tile")
 
 
-def cells_of_box(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Column:
-    """array<struct<cx,cy>> of the grid cells that a box touches."""
-    xs = F.sequence(F.floor(x0 / size), F.floor(x1 / size))
-    ys = F.sequence(F.floor(y0 / size), F.floor(y1 / size))
-    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
-
-
-def _cell(rows: DataFrame, x: str, y: str, size: float) -> DataFrame:
-    return rows.withColumn("cx", F.floor(F.col(x) / size)).withColumn("cy", F.floor(F.col(y) / size))
-
-
-def _in_cells(boxes: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> DataFrame:
-    cells = boxes.withColumn("cell", F.explode(cells_of_box(x0, y0, x1, y1, size)))
-    return cells.withColumn("cx", F.col("cell.cx")).withColumn("cy", F.col("cell.cy")).drop("cell")
-
-
-def regions_at_points(points: DataFrame, regions: DataFrame, size: float = 1.0, dense: bool | None = None) -> DataFrame:
+def regions_at_points(points: DataFrame, regions: DataFrame, dense: bool | None = None) -> DataFrame:
     """point_id, region_id (null: none) of the smallest region box that holds each point, ties by id.
     points: point_id, lng, lat."""
     some = regions if dense is None else regions.filter(F.col("dense_scan") == dense)
-    boxes = _in_cells(some.select("region_id", *BOX), *map(F.col, BOX), size)
-    area = (F.col("max_lng") - F.col("min_lng")) * (F.col("max_lat") - F.col("min_lat"))
-    found = _cell(points, "lng", "lat", size).join(boxes, ["cx", "cy"]).filter(in_box(F.col("lng"), F.col("lat"), tuple(map(F.col, BOX))))
+    boxes = grid.boxes_on_grid(some.select("region_id", *[F.col(a).alias(b) for a, b in zip(BOX, grid.BOUNDS)]))
+    area = (F.col("bx1") - F.col("bx0")) * (F.col("by1") - F.col("by0"))
+    found = grid.joined_on_grid(points, boxes, "lng", "lat").filter(in_box(F.col("lng"), F.col("lat"), tuple(map(F.col, grid.BOUNDS))))
     first = found.groupBy("point_id").agg(F.min(F.struct(area.alias("area"), "region_id"))["region_id"].alias("region_id"))
     return points.select("point_id").join(first, "point_id", "left")
 
 
-def inside_ring(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
-    """Ray cast; points on an edge are outside."""
-    a, b = ring, np.roll(ring, -1, axis=0)
-    inside, on_edge = np.zeros(len(x), bool), np.zeros(len(x), bool)
-    for (ax, ay), (bx, by) in zip(a, b):
-        cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
-        on_edge |= (cross == 0) & (np.minimum(ax, bx) <= x) & (x <= np.maximum(ax, bx)) & (np.minimum(ay, by) <= y) & (y <= np.maximum(ay, by))
-        if ay != by:
-            inside ^= ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
-    return inside & ~on_edge
-
-
-def edges_of(rings: Column) -> Column:
-    """The edges array<struct<ax,ay,bx,by>> of closed or open rings array<array<struct<x,y>>>; further rings
-    are holes."""
-
-    def of(r: Column) -> Column:
-        closed = F.concat(r, F.slice(r, 1, 1))
-        return F.transform(F.sequence(F.lit(1), F.size(r)), lambda k: F.struct(F.get(closed, k - 1)["x"].alias("ax"), F.get(closed, k - 1)["y"].alias("ay"), F.get(closed, k)["x"].alias("bx"), F.get(closed, k)["y"].alias("by")))
-
-    return F.flatten(F.transform(F.filter(rings, lambda r: F.size(r) > 0), of))
-
-
-def inside(x: Column, y: Column, edges: Column) -> Column:
-    """Whether a point is strictly inside: a ray from it crosses edges an odd number of times, and it is
-    on none."""
-
-    def crossed(e: Column) -> Column:
-        at = F.try_divide((e["bx"] - e["ax"]) * (y - e["ay"]), e["by"] - e["ay"]) + e["ax"]
-        return F.when((e["ay"] > y) != (e["by"] > y), x < at).otherwise(False).cast("int")
-
-    def touched(e: Column) -> Column:
-        on_line = (e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"]) == 0
-        return on_line & x.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])) & y.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"]))
-
-    return (F.aggregate(edges, F.lit(0), lambda n, e: n + crossed(e)) % 2 == 1) & ~F.exists(edges, touched)
-
-
-def edge_distance(x: Column, y: Column, edges: Column) -> Column:
-    """Distance of a point to the nearest edge."""
-
-    def one(e: Column) -> Column:
-        dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
-        t = F.coalesce(F.try_divide((x - e["ax"]) * dx + (y - e["ay"]) * dy, dx * dx + dy * dy), F.lit(0.0))
-        t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-        return F.hypot(e["ax"] + t * dx - x, e["ay"] + t * dy - y)
-
-    return F.array_min(F.transform(edges, one))
-
-
-def with_edges(polygons: DataFrame) -> DataFrame:
-    """Polygons (rings array<array<struct<x,y>>>) with edges and the bounds bx0, by0, bx1, by1 of them."""
-    rows = polygons.withColumn("edges", edges_of(F.col("rings"))).filter(F.size("edges") > 0)
-    end = lambda f, k: f(F.transform("edges", lambda e: e[k]))
-    return rows.withColumns({"bx0": end(F.array_min, "ax"), "by0": end(F.array_min, "ay"), "bx1": end(F.array_max, "ax"), "by1": end(F.array_max, "ay")})
-
-
-def points_in_any(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """The points (point_id, x, y) strictly inside any polygon (poly_id, and rings or one ring)."""
-    rings = F.col("rings") if "rings" in polygons.columns else F.array("ring")
-    boxes = _in_cells(with_edges(polygons.select("poly_id", rings.alias("rings"))), F.col("bx0"), F.col("by0"), F.col("bx1"), F.col("by1"), size)
-    near = _cell(points, "x", "y", size).join(boxes, ["cx", "cy"]).filter(F.col("x").between(F.col("bx0"), F.col("bx1")) & F.col("y").between(F.col("by0"), F.col("by1")))
-    x, y, edges = F.col("x"), F.col("y"), F.col("edges")
-    return points.join(near.filter(inside(x, y, edges)).select("point_id"), "point_id", "left_semi")
-
-
-def within(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
-    """(point_id, poly_id) of points strictly inside boxes (poly_id, region_id, x0, y0, side)."""
-    cells = _in_cells(boxes, F.col("x0"), F.col("y0"), F.col("x0") + F.col("side"), F.col("y0") + F.col("side"), size)
-    strict = (F.col("x") > F.col("x0")) & (F.col("x") < F.col("x0") + F.col("side")) & (F.col("y") > F.col("y0")) & (F.col("y") < F.col("y0") + F.col("side"))
-    return _cell(points, "x", "y", size).join(cells, ["region_id", "cx", "cy"]).filter(strict).select("point_id", "poly_id")
-
-
-def box_distance(x: Column, y: Column, x0: Column, y0: Column, side: Column) -> Column:
-    dx = F.greatest(x0 - x, x - x0 - side, F.lit(0.0))
-    dy = F.greatest(y0 - y, y - y0 - side, F.lit(0.0))
-    return F.sqrt(dx * dx + dy * dy)
-
-
-def nearest(points: DataFrame, boxes: DataFrame, radius: float) -> DataFrame:
-    """(point_id, poly_id) of the nearest boxes within radius, ties kept (to nine decimals)."""
-    cells = _in_cells(boxes, F.col("x0") - radius, F.col("y0") - radius, F.col("x0") + F.col("side") + radius, F.col("y0") + F.col("side") + radius, max(radius, 0.5))
-    d = F.round(box_distance(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("side")), 9)
-    near = _cell(points, "x", "y", max(radius, 0.5)).join(cells, ["region_id", "cx", "cy"]).withColumn("d", d).filter(F.col("d") <= radius)
-    least = Window.partitionBy("point_id").orderBy("d")
-    return near.withColumn("rank", F.rank().over(least)).filter("rank = 1").select("point_id", "poly_id")
+def points_in_any(points: DataFrame, polygons: DataFrame) -> DataFrame:
+    """The points (point_id, x, y) strictly inside any polygon (poly_id, unique, and rings)."""
+    near = grid.met(points, polygons.select("poly_id", "rings"), "point_id", "poly_id", "x", "y")
+    return points.join(near.select("point_id"), "point_id", "left_semi")
 
 
 def clipped(polygons: DataFrame, regions: DataFrame) -> DataFrame:
@@ -172,29 +73,26 @@ def clipped(polygons: DataFrame, regions: DataFrame) -> DataFrame:
     return rows.select(*polygons.columns, F.array(outline((x0, y0, x1, y1))).alias("rings"))
 
 
-def land_use_of_points(points: DataFrame, polygons: DataFrame, radius: float, size: float = 0.5, include_unmatched: bool = False, true_metres: bool = False) -> DataFrame:
+def land_use_of_points(points: DataFrame, polygons: DataFrame, radius: float, include_unmatched: bool = False, true_metres: bool = False) -> DataFrame:
     """point_id, land_use: of the polygons around a point, else of the nearest within radius (ties kept, to
     nine decimals; a radius of 0 takes none); a point's classes are resolved to one. points: point_id, region_id, x, y; polygons:
-    poly_id, region_id, landuse, leisure and rings (holes after the outer one) or x0, y0, side. One
-    candidate join by grid cell and one group by point. include_unmatched: points without any are
+    poly_id (unique), region_id, landuse, leisure and rings (holes after the outer one) or x0, y0, side. One
+    candidate join on the grid and one group by point. include_unmatched: points without any are
     UNMATCHED instead of left out. true_metres: coordinates are spherical Mercator metres and radius is
     on the ground, where these are shorter by the cosine of the latitude (below 80 degrees)."""
-    x, y, ringed = F.col("x"), F.col("y"), "rings" in polygons.columns
+    x, y = F.col("x"), F.col("y")
     classed = polygons.withColumn("kind", land_use(F.col("landuse"), F.col("leisure"))).filter("kind is not null")
-    if ringed:
-        bounded = with_edges(classed.select("region_id", "kind", "rings"))
-        within_, gap = inside(x, y, F.col("edges")), edge_distance(x, y, F.col("edges"))
-    else:  # boxes need no edges
-        x0, y0, side = F.col("x0"), F.col("y0"), F.col("side")
-        bounded = classed.select("region_id", "kind", "x0", "y0", "side", x0.alias("bx0"), y0.alias("by0"), (x0 + side).alias("bx1"), (y0 + side).alias("by1"))
-        within_, gap = (x > x0) & (x < x0 + side) & (y > y0) & (y < y0 + side), box_distance(x, y, x0, y0, side)
     stretch = lambda y: F.cosh(y / EARTH_RADIUS) if true_metres else F.lit(1.0)
     reach = 1e-8 + radius * stretch(F.greatest(F.abs("by0"), F.abs("by1")) + 8 * radius)
-    cell = max(radius, size)
-    shapes = _in_cells(bounded.withColumn("reach", reach), *[F.col(b) + s * F.col("reach") for b, s in (("bx0", -1), ("by0", -1), ("bx1", 1), ("by1", 1))], cell)
-    close = x.between(F.col("bx0") - F.col("reach"), F.col("bx1") + F.col("reach")) & y.between(F.col("by0") - F.col("reach"), F.col("by1") + F.col("reach"))
-    near = _cell(points, "x", "y", cell).join(shapes, ["region_id", "cx", "cy"]).filter(close)
-    near = near.select("point_id", "kind", F.struct((~within_).alias("outside"), F.when(within_, 0.0).otherwise(F.round(gap / stretch(y), 9)).alias("d"), "kind").alias("c"))
+    if "rings" in polygons.columns:
+        shapes = classed.select("poly_id", "region_id", F.col("kind").alias("use"), "rings")
+        near = grid.met(points, shapes, "point_id", "poly_id", "x", "y", reach if radius > 0 else None, ["region_id"])
+    else:  # boxes need no edges
+        boxes = classed.select("region_id", F.col("kind").alias("use"), F.col("x0").alias("bx0"), F.col("y0").alias("by0"), (F.col("x0") + F.col("side")).alias("bx1"), (F.col("y0") + F.col("side")).alias("by1")).withColumn("reach", reach)
+        close = x.between(F.col("bx0") - F.col("reach"), F.col("bx1") + F.col("reach")) & y.between(F.col("by0") - F.col("reach"), F.col("by1") + F.col("reach"))
+        near = grid.joined_on_grid(points, grid.boxes_on_grid(boxes, F.col("reach")), "x", "y", ["region_id"]).filter(close)
+        near = near.withColumn("within", grid.within_bounds(x, y)).withColumn("gap", grid.distance_to_bounds(x, y))
+    near = near.select("point_id", F.struct((~F.col("within")).alias("outside"), F.when(F.col("within"), 0.0).otherwise(F.round(F.col("gap") / stretch(y), 9)).alias("d"), F.col("use").alias("kind")).alias("c"))
     found = near.filter(~F.col("c.outside") | ((F.col("c.d") <= radius) & F.lit(radius > 0))).groupBy("point_id").agg(F.collect_set("c").alias("all"))
     best = F.array_min("all")
     kinds = F.transform(F.filter("all", lambda c: (c["outside"] == best["outside"]) & (c["d"] == best["d"])), lambda c: c["kind"])

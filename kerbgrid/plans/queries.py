@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbgrid.functions import boxes, lookups, text
-from kerbgrid.operators import dataset, inference, ingest, reports, score, spatial
+from kerbgrid.operators import dataset, grid, inference, ingest, reports, score, spatial
 from kerbgrid.plans.fixtures import Views, oracle
 from kerbgrid.plans.scratch import written
 from kerbgrid.streaming import jobs
@@ -504,7 +504,24 @@ def _inside_any(v: Views, polygons: DataFrame) -> DataFrame:
     c = F.col
     ring = boxes.outline((c("x0"), c("y0"), c("x0") + c("side"), c("y0") + c("side")))
     shapes = polygons.select("poly_id", F.array(ring).alias("rings"))
-    return spatial.points_in_any(v.images.select(c("image_id").alias("point_id"), c("lng").alias("x"), c("lat").alias("y")), shapes, 1.0).select(c("point_id").alias("image_id"))
+    return spatial.points_in_any(v.images.select(c("image_id").alias("point_id"), c("lng").alias("x"), c("lat").alias("y")), shapes).select(c("point_id").alias("image_id"))
+
+
+#: Teeth of a comb-shaped polygon: 4 * TEETH + 3 edges.
+TEETH = 15
+
+
+@query(f"""WITH p AS (SELECT poly_id, x0, y0, side + 0.0037e0 AS side, (side + 0.0037e0) / {2 * TEETH} AS u FROM {{landuse_polygons}})
+SELECT image_id, count(*) AS combs, min(poly_id) AS first_comb FROM {{images}} JOIN p ON lng > x0 AND lng < x0 + side AND lat > y0 AND lat < y0 + side AND (lat - y0 < side / 4 OR CAST(floor((lng - x0) / u) AS BIGINT) % 2 = 0) GROUP BY 1""")
+def points_in_combs(v):
+    c, side = F.col, F.col("side") + 0.0037
+    corner = lambda x, y: F.struct((c("x0") + x).alias("x"), (c("y0") + y).alias("y"))
+    u, zero = side / (2 * TEETH), F.lit(0.0)
+    tooth = lambda i: F.array(corner((2 * i + 1) * u, side / 4), corner((2 * i + 1) * u, side), corner(2 * i * u, side), corner(2 * i * u, side / 4))
+    ring = F.concat(F.array(corner(zero, zero), corner(side, zero), corner(side, side / 4)), *[tooth(i) for i in reversed(range(TEETH))])
+    points = v.images.select(c("image_id").alias("point_id"), c("lng").alias("x"), c("lat").alias("y"))
+    near = grid.met(points, v.landuse_polygons.select("poly_id", F.array(ring).alias("rings")), "point_id", "poly_id", "x", "y")
+    return near.groupBy(c("point_id").alias("image_id")).agg(F.count("*").alias("combs"), F.min("poly_id").alias("first_comb"))
 
 
 @query("SELECT land_use, count(*) AS parts FROM (SELECT " + _KIND + " AS land_use FROM {landuse_polygons}) WHERE land_use IS NOT NULL GROUP BY 1")

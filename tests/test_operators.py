@@ -54,31 +54,6 @@ def test_tiles(spark, n, cells):
     assert area(spatial.tiles(box, n, truncate=False)) == pytest.approx(50.0)
 
 
-def test_spatial_joins_equal_brute_force(spark):
-    rng = random.Random(4)
-    points = [(i, 0, rng.randrange(100) / 10, rng.randrange(100) / 10) for i in range(150)]
-    squares = [(i, 0, rng.choice(["retail", "residential", None]), None, rng.randrange(90) / 10, rng.randrange(90) / 10, rng.choice([0.3, 0.5, 1.5])) for i in range(40)]
-    p = spark.createDataFrame(points, "point_id long, region_id long, x double, y double")
-    q = spark.createDataFrame(squares, "poly_id long, region_id long, landuse string, leisure string, x0 double, y0 double, side double")
-    inside = {(i, k) for i, _, x, y in points for k, _, _, _, a, b, s in squares if a < x < a + s and b < y < b + s}
-    assert {tuple(r) for r in spatial.within(p, q, 0.5).collect()} == inside
-    gap = lambda x, y, a, b, s: round(float(np.hypot(max(a - x, x - a - s, 0), max(b - y, y - b - s, 0))), 9)
-    want = set()
-    for i, _, x, y in points:
-        d = {k: gap(x, y, a, b, s) for k, _, _, _, a, b, s in squares}
-        want |= {(i, k) for k, v in d.items() if v <= 0.4 and v == min(d.values())}
-    assert {tuple(r) for r in spatial.nearest(p, q, 0.4).collect()} == want
-    ring = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((F.col("x0"), F.col("y0")), (F.col("x0") + F.col("side"), F.col("y0")), (F.col("x0") + F.col("side"), F.col("y0") + F.col("side")), (F.col("x0"), F.col("y0") + F.col("side")))])
-    some = spatial.points_in_any(p, q.select("poly_id", ring.alias("ring")), 1.0)
-    assert {r["point_id"] for r in some.collect()} == {i for i, _ in inside}
-
-
-def test_rings():
-    ring = np.array([(0, 0), (4, 0), (4, 4), (2, 2), (0, 4)], float)
-    x, y = np.array([2, 2, 1, 4, 2.0, 9]), np.array([1, 3, 2, 1, 2, 1.0])
-    assert spatial.inside_ring(x, y, ring).tolist() == [True, False, True, False, False, False]
-
-
 def test_split_totals_are_exact(spark):
     rows = spark.range(137).select(F.col("id").alias("image_id"))
     boxes = spark.createDataFrame([(i, i % 3, k) for i in range(100) for k in range(1 + i % 2)], "image_id long, class_id int, detection_id long")
