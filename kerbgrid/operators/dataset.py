@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbgrid.functions.boxes import centre_box, parsed_box, percent_rectangle, percent_to_centre
 from kerbgrid.functions.lookups import CLASSES, class_id
+from kerbgrid.scratch import ahead, running, written
 
 TRAIN, VAL = 0.7, 0.2
 
@@ -108,8 +110,6 @@ def with_index(rows: DataFrame, *order: str | Column) -> DataFrame:
     """rows with a global index from 0 in the given total order: sorted by range, numbered within
     partitions, and shifted by the partitions' counts; no partition holds all rows. Rows are written
     once, as both steps must see the same partitions."""
-    from kerbgrid.plans.scratch import written
-
     placed = written(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()), "indexed")
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("_part").agg(F.count("*").alias("n"), F.min("_place").alias("_low")).withColumn("_start", F.coalesce(F.sum("n").over(ahead), F.lit(0))).select("_part", "_low", "_start")
@@ -141,6 +141,64 @@ def balanced_split(rows: DataFrame, boxes: DataFrame, seed: int = 0, train: floa
     return rows.select("image_id", "stratum", F.when(hit(i, a, max(n, 1)), "train").when(hit(j, b, m), "val").otherwise("test").alias("split"))
 
 
+def deficit_split(rows: DataFrame, boxes: DataFrame, seed: int = 0, train: float = TRAIN, val: float = VAL) -> DataFrame:
+    """image_id, split: a draw by open deficits of classes, in rounds from the rarest class on. Totals are exactly
+    int(n * train), int(n * val) and the rest.
+
+    An image belongs to the round of its rarest class, where images with most boxes of it come first, then in
+    hashed order. A round shares its boxes among splits by what each still lacks of the class (its share of
+    all boxes less what earlier rounds brought): a ranked cumulative sum says where the next split begins, to
+    the nearest box. What goes beyond a split's size, and images without boxes, fill the splits up at the
+    end in hashed order. Ranks and sums are one pass over all images dealt by ranges; a round is one small
+    aggregate, and only its totals, a number for each split and class, come to the driver."""
+    c, share = F.col, {"train": train, "val": val, "test": 1 - train - val}
+    freq = boxes.join(rows.select("image_id"), "image_id", "left_semi").groupBy("class_id").agg(F.count("*").alias("n")).orderBy("n", "class_id").collect()
+    classes, total = [r["class_id"] for r in freq], {r["class_id"]: r["n"] for r in freq}
+    held = boxes.groupBy("image_id").agg(F.count("*").alias("any"), *[F.count_if(c("class_id") == k).alias(f"n{k}") for k in classes])
+    base = rows.select("image_id").join(held, "image_id", "left").fillna(0)
+    first = lambda pick, none: F.coalesce(*[F.when(c(f"n{k}") > 0, pick(k)) for k in classes], none)
+    base = base.select("image_id", first(F.lit, F.lit(-1)).cast("long").alias("stratum"), first(lambda k: c(f"n{k}"), F.lit(0)).alias("own"), *[f"n{k}" for k in classes], seeded(seed).alias("h"))
+    ranked, pieces = running(base, ["stratum"], [c("own").desc(), c("h"), c("image_id")], "ranked", 1, lambda columns, places: columns["own"][:, None])
+    ranked = written(ahead(ranked, pieces, 1), "strata")
+    n = ranked.count()
+    room = {"train": int(n * train), "val": int(n * val)}
+    room["test"] = n - room["train"] - room["val"]
+    got, cuts = {s: dict.fromkeys(classes, 0) for s in share}, {}
+    for k in classes:
+        lack = {s: max(total[k] * share[s] - got[s][k], 0.0) for s in share}
+        mine = ranked.filter(c("stratum") == k)
+        # Where each split ends, in boxes counted to the middle of an image; then, in images, where its room does.
+        size = mine.agg(F.max("s0").alias("n")).first()["n"] or 0
+        one = size * lack["train"] / (sum(lack.values()) or 1.0)
+        two = size * (lack["train"] + lack["val"]) / (sum(lack.values()) or 1.0)
+        middle = c("s0") - c("own") / 2
+        ends = mine.agg(F.count_if(middle <= one).alias("a"), F.count_if(middle <= two).alias("b"), F.count("*").alias("c")).first()
+        a, b, whole = ends["a"], ends["b"], ends["c"]
+        cuts[k] = {"train": (0, min(a, room["train"])), "val": (a, a + min(b - a, room["val"])), "test": (b, b + min(whole - b, room["test"]))}
+        for s, (low, high) in cuts[k].items():
+            room[s] -= high - low
+        named = mine.withColumn("split", _named(cuts[k])).filter("split IS NOT NULL")
+        for r in named.groupBy("split").agg(*[F.sum(f"n{j}").alias(f"n{j}") for j in classes]).collect():
+            for j in classes:
+                got[r["split"]][j] += r[f"n{j}"]
+    split = F.lit(None).cast("string")
+    for k in classes:
+        split = F.when(c("stratum") == k, _named(cuts[k])).otherwise(split)
+    ranked = ranked.select("image_id", "h", split.alias("split"))
+    rest, pieces = running(ranked.filter("split IS NULL").select("image_id", "h"), [], ["h", "image_id"], "rest", 0, lambda columns, places: np.zeros((len(places), 0), np.int64))
+    a, b = room["train"], room["train"] + room["val"]
+    rest = ahead(rest, pieces, 0).select("image_id", F.when(c("place") <= a, "train").when(c("place") <= b, "val").otherwise("test").alias("split"))
+    return ranked.filter("split IS NOT NULL").select("image_id", "split").unionByName(rest)
+
+
+def _named(cuts: dict[str, tuple[int, int]]) -> Column:
+    """The split whose places (low excluded, high included) hold a row's."""
+    out = F.lit(None).cast("string")
+    for s, (low, high) in cuts.items():
+        out = F.when((F.col("place") > low) & (F.col("place") <= high), s).otherwise(out)
+    return out
+
+
 def class_counts(split: DataFrame, boxes: DataFrame) -> DataFrame:
     """split, class_id, n over the boxes of each split."""
     return boxes.join(split.select("image_id", "split"), "image_id").groupBy("split", "class_id").agg(F.count("*").alias("n"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from kerbgrid.scratch import written
 
 #: Up to how many edges a shape is not cut into cells of its own; about how many edges such a cell touches.
-FEW, IN_CELL = 16, 1
+FEW, IN_CELL = 64, 4
 BOUNDS = ("bx0", "by0", "bx1", "by1")
 #: Kinds of shapes: what their bounds say all of, those of few edges, and others.
 BOX, SMALL, LARGE = "box", "small", "large"

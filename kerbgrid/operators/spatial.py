@@ -100,13 +100,6 @@ def land_use_of_points(points: DataFrame, polygons: DataFrame, radius: float, in
     return points.select("point_id").join(found, "point_id", "left").select("point_id", F.coalesce("land_use", F.lit(UNMATCHED)).alias("land_use")) if include_unmatched else found
 
 
-def dissolved(polygons: DataFrame) -> DataFrame:
-    """region_id, land_use, rings: the rings of each class and region as one multipolygon, inner
-    boundaries kept; a row holds one region's polygons, not a class's of the whole world."""
-    rows = polygons.withColumn("land_use", land_use(F.col("landuse"), F.col("leisure"))).filter("land_use is not null")
-    return rows.groupBy("region_id", "land_use").agg(F.collect_list("ring").alias("rings"))
-
-
 def shape_box(default: Column, shape: Column, inside: Column, largest: float = 0.5) -> Column:
     """A shape's bounds where the centre is inside it and they are small enough, else the default box."""
     area = (shape["max_lng"] - shape["min_lng"]) * (shape["max_lat"] - shape["min_lat"])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbgrid.functions import boxes, lookups, text
-from kerbgrid.operators import dataset, grid, inference, ingest, reports, score, spatial
+from kerbgrid.operators import dataset, grid, inference, ingest, reports, score, shapes, spatial
 from kerbgrid.plans.fixtures import Views, oracle
 from kerbgrid.plans.scratch import written
 from kerbgrid.streaming import jobs
@@ -503,12 +503,12 @@ def bbox_polygon_filter(v):
 def _inside_any(v: Views, polygons: DataFrame) -> DataFrame:
     c = F.col
     ring = boxes.outline((c("x0"), c("y0"), c("x0") + c("side"), c("y0") + c("side")))
-    shapes = polygons.select("poly_id", F.array(ring).alias("rings"))
-    return spatial.points_in_any(v.images.select(c("image_id").alias("point_id"), c("lng").alias("x"), c("lat").alias("y")), shapes).select(c("point_id").alias("image_id"))
+    rings = polygons.select("poly_id", F.array(ring).alias("rings"))
+    return spatial.points_in_any(v.images.select(c("image_id").alias("point_id"), c("lng").alias("x"), c("lat").alias("y")), rings).select(c("point_id").alias("image_id"))
 
 
 #: Teeth of a comb-shaped polygon: 4 * TEETH + 3 edges.
-TEETH = 15
+TEETH = 20
 
 
 @query(f"""WITH p AS (SELECT poly_id, x0, y0, side + 0.0037e0 AS side, (side + 0.0037e0) / {2 * TEETH} AS u FROM {{landuse_polygons}})
@@ -524,19 +524,52 @@ def points_in_combs(v):
     return near.groupBy(c("point_id").alias("image_id")).agg(F.count("*").alias("combs"), F.min("poly_id").alias("first_comb"))
 
 
-@query("SELECT land_use, count(*) AS parts FROM (SELECT " + _KIND + " AS land_use FROM {landuse_polygons}) WHERE land_use IS NOT NULL GROUP BY 1")
-def landuse_dissolve(v):
+def _classed_rings(v: Views) -> DataFrame:
+    """The view's polygons as rings, by class; they overlap here and there, but share no sides."""
     c = F.col
     ring = boxes.outline((c("x0"), c("y0"), c("x0") + c("side"), c("y0") + c("side")))
-    return spatial.dissolved(v.landuse_polygons.withColumn("ring", ring)).groupBy("land_use").agg(F.sum(F.size("rings")).alias("parts"))
+    rows = v.landuse_polygons.withColumn("land_use", lookups.land_use(c("landuse"), c("leisure"))).filter("land_use IS NOT NULL")
+    return rows.select("poly_id", "region_id", "land_use", F.array(F.slice(ring, 1, 4)).alias("rings"))
+
+
+@query("SELECT land_use, count(*) AS parts FROM (SELECT " + _KIND + " AS land_use FROM {landuse_polygons}) WHERE land_use IS NOT NULL GROUP BY 1")
+def landuse_dissolve(v):
+    # Polygons that overlap are no part of the operator's contract: each is a group of its own here.
+    return shapes.dissolved(_classed_rings(v), ["land_use", "poly_id"]).groupBy("land_use").agg(F.count("*").alias("parts"))
 
 
 @query("""SELECT region_id, land_use, count(*) AS parts, round(sum(x0), 6) AS left_sum, round(sum(y0 + side), 6) AS top_sum FROM (SELECT *, """ + _KIND + """ AS land_use FROM {landuse_polygons}) WHERE land_use IS NOT NULL GROUP BY 1, 2""")
 def landuse_multipolygons(v):
+    end = lambda f, k: f(F.transform("ring", lambda p: p[k]))
+    rows = shapes.dissolved(_classed_rings(v), ["region_id", "land_use", "poly_id"])
+    return rows.groupBy("region_id", "land_use").agg(F.count("*").alias("parts"), F.round(F.sum(end(F.array_min, "x")), 6).alias("left_sum"), F.round(F.sum(end(F.array_max, "y")), 6).alias("top_sum"))
+
+
+_LOTS = f"""lots AS (SELECT region_id, {_KIND} AS land_use, CAST(poly_id // 25 % 40 AS BIGINT) AS cx, CAST(poly_id // 25 // 40 AS BIGINT) AS cy FROM {{landuse_polygons}} WHERE landuse IS NOT NULL OR leisure IS NOT NULL)"""
+
+
+@query(f"""WITH {_LOTS}, sides AS (SELECT region_id, land_use, cx, cy, unnest([cx - 1, cx + 1, cx, cx]) AS nx, unnest([cy, cy, cy - 1, cy + 1]) AS ny FROM lots),
+open_ AS (SELECT s.region_id, s.land_use, count(*) FILTER (WHERE n.cx IS NULL) AS sides FROM sides s LEFT JOIN lots n ON n.region_id = s.region_id AND n.land_use = s.land_use AND n.cx = s.nx AND n.cy = s.ny GROUP BY 1, 2)
+SELECT region_id, land_use, count(*) * 1.0e0 AS area, any_value(sides) AS sides FROM lots JOIN open_ USING (region_id, land_use) GROUP BY 1, 2""")
+def landuse_union(v):
+    """Lots side by side, one a polygon: the area and open sides of each class once they are dissolved."""
     c = F.col
-    ring = boxes.outline((c("x0"), c("y0"), c("x0") + c("side"), c("y0") + c("side")))
-    total = lambda end, k: F.round(F.aggregate("rings", F.lit(0.0), lambda n, r: n + end(F.transform(r, lambda p: p[k]))), 6)
-    return spatial.dissolved(v.landuse_polygons.withColumn("ring", ring)).select("region_id", "land_use", F.size("rings").cast("long").alias("parts"), total(F.array_min, "x").alias("left_sum"), total(F.array_max, "y").alias("top_sum"))
+    at = lambda x, y: F.struct((F.floor(c("poly_id") / 25) % 40 + x).cast("double").alias("x"), (F.floor(F.floor(c("poly_id") / 25) / 40) + y).cast("double").alias("y"))
+    lots = _classed_rings(v).withColumn("rings", F.array(F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1))))
+    rings = shapes.dissolved(lots, ["region_id", "land_use"])
+    return rings.groupBy("region_id", "land_use").agg(F.round(F.sum("area"), 6).alias("area"), F.sum(F.size("ring")).alias("sides"))
+
+
+@query("""WITH p AS (SELECT poly_id, x0, y0, x0 + side AS x1, y0 + side AS y1, x0 + side / 4 AS hx0, y0 + side / 4 AS hy0, x0 + side * 3 / 4 AS hx1, y0 + side * 3 / 4 AS hy1 FROM {landuse_polygons}),
+c AS (SELECT g.region_id, poly_id, greatest(least(x1, max_lng) - greatest(x0, min_lng), 0) * greatest(least(y1, max_lat) - greatest(y0, min_lat), 0) AS outline, greatest(least(hx1, max_lng) - greatest(hx0, min_lng), 0) * greatest(least(hy1, max_lat) - greatest(hy0, min_lat), 0) AS hole FROM p JOIN {regions} g ON x0 < max_lng AND x1 > min_lng AND y0 < max_lat AND y1 > min_lat)
+SELECT region_id, poly_id, round(outline, 8) AS outline, round(hole, 8) AS hole FROM c WHERE outline > 0""")
+def landuse_clipped(v):
+    """Polygons with a hole in each region that they reach into."""
+    c, s = F.col, F.col("side")
+    square = lambda a, b: F.slice(boxes.outline((c("x0") + s * a, c("y0") + s * a, c("x0") + s * b, c("y0") + s * b)), 1, 4)
+    rows = shapes.regional(v.landuse_polygons.select("poly_id", F.array(square(0, 1), square(0.25, 0.75)).alias("rings")), v.regions)
+    size = lambda i: F.coalesce(F.abs(shapes.ring_area(F.get("rings", F.lit(i)))), F.lit(0.0))
+    return rows.select("region_id", "poly_id", F.round(size(0), 8).alias("outline"), F.round(size(1), 8).alias("hole"))
 
 
 @query("""WITH p AS (SELECT region_id, x0, y0, side + 0.0037e0 AS side, """ + _KIND + """ AS kind FROM {landuse_polygons}),
@@ -549,8 +582,8 @@ def landuse_of_triangles(v):
     corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     rings = F.array(F.array(corner(c("x0"), c("y0")), corner(c("x0") + side, c("y0")), corner(c("x0"), c("y0") + side)))
     points = v.images.select(c("image_id").alias("point_id"), "region_id", c("lng").alias("x"), c("lat").alias("y"))
-    shapes = v.landuse_polygons.select("poly_id", "region_id", "landuse", "leisure", rings.alias("rings"))
-    return spatial.land_use_of_points(points, shapes, 0.0, include_unmatched=True).withColumnRenamed("point_id", "image_id")
+    triangles = v.landuse_polygons.select("poly_id", "region_id", "landuse", "leisure", rings.alias("rings"))
+    return spatial.land_use_of_points(points, triangles, 0.0, include_unmatched=True).withColumnRenamed("point_id", "image_id")
 
 
 @query("SELECT image_id, round(lng * pi() / 180 * 6378137, 3) AS x, round(ln(tan(pi() / 4 + lat * pi() / 360)) * 6378137, 3) AS y FROM {images}")

@@ -14,7 +14,6 @@ FEATURES = "features array<struct<id:string,geometry:struct<type:string,coordina
 POLYGONS = "features array<struct<id:string,geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>"
 _RESULT = "struct<id:string,type:string,value:struct<x:double,y:double,width:double,height:double,rectanglelabels:array<string>>>"
 TASK_PAGE = f"tasks array<struct<id:string,data:struct<image_id:string,image:string>,annotations:string,predictions:string>>, results array<struct<id:string,data:struct<image_id:string,image:string>,annotations:string,predictions:string>>"
-CITY_COLUMNS = ("city", "city_ascii", "lat", "lng", "country", "iso2", "iso3", "admin_name", "capital", "population", "id", "start_captured_at", "end_captured_at")
 
 
 def jdbc_table(spark: SparkSession, url: str, table: str, column: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
@@ -82,14 +81,17 @@ def feature_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def polygon_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Outer rings of polygons and multipolygons, one row a part: poly_id, part, landuse, leisure, ring."""
+    """Polygons, and multipolygons one row a part: poly_id, part, landuse, leisure, rings (outline, then holes);
+    polygons without points are left out. operators.shapes.regional attaches regions and cuts to their boxes."""
     rows = spark.read.schema(POLYGONS).option("multiLine", True).json(path).select(F.explode("features").alias("x"))
-    ring = "array<array<double>>"
-    one = F.when(F.col("x.geometry.type") == "Polygon", F.array(F.get(F.from_json("x.geometry.coordinates", f"array<{ring}>"), F.lit(0))))
-    many = F.when(F.col("x.geometry.type") == "MultiPolygon", F.transform(F.from_json("x.geometry.coordinates", f"array<array<{ring}>>"), lambda p: F.get(p, F.lit(0))))
+    polygon = "array<array<array<double>>>"
+    one = F.when(F.col("x.geometry.type") == "Polygon", F.array(F.from_json("x.geometry.coordinates", polygon)))
+    many = F.when(F.col("x.geometry.type") == "MultiPolygon", F.from_json("x.geometry.coordinates", f"array<{polygon}>"))
     tag = lambda k: F.try_element_at("x.properties", F.lit(k)).alias(k)
-    rows = rows.select(F.col("x.id").alias("poly_id"), tag("landuse"), tag("leisure"), F.posexplode(F.coalesce(one, many)).alias("part", "outer"))
-    return rows.select("poly_id", "part", "landuse", "leisure", F.transform("outer", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("ring"))
+    rows = rows.select(F.col("x.id").alias("poly_id"), tag("landuse"), tag("leisure"), F.posexplode(F.coalesce(one, many)).alias("part", "parts"))
+    point = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
+    rings = F.transform("parts", lambda r: F.filter(F.transform(r, point), lambda p: p["x"].isNotNull() & p["y"].isNotNull()))
+    return rows.filter(F.size("parts") > 0).select("poly_id", "part", "landuse", "leisure", rings.alias("rings"))
 
 
 def task_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -39,7 +39,7 @@ def test_features_and_polygons(spark, tmp_path):
     shapes = [{"id": "p", "geometry": {"type": "Polygon", "coordinates": [square]}, "properties": {"landuse": "retail"}}, {"id": "m", "geometry": {"type": "MultiPolygon", "coordinates": [[square], [square]]}, "properties": {"leisure": "park"}}, {"id": "x", "geometry": {"type": "Point", "coordinates": [1, 2]}, "properties": {}}]
     (tmp_path / "p.json").write_text(json.dumps({"features": shapes}))
     got = readers.polygon_pages(spark, str(tmp_path / "p.json")).collect()
-    assert sorted((r["poly_id"], r["part"], len(r["ring"])) for r in got) == [("m", 0, 4), ("m", 1, 4), ("p", 0, 4)]
+    assert sorted((r["poly_id"], r["part"], len(r["rings"][0])) for r in got) == [("m", 0, 4), ("m", 1, 4), ("p", 0, 4)]
 
 
 def test_tasks(spark, tmp_path):
