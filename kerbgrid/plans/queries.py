@@ -417,6 +417,28 @@ def _flattened(rows: DataFrame) -> DataFrame:
     return flat.join(made.select("image_id", F.size("annotations").cast("long").alias("annotated")), "image_id").select("image_id", "annotated", F.size("results").cast("long").alias("n"))
 
 
+def _deficit_sql(rounds: int) -> str:
+    """The draw by open deficits, its rounds written out: a class that does not occur has no rows."""
+    order = "own.n DESC, md5(concat('0:', CAST(image_id AS STRING))), image_id"
+    out = [f"""b AS ({_BOXED}), f AS (SELECT class_id, count(*) AS n, row_number() OVER (ORDER BY count(*), class_id) - 1 AS r FROM b GROUP BY 1), own AS (SELECT image_id, class_id, count(*) AS n FROM b GROUP BY ALL),
+st AS (SELECT image_id, min(r) AS r FROM own JOIN f USING (class_id) GROUP BY 1), k AS (SELECT image_id, st.r, own.n, sum(own.n) OVER o AS cum, row_number() OVER o AS place FROM st JOIN f USING (r) JOIN own USING (image_id, class_id) WINDOW o AS (PARTITION BY st.r ORDER BY {order} ROWS UNBOUNDED PRECEDING)),
+size AS (SELECT count(*) AS n, CAST(floor(count(*) * 0.7e0) AS BIGINT) AS tr, CAST(floor(count(*) * 0.2e0) AS BIGINT) AS va FROM {{images}}), u0 AS (SELECT image_id, '' AS split FROM b WHERE false)"""]
+    for r in range(rounds):
+        lack = ", ".join(f"greatest(f.n * {share} - coalesce((SELECT sum(own.n) FROM u{r} JOIN own USING (image_id) WHERE split = '{s}' AND own.class_id = f.class_id), 0), 0) AS l_{s}" for s, share in (("train", "0.7e0"), ("val", "0.2e0"), ("test", "(1 - 0.7e0 - 0.2e0)")))
+        room = ", ".join(f"{whole} - (SELECT count(*) FROM u{r} WHERE split = '{s}') AS r_{s}" for s, whole in (("train", "size.tr"), ("val", "size.va"), ("test", "(size.n - size.tr - size.va)")))
+        out.append(f"""l{r} AS (SELECT {lack}, {room}, (SELECT max(cum) FROM k WHERE r = {r}) AS cum FROM f, size WHERE r = {r}),
+e{r} AS (SELECT any_value(r_train) AS r_train, any_value(r_val) AS r_val, any_value(r_test) AS r_test, count(*) FILTER (WHERE k.cum - k.n / 2 <= l.cum * l_train / (l_train + l_val + l_test)) AS a, count(*) FILTER (WHERE k.cum - k.n / 2 <= l.cum * (l_train + l_val) / (l_train + l_val + l_test)) AS b, count(*) AS c FROM k, l{r} l WHERE r = {r}),
+u{r + 1} AS (SELECT * FROM u{r} UNION ALL SELECT image_id, CASE WHEN place <= least(a, r_train) THEN 'train' WHEN place > a AND place <= a + least(b - a, r_val) THEN 'val' ELSE 'test' END AS split FROM k, e{r} WHERE r = {r} AND (place <= least(a, r_train) OR place > a AND place <= a + least(b - a, r_val) OR place > b AND place <= b + least(c - b, r_test)))""")
+    out.append(f"""rest AS (SELECT image_id, row_number() OVER (ORDER BY md5(concat('0:', CAST(image_id AS STRING))), image_id) AS place FROM {{images}} ANTI JOIN u{rounds} USING (image_id))
+SELECT * FROM u{rounds} UNION ALL SELECT image_id, CASE WHEN place <= size.tr - (SELECT count(*) FROM u{rounds} WHERE split = 'train') THEN 'train' WHEN place <= size.tr + size.va - (SELECT count(*) FROM u{rounds} WHERE split IN ('train', 'val')) THEN 'val' ELSE 'test' END AS split FROM rest, size""")
+    return "WITH " + ",\n".join(out)
+
+
+@query(_deficit_sql(len(lookups.CLASSES)))
+def deficit_split(v):
+    return dataset.deficit_split(v.images, dataset.centre_boxes(v.images, v.detections))
+
+
 def _split(v: Views) -> tuple[DataFrame, DataFrame]:
     found = dataset.centre_boxes(v.images, v.detections)
     return dataset.balanced_split(v.images, found), found
