@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,13 +14,23 @@ EARTH_RADIUS = 6378137.0
 KM_PER_DEGREE = 111.0
 
 
+def box_numbers(text: Column) -> Column:
+    """JSON text of a list of numbers as array<double>."""
+    return F.from_json(text, "array<double>")
+
+
+def box_of_numbers(numbers: Column, text: Column) -> Column:
+    """numbers if they are four, else the four items of text that can be cast to numbers, else null; each item is
+    looked at by itself, as functions of arrays are not compiled."""
+    parts = F.from_json(text, "array<string>")
+    cast = [F.get(parts, F.lit(i)).try_cast("double") for i in range(4)]
+    whole = lambda items, array: reduce(lambda a, x: a & x.isNotNull(), items, F.coalesce(F.size(array) == 4, F.lit(False)))
+    return F.when(whole([F.get(numbers, F.lit(i)) for i in range(4)], numbers), numbers).when(whole(cast, parts), F.array(*cast))
+
+
 def parsed_box(text: Column) -> Column:
-    """JSON text of four numbers (numeric strings too) as array<double>; anything else is null. A plain
-    list of numbers is split; only other texts go through the JSON parser."""
-    plain = text.rlike(r"^\[-?[0-9]+(\.[0-9]+)?(, ?-?[0-9]+(\.[0-9]+)?){3}\]$")
-    parts = F.when(plain, F.split(F.translate(text, "[] ", ""), ",")).otherwise(F.from_json(text, "array<string>"))
-    some = F.transform(parts, lambda x: x.try_cast("double"))
-    return F.when((F.size(some) == 4) & F.forall(some, lambda x: x.isNotNull()), some)
+    """JSON text of four numbers (numeric strings too) as array<double>; anything else is null."""
+    return box_of_numbers(box_numbers(text), text)
 
 
 def centre_box(box: Column, width: Column, height: Column, label: Column) -> Column:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbgrid.functions.boxes import centre_box, parsed_box, percent_rectangle, percent_to_centre
+from kerbgrid.functions.boxes import box_numbers, box_of_numbers, centre_box, percent_rectangle, percent_to_centre
 from kerbgrid.functions.lookups import CLASSES, class_id
 from kerbgrid.scratch import ahead, running, written
 
@@ -30,9 +30,10 @@ def sample_of_region(images: DataFrame, region_id, k: int, seed: int = 0) -> Dat
 
 
 def with_parsed(detections: DataFrame) -> DataFrame:
-    """detections with their readable box as corners (null: unreadable). The generator keeps the parsing
+    """detections with their readable box as corners (null: unreadable). Generators keep the parsing
     from being copied into each expression and filter that reads it."""
-    return detections.select("*", F.explode(F.array(parsed_box(F.col("bbox")))).alias("corners"))
+    rows = detections.select("*", F.explode(F.array(box_numbers(F.col("bbox")))).alias("_numbers"))
+    return rows.select(*detections.columns, F.explode(F.array(box_of_numbers(F.col("_numbers"), F.col("bbox")))).alias("corners"))
 
 
 def centre_boxes(images: DataFrame, detections: DataFrame) -> DataFrame:
@@ -45,13 +46,14 @@ def centre_boxes(images: DataFrame, detections: DataFrame) -> DataFrame:
 def export_records(images: DataFrame, regions: DataFrame, detections: DataFrame) -> DataFrame:
     """One nested record an image: its fields, those of its region, boxes (usable ones) and predictions
     (label, class_id, confidence, bbox; detections with an unreadable box are dropped)."""
-    read = with_parsed(detections).filter("corners IS NOT NULL")
+    read = with_parsed(detections).filter("corners IS NOT NULL").join(images.select("image_id", "width", "height"), "image_id")
     pred = F.struct("detection_id", "label", class_id(F.col("label")).alias("class_id"), "confidence", F.col("corners").alias("bbox"))
-    preds = read.groupBy("image_id").agg(F.array_sort(F.collect_list(pred)).alias("predictions"))
-    boxes = centre_boxes(images, detections).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("detection_id", "class_id", "xc", "yc", "w", "h"))).alias("boxes"))
+    box = F.struct("detection_id", "class_id", "xc", "yc", "w", "h")
+    read = read.withColumn("box", F.explode(F.array(centre_box(F.col("corners"), F.col("width"), F.col("height"), F.col("label"))))).select("image_id", "detection_id", pred.alias("pred"), "box.*")
+    both = read.groupBy("image_id").agg(F.array_sort(F.collect_list("pred")).alias("predictions"), F.array_sort(F.collect_list(F.when(F.col("class_id").isNotNull(), box))).alias("boxes"))
     name = F.col("name") if "name" in regions.columns else F.lit(None).cast("string")
     region = regions.select("region_id", name.alias("region_name"), "city", "country")
-    rows = images.join(region, "region_id", "left").join(preds, "image_id", "left").join(boxes, "image_id", "left")
+    rows = images.join(region, "region_id", "left").join(both, "image_id", "left")
     none = lambda c: F.coalesce(F.col(c), F.array()).alias(c)
     return rows.select(F.lit("image").alias("type"), "image_id", "url", "width", "height", "region_id", "region_name", "city", "country", "lng", "lat", none("boxes"), none("predictions"))
 
