@@ -6,6 +6,7 @@ and 362 to 442 features a region at the scale the oracle runs at).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbgrid.functions import boxes, lookups, text
-from kerbgrid.operators import dataset, grid, inference, ingest, reports, score, shapes, spatial
+from kerbgrid.operators import buckets, dataset, grid, inference, ingest, reports, score, shapes, spatial
 from kerbgrid.plans.fixtures import Views, oracle
-from kerbgrid.plans.scratch import written
+from kerbgrid.scratch import shared_folder, written
 from kerbgrid.streaming import jobs
 
 MIN_IMAGES, MIN_FEATURES, RADIUS = 600, 400, 0.2
@@ -268,11 +269,24 @@ def unreviewed(v):
     return ingest.unreviewed_detections(v.images, v.detections).select("detection_id", "label")
 
 
-@query("""WITH old AS (SELECT * FROM {images} WHERE image_id % 3 > 0), batch AS (SELECT * FROM {images} WHERE image_id % 2 = 0)
+@query("""WITH old AS (SELECT * FROM {images} WHERE image_id % 3 > 0), batch AS (SELECT * FROM {images})
 SELECT image_id, id_from_source, status FROM old UNION ALL SELECT image_id, id_from_source, status FROM batch WHERE id_from_source NOT IN (SELECT id_from_source FROM old)""")
 def upsert_images(v):
-    batch = v.images.filter("image_id % 2 = 0")
-    return ingest.upsert_images(v.images.filter("image_id % 3 > 0"), batch.unionByName(batch)).select("image_id", "id_from_source", "status")
+    return ingest.upsert_images(v.images.filter("image_id % 3 > 0"), v.images.unionByName(v.images)).select("image_id", "id_from_source", "status")
+
+
+@query("""SELECT image_id, region_id, CASE WHEN region_id = 3 THEN 'seen' ELSE status END AS status, url FROM {images} WHERE region_id NOT IN (4, 9) AND NOT (region_id = 5 AND image_id % 2 = 0)
+UNION ALL SELECT -image_id, region_id, status, url FROM {images} WHERE region_id = 6""")
+def bucketed_mutations(v):
+    """A table in buckets after a patch, two kinds of deletes and an append, each made twice."""
+    spark, path, images = v.images.sparkSession, f"{shared_folder(v.images.sparkSession)}/images-{uuid.uuid4().hex}", v.images.select("image_id", "region_id", "status", "url")
+    buckets.create(images, path)
+    for _ in range(2):
+        buckets.patched(spark, path, images.filter("region_id = 3").select("region_id", "image_id", F.lit("seen").alias("status")), "image_id")
+        buckets.removed(spark, path, images.filter("region_id IN (4, 9)").select("region_id").distinct())
+        buckets.removed(spark, path, images.filter("region_id = 5 AND image_id % 2 = 0").select("region_id", "image_id"))
+        buckets.appended(spark, path, images.filter("region_id = 6").withColumn("image_id", -F.col("image_id")), "image_id", "url")
+    return buckets.read(spark, path).drop("bucket")
 
 
 @query("""SELECT (SELECT count(*) FROM {regions} WHERE region_id % 5 <> 0) AS regions, (SELECT count(*) FROM {images} WHERE region_id % 5 <> 0) AS images, (SELECT count(*) FROM {detections} WHERE image_id IN (SELECT image_id FROM {images} WHERE region_id % 5 <> 0)) AS detections,

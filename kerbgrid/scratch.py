@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,13 +37,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of a shared store."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes the files of tables from written() that no later step reads."""
     for table in tables:
-        spark = table.sparkSession
         for name in table.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            deleted(table.sparkSession, name.rpartition("/")[0])
 
 
 #: Terms of a batch: of its columns and the places (from 0) of its rows in their group, one int64 column a sum.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kerbgrid.functions.lookups import feature_class, feature_name
 from kerbgrid.functions.text import moment
 
-POINT_PAGE = "data array<struct<id:string,computed_geometry:struct<type:string,coordinates:array<double>>,thumb_1024_url:string,captured_at:string>>"
+POINT_PAGE = "data array<struct<id:string,computed_geometry:struct<type:string,coordinates:array<double>>,thumb_1024_url:string,captured_at:string,width:int,height:int>>"
 POSITION_PAGE = "result struct<data:array<map<string,string>>>"
 FEATURES = "features array<struct<id:string,geometry:struct<type:string,coordinates:array<double>>,properties:map<string,string>>>"
 POLYGONS = "features array<struct<id:string,geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>"
@@ -21,10 +21,6 @@ def jdbc_table(spark: SparkSession, url: str, table: str, column: str, low: int,
     return spark.read.options(**options).jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts)
 
 
-def by_key(table: DataFrame, key: str, value) -> DataFrame:
-    return table.filter(F.col(key) == value)
-
-
 def csv_fields(line: Column) -> Column:
     """Fields of one CSV line, quotes removed and doubled quotes single."""
     parts = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'("(?:[^"]|"")*"|[^,]*),'), F.lit(1))
@@ -56,16 +52,17 @@ def geometry_pages(spark: SparkSession, path: str, source: str = "mapillary") ->
     """Image pages that hold a point geometry; missing coordinates are 0, 0."""
     rows = spark.read.schema(POINT_PAGE).option("multiLine", True).json(path).select(F.explode("data").alias("x"))
     place = lambda i: F.coalesce(F.get("x.computed_geometry.coordinates", F.lit(i)), F.lit(0.0))
-    return rows.select(F.col("x.id").alias("id_from_source"), place(0).alias("lng"), place(1).alias("lat"), F.col("x.thumb_1024_url").alias("url"), moment(F.col("x.captured_at")).alias("source_captured_at"), F.lit(source).alias("source"))
+    return rows.select(F.col("x.id").alias("id_from_source"), place(0).alias("lng"), place(1).alias("lat"), F.col("x.thumb_1024_url").alias("url"), moment(F.col("x.captured_at")).alias("source_captured_at"), F.lit(source).alias("source"), F.col("x.width").alias("width"), F.col("x.height").alias("height"))
 
 
 def position_pages(spark: SparkSession, path: str, source: str = "kartaview") -> DataFrame:
-    """Image pages with plain positions. The size placeholder of URLs is filled in; the date added counts
+    """Image pages with plain positions; a position that is not given is 0, 0, one that is no number is null. The size placeholder of URLs is filled in; the date added counts
     only where there is no shot date at all (a null shot date stays null)."""
     rows = spark.read.schema(POSITION_PAGE).option("multiLine", True).json(path).select(F.explode("result.data").alias("x"))
     x = lambda k: F.try_element_at("x", F.lit(k))
+    place = lambda k: F.when(F.map_contains_key("x", F.lit(k)), x(k).try_cast("double")).otherwise(0.0).alias(k)
     day = F.when(F.map_contains_key("x", "shotDate"), x("shotDate")).otherwise(x("dateAdded"))
-    return rows.select(x("id").alias("id_from_source"), x("lng").try_cast("double").alias("lng"), x("lat").try_cast("double").alias("lat"), F.replace(x("fileurl"), F.lit("{{sizeprefix}}"), F.lit("lth")).alias("url"), moment(day).alias("source_captured_at"), F.lit(source).alias("source"))
+    return rows.select(x("id").alias("id_from_source"), place("lng"), place("lat"), F.replace(x("fileurl"), F.lit("{{sizeprefix}}"), F.lit("lth")).alias("url"), moment(day).alias("source_captured_at"), F.lit(source).alias("source"), x("width").try_cast("int").alias("width"), x("height").try_cast("int").alias("height"))
 
 
 def canonical_images(rows: DataFrame) -> DataFrame:

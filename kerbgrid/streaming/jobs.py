@@ -42,12 +42,14 @@ def running_counts(stream: DataFrame) -> DataFrame:
 def calls_in_trailing_window(calls: DataFrame, key: str, at: Column, seconds: int = 60) -> DataFrame:
     """Each call with the number of calls of its key in the seconds up to it, the bound included. Calls
     are dealt by key and span of so many seconds, each to its own and as history to the next span, so
-    that a key's calls don't meet in one task."""
+    that a key's calls don't meet in one task. A call without a time is kept, with null calls."""
     span = seconds * 1_000_000
     trailing = Window.partitionBy(key, "_span").orderBy("micros").rangeBetween(-span, 0)
     rows = calls.withColumn("micros", F.unix_micros(at)).withColumn("_own", F.floor(F.col("micros") / span))
-    rows = rows.withColumn("_span", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-    return rows.withColumn("calls", F.count("*").over(trailing)).filter("_own = _span").drop("_own", "_span")
+    rows = rows.withColumn("_span", F.explode(F.when(F.col("_own").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(F.col("_own"), F.col("_own") + 1))))
+    # Calls without a time are counted apart, and not as each other's.
+    calls = F.when(F.col("_own").isNotNull(), F.count("micros").over(trailing))
+    return rows.withColumn("calls", calls).filter("_own <=> _span").drop("_own", "_span")
 
 
 def windowed_calls(stream: DataFrame, key: str, at: str, seconds: int = 60, delay: str = "5 minutes") -> DataFrame:
