@@ -1,7 +1,9 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Words of a text become typed tokens: numbers, names (capitalised within a sentence) and units (after
-a number) become placeholders, other words are lower-cased. Windows of WINDOW tokens with at least
+Words of a text become typed tokens: numbers (in digits, 1,200 and 3.5 too, or words), names (capitalised
+within a sentence) and units (after a number) become placeholders, other words are lower-cased. A capital that
+starts a sentence may be a name or not: windows with one have two forms on both sides, and consistent
+slots decide. Windows of WINDOW tokens with at least
 LITERAL words that are no placeholders are hashed and joined with the windows of the benchmark. For
 each document and item, the share of the item's distinct windows that the document holds is its
 coverage. Slots are then compared: each value in an item's placeholders must always meet the same
@@ -41,8 +43,13 @@ START = "\x04"
 UNITS = "cent cents cm days dollars euros feet g grams hours inches kg kilograms kilometers km l lb litres liters m meters metres mg miles minutes ml mm months percent pounds seconds weeks yards years".split()
 
 
+#: Numbers in words.
+NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
+
+
 def _split(text: Column) -> Column:
-    return F.array_remove(F.split(text, rf"[^\p{{L}}\p{{M}}\p{{N}}{START}]+"), "")
+    """Words; a point or comma between digits is part of a number."""
+    return F.array_remove(F.split(text, rf"(?:[^\p{{L}}\p{{M}}\p{{N}}{START}.,]|(?<![0-9])[.,]|[.,](?![0-9]))+"), "")
 
 
 def marked(text: str) -> Column:
@@ -54,34 +61,60 @@ def _digit(w: Column) -> Column:
     return (w < ":") & (w >= "0")
 
 
-def worded(rows: DataFrame, key: str, text: str = "text", starts: bool = True) -> DataFrame:
-    """key, words and their canonical tokens, one for each word. Without starts the first word of a
-    sentence is taken as one within it."""
-    rows = rows.select(key, (marked(text) if starts else F.coalesce(F.col(text), F.lit(""))).alias("marked")).select(key, _split(F.col("marked")).alias("words"), _split(F.lower("marked")).alias("low"))
+def _number(low: Column) -> Column:
+    return _digit(low) | low.isin(NUMBERS) | low.isin([START + x for x in NUMBERS])
+
+
+def worded(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, words, their canonical tokens, one for each word, and starts: the places of capitalised words that start
+    a sentence. Such a word is literal in tokens; named() has it as one within a sentence."""
+    rows = rows.select(key, marked(text).alias("marked")).select(key, _split(F.col("marked")).alias("words"), _split(F.lower("marked")).alias("low"))
 
     def token(low: Column, i: Column) -> Column:
         w = F.get("words", i)
         return (
-            F.when(_digit(low), NUMBER)
-            .when(low.isin(UNITS) & (i > 0) & _digit(F.get("words", F.greatest(i - 1, F.lit(0)))), UNIT)
+            F.when(_number(low), NUMBER)
+            .when(low.isin(UNITS) & (i > 0) & _number(F.get("low", F.greatest(i - 1, F.lit(0)))), UNIT)
             .when(w == low, low)
             .when(low < "\x05", F.substring(low, 2, 1 << 30))
             .when(w != F.upper(w), NAME)
             .otherwise(low)
         )
 
-    return rows.select(key, "words", F.transform("low", token).alias("tokens"))
+    at = F.when(F.size("low") > 0, F.sequence(F.lit(0), F.size("low") - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(at, lambda i: (F.get("low", i) < "\x05") & (F.get("low", i) >= START) & ~_number(F.get("low", i)))
+    return rows.select(key, F.transform("words", lambda w: F.translate(w, START, "")).alias("words"), F.transform("low", token).alias("tokens"), starts.alias("starts"))
+
+
+def named() -> Column:
+    """tokens with names (or literal words, where all letters are capitals) at the starts of sentences."""
+    as_name = lambda w, t: F.when(w != F.upper(w), F.lit(NAME)).otherwise(t)
+    return F.when(F.size("starts") == 0, F.col("tokens")).otherwise(F.transform("tokens", lambda t, i: F.when(F.array_contains("starts", i), as_name(F.get("words", i), t)).otherwise(t)))
 
 
 def windows(rows: DataFrame, key: str) -> DataFrame:
-    """rows (key, words, tokens) as one row for each window: key, words, tokens, at, hash. The hashes
-    are projected before they are exploded, so that the explosion and a broadcast join behind it are
+    """rows (key, words, tokens, starts) as one row for each window, and a second one, with form 1, for each window
+    that holds the start of a sentence, where tokens are those of named(): key, words, tokens, at, form, hash.
+    The hashes are projected before they are exploded, so that the explosion and a broadcast join behind it are
     generated code, which hands the arrays on by reference and copies none for windows it drops.
     The outer form (a null hash for texts without windows, which no join keeps) spares the filter on
     the array's size that the optimizer would push down to the text, computing all of it twice."""
-    at = F.when(F.size("tokens") >= WINDOW, F.sequence(F.lit(0), F.size("tokens") - WINDOW)).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(at, lambda i: F.xxhash64(*[F.get("tokens", i + k) for k in range(WINDOW)]))
-    return rows.select(key, "words", "tokens", hashes.alias("hashes")).select(key, "words", "tokens", F.posexplode_outer("hashes").alias("at", "hash"))
+    none, last = F.array().cast("array<int>"), F.size("tokens") - WINDOW
+    at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(none)
+
+    def around(s: Column, j: Column) -> Column:
+        """The windows whose last start of a sentence is s."""
+        low, high = F.greatest(s - WINDOW + 1, F.lit(0)), F.least(s, F.coalesce(F.get("starts", j + 1) - WINDOW, s), last)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(none)
+
+    again = F.flatten(F.transform("starts", around))
+    hashes = lambda at, of: F.transform(at, lambda i: F.xxhash64(*[F.get(of, i + k) for k in range(WINDOW)]))
+    rows = rows.select(key, "words", "tokens", named().alias("names"), again.alias("again"))
+    both = F.concat(hashes(at, "tokens"), hashes(F.col("again"), "names"))
+    rows = rows.select(key, "words", "tokens", "names", "again", both.alias("hashes"), F.greatest(last + 1, F.lit(0)).alias("n_at"))
+    rows = rows.select(key, "words", "tokens", "names", "again", "n_at", F.posexplode_outer("hashes").alias("i", "hash"))
+    second = F.col("i") >= F.col("n_at")
+    return rows.select(key, "words", F.when(second, F.col("names")).otherwise(F.col("tokens")).alias("tokens"), F.when(second, F.get("again", F.col("i") - F.col("n_at"))).otherwise(F.col("i")).alias("at"), second.cast("int").alias("form"), "hash")
 
 
 def _slots(words: Column, toks: Column, at: Column) -> Column:
@@ -92,25 +125,22 @@ def _literals(toks: Column, at: Column) -> Column:
     return sum((F.when(F.get(toks, at + k) > UNIT, 1).otherwise(0) for k in range(WINDOW)), F.lit(0))
 
 
-def benchmark_words(benchmark: DataFrame, starts: bool = True) -> DataFrame:
-    """item_id, words and tokens of each distinct text."""
+def benchmark_words(benchmark: DataFrame) -> DataFrame:
+    """item_id, words, tokens and starts of each distinct text."""
     rows = only(benchmark, item_id="long", text="string").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    return worded(rows, "item_id", starts=starts)
+    return worded(rows, "item_id")
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """hash, item_id, n (the item's distinct windows), at, window (its hash as the item has it), length (of
-    the item), item_slots. Windows with the start of a sentence have a second row with the hash that they
-    have within one, as after a colon."""
-
-    def cut(starts: bool) -> DataFrame:
-        out = windows(benchmark_words(benchmark, starts), "item_id")
-        return out.filter(_literals(F.col("tokens"), F.col("at")) >= LITERAL).select("item_id", "at", "hash", F.size("tokens").alias("length"), _slots(F.col("words"), F.col("tokens"), F.col("at")).alias("item_slots"))
-
-    out = cut(True).withColumn("window", F.col("hash"))
-    within = cut(False).join(out.select("item_id", "at", "window"), ["item_id", "at"]).filter("hash != window")
-    sizes = out.groupBy("item_id").agg(F.countDistinct("window").alias("n"))
-    return out.unionByName(within).join(sizes, "item_id")
+    """hash, item_id, n (the item's distinct windows), at, window (its hash with literal starts of sentences), length (of
+    the item), item_slots: a row for each form of a window. Windows with too few literal words in one of
+    their forms are left out."""
+    forms = windows(benchmark_words(benchmark), "item_id")
+    literals = _literals(F.col("tokens"), F.col("at"))
+    rows = forms.select("item_id", "at", "form", "hash", F.size("tokens").alias("length"), _slots(F.col("words"), F.col("tokens"), F.col("at")).alias("item_slots"), literals.alias("literals")).filter("hash IS NOT NULL")
+    whole = rows.groupBy("item_id", "at").agg(F.min("literals").alias("least"), F.max(F.when(F.col("form") == 0, F.col("hash"))).alias("window")).filter(F.col("least") >= LITERAL).drop("least")
+    out = rows.drop("form", "literals").join(whole, ["item_id", "at"]).distinct()
+    return out.join(whole.groupBy("item_id").agg(F.countDistinct("window").alias("n")), "item_id")
 
 
 def document(docs: DataFrame) -> Column:
@@ -121,7 +151,7 @@ def document(docs: DataFrame) -> Column:
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """For each document() and item that share a window: coverage, with consistent slots, and
     whether slot values differ."""
-    index, key = benchmark_windows(benchmark), "document"
+    index, key = written(benchmark_windows(benchmark), "index"), "document"
     rows = worded(docs.select(document(docs).alias(key), docs["text"].cast("string").alias("text")), key)
     found = windows(rows, key).withColumnRenamed("at", "at_doc")
     slots = _slots(F.col("words"), F.col("tokens"), F.col("at_doc"))
@@ -146,18 +176,18 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     by_scope = found.drop("mapping").unionByName(same).groupBy(*scope).agg(F.countDistinct("hash").alias("held"), F.max("n").alias("n"), F.max(F.exists("pairs", lambda p: p["item"] != p["doc"])).alias("differs"))
     best = by_scope.groupBy(key, "item_id").agg(F.max(F.struct((F.col("held") / F.col("n")).alias("coverage"), (~F.col("differs")).alias("same"))).alias("best"))
     out = best.select(key, "item_id", "best.coverage", (~F.col("best.same")).alias("reparameterised"))
-    whole = whole_matches(rows, benchmark, key)
+    whole = whole_matches(rows, benchmark, index, key)
     return out if whole is None else out.unionByName(whole)
 
 
 def _folded() -> Column:
-    return F.transform("words", lambda w: F.translate(F.lower(w), START, ""))
+    return F.transform("words", lambda w: F.lower(w))
 
 
-def whole_items(benchmark: DataFrame) -> DataFrame:
+def whole_items(benchmark: DataFrame, index: DataFrame) -> DataFrame:
     """The items without a window: item_id, item_words, typed, sequence (typed tokens, or words in lower
     case), at, width and hash of the part by which it is looked up (the one richest in literals)."""
-    usable = benchmark_windows(benchmark).select("item_id").distinct()
+    usable = index.select("item_id").distinct()
     size = F.size("tokens")
     width = F.least(size, F.lit(WINDOW))
     at = -F.array_max(F.transform(F.sequence(F.lit(0), size - width), lambda i: F.named_struct(F.lit("literals"), _literals(F.col("tokens"), i), F.lit("at"), -i)))["at"]
@@ -168,9 +198,9 @@ def whole_items(benchmark: DataFrame) -> DataFrame:
     return rows.withColumn("hash", F.xxhash64("typed", F.slice("sequence", F.col("at") + 1, F.col("width"))))
 
 
-def whole_matches(rows: DataFrame, benchmark: DataFrame, key: str) -> DataFrame | None:
+def whole_matches(rows: DataFrame, benchmark: DataFrame, index: DataFrame, key: str) -> DataFrame | None:
     """As matches(), for the items without a window; None where there are none."""
-    items = written(whole_items(benchmark), "whole")
+    items = written(whole_items(benchmark, index), "whole")
     forms = [(r["typed"], r["width"]) for r in items.select("typed", "width").distinct().collect()]
     if not forms:
         return None

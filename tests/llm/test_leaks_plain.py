@@ -15,14 +15,15 @@ VALUES = {"a": ["Ann", "Tom", "Zoe"], "b": ["Bob", "Eve", "Kim"], "p": ["Rome",
 
 
 def words_of(text, starts=True):
-    text = regex.sub(r"(^|[.!?\n])(\s*)(?=\p{Lu})", "\\1\\2\x04", text or "") if starts else text or ""
-    words = [w for w in regex.split(r"[^\p{L}\p{M}\p{N}\x04]+", text) if w]
-    digit, tokens = [w[0].isdigit() for w in words], []
-    for i, w in enumerate(words):
-        low = w.lower()
-        kind = "#" if digit[i] else "$" if low in d.UNITS and i and digit[i - 1] else low if w == low else low[1:] if w[0] == "\x04" else "@" if w != w.upper() else low
-        tokens.append(kind)
-    return words, tokens
+    text = regex.sub(r"(^|[.!?\n])(\s*)(?=\p{Lu})", "\\1\\2\x04", text or "")
+    words = [w for w in regex.split(r"(?:[^\p{L}\p{M}\p{N}\x04.,]|(?<![0-9])[.,]|[.,](?![0-9]))+", text) if w]
+    plain_word = [w.replace("\x04", "") for w in words]
+    number, tokens = [w[0].isdigit() or w.lower() in d.NUMBERS for w in plain_word], []
+    for i, (w, p) in enumerate(zip(words, plain_word)):
+        low = p.lower()
+        name = w != low and p != p.upper() and not (w[0] == "\x04" and starts)
+        tokens.append("#" if number[i] else "$" if low in d.UNITS and w == p and i and number[i - 1] else "@" if name and p != low else low)
+    return plain_word, tokens
 
 
 def literals(tokens):
@@ -33,12 +34,13 @@ def cut(words, tokens):
     return [(i, tuple(tokens[i : i + 5]), [w for w, t in zip(words[i : i + 5], tokens[i : i + 5]) if t in ("#", "$", "@")]) for i in range(len(tokens) - 4)]
 
 
-def held_windows(words, tokens, item):
+def held_windows(documents, item):
     """(coverage, same) of the item's windows in the document's."""
-    own = [w for w in cut(*words_of(item)) if literals(w[1]) >= 3]
-    name, size = dict((i, w) for i, w, _ in own), len(words_of(item)[1])
-    index = {(i, w, tuple(s), w) for i, w, s in own} | {(i, w, tuple(s), name[i]) for i, w, s in cut(*words_of(item, False)) if literals(w) >= 3 and i in name}
-    rows = [(i - j, window, list(zip(s, t))) for i, w, t in cut(words, tokens) for j, x, s, window in index if w == x]
+    forms = [cut(*words_of(item, starts)) for starts in (True, False)]
+    name, size = {one[0]: one[1] for one, two in zip(*forms) if literals(two[1]) >= 3}, len(words_of(item)[1])
+    index = {(i, w, tuple(s), name[i]) for form in forms for i, w, s in form if i in name}
+    theirs = {(i, w, tuple(t)) for form in documents for i, w, t in cut(*form)}
+    rows = [(i - j, window, list(zip(s, t))) for i, w, t in theirs for j, x, s, window in index if w == x]
     scopes = {}
     for shift, window, pairs in rows:
         for scope in ((0,), (1, shift), (2, shift // size), (3, (shift + size // 2) // size)):
@@ -75,8 +77,8 @@ def plain(text, items):
     out = {}
     for k, item in items.items():
         theirs, typed = words_of(item)
-        if any(literals(w[1]) >= 3 for w in cut(theirs, typed)):
-            coverage, same = held_windows(words, tokens, item)
+        if any(literals(w[1]) >= 3 for w in cut(*words_of(item, False))):
+            coverage, same = held_windows([words_of(text, True), words_of(text, False)], item)
         elif typed:
             whole = held_whole(words, tokens, item)
             coverage, same = (0.0, False) if whole is None else (1.0, whole)
