@@ -62,12 +62,12 @@ def _digit(w: Column) -> Column:
 
 
 def _number(low: Column) -> Column:
-    return _digit(low) | low.isin(NUMBERS) | low.isin([START + x for x in NUMBERS])
+    return _digit(low) | low.isin([*NUMBERS, *[START + x for x in NUMBERS]])
 
 
 def worded(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, words, their canonical tokens, one for each word, and starts: the places of capitalised words that start
-    a sentence. Such a word is literal in tokens; named() has it as one within a sentence."""
+    """key, words, low (in lower case) and their canonical tokens, one for each word. A capitalised word that starts a
+    sentence has START before it, and is literal in tokens; see _token."""
     rows = rows.select(key, marked(text).alias("marked")).select(key, _split(F.col("marked")).alias("words"), _split(F.lower("marked")).alias("low"))
 
     def token(low: Column, i: Column) -> Column:
@@ -81,52 +81,56 @@ def worded(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
             .otherwise(low)
         )
 
-    at = F.when(F.size("low") > 0, F.sequence(F.lit(0), F.size("low") - 1)).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(at, lambda i: (F.get("low", i) < "\x05") & (F.get("low", i) >= START) & ~_number(F.get("low", i)))
-    return rows.select(key, F.transform("words", lambda w: F.translate(w, START, "")).alias("words"), F.transform("low", token).alias("tokens"), starts.alias("starts"))
+    return rows.select(key, "words", "low", F.transform("low", token).alias("tokens"))
 
 
-def named() -> Column:
-    """tokens with names (or literal words, where all letters are capitals) at the starts of sentences."""
-    as_name = lambda w, t: F.when(w != F.upper(w), F.lit(NAME)).otherwise(t)
-    return F.when(F.size("starts") == 0, F.col("tokens")).otherwise(F.transform("tokens", lambda t, i: F.when(F.array_contains("starts", i), as_name(F.get("words", i), t)).otherwise(t)))
+def _token(i: Column, named: bool) -> Column:
+    """The canonical token at i; named: with a name (or a literal word, where all letters are capitals) where a
+    capitalised word starts a sentence."""
+    low, t, w = F.get("low", i), F.get("tokens", i), F.get("words", i)
+    return F.when((low < "\x05") & (low >= START) & (t > UNIT) & (w != F.upper(w)), F.lit(NAME)).otherwise(t) if named else t
 
 
 def windows(rows: DataFrame, key: str) -> DataFrame:
-    """rows (key, words, tokens, starts) as one row for each window, and a second one, with form 1, for each window
-    that holds the start of a sentence, where tokens are those of named(): key, words, tokens, at, form, hash.
+    """rows (key, words, low, tokens) as one row for each window, and a second one, with form 1, for each window
+    that holds the start of a sentence, where that is named: key, words, low, tokens, at, form, hash.
     The hashes are projected before they are exploded, so that the explosion and a broadcast join behind it are
     generated code, which hands the arrays on by reference and copies none for windows it drops.
     The outer form (a null hash for texts without windows, which no join keeps) spares the filter on
     the array's size that the optimizer would push down to the text, computing all of it twice."""
     none, last = F.array().cast("array<int>"), F.size("tokens") - WINDOW
     at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(none)
+    every = F.when(last >= 0, F.sequence(F.lit(0), F.size("tokens") - 1)).otherwise(none)
+    starts = F.filter(every, lambda i: (F.get("low", i) < "\x05") & (F.get("low", i) >= START))
 
     def around(s: Column, j: Column) -> Column:
         """The windows whose last start of a sentence is s."""
         low, high = F.greatest(s - WINDOW + 1, F.lit(0)), F.least(s, F.coalesce(F.get("starts", j + 1) - WINDOW, s), last)
         return F.when(low <= high, F.sequence(low, high)).otherwise(none)
 
-    again = F.flatten(F.transform("starts", around))
-    hashes = lambda at, of: F.transform(at, lambda i: F.xxhash64(*[F.get(of, i + k) for k in range(WINDOW)]))
-    rows = rows.select(key, "words", "tokens", named().alias("names"), again.alias("again"))
-    both = F.concat(hashes(at, "tokens"), hashes(F.col("again"), "names"))
-    rows = rows.select(key, "words", "tokens", "names", "again", both.alias("hashes"), F.greatest(last + 1, F.lit(0)).alias("n_at"))
-    rows = rows.select(key, "words", "tokens", "names", "again", "n_at", F.posexplode_outer("hashes").alias("i", "hash"))
+    hashes = lambda at, named: F.transform(at, lambda i: F.xxhash64(*[_token(i + k, named) for k in range(WINDOW)]))
+    rows = rows.select(key, "words", "low", "tokens", starts.alias("starts"))
+    rows = rows.select(key, "words", "low", "tokens", F.flatten(F.transform("starts", around)).alias("again"))
+    rows = rows.select(key, "words", "low", "tokens", "again", F.concat(hashes(at, False), hashes(F.col("again"), True)).alias("hashes"), F.greatest(last + 1, F.lit(0)).alias("n_at"))
+    rows = rows.select(key, "words", "low", "tokens", "again", "n_at", F.posexplode_outer("hashes").alias("i", "hash"))
     second = F.col("i") >= F.col("n_at")
-    return rows.select(key, "words", F.when(second, F.col("names")).otherwise(F.col("tokens")).alias("tokens"), F.when(second, F.get("again", F.col("i") - F.col("n_at"))).otherwise(F.col("i")).alias("at"), second.cast("int").alias("form"), "hash")
+    return rows.select(key, "words", "low", "tokens", F.when(second, F.get("again", F.col("i") - F.col("n_at"))).otherwise(F.col("i")).alias("at"), second.cast("int").alias("form"), "hash")
 
 
-def _slots(words: Column, toks: Column, at: Column) -> Column:
-    return F.concat(*[F.when(F.get(toks, at + k) <= UNIT, F.array(F.get(words, at + k))).otherwise(F.array().cast("array<string>")) for k in range(WINDOW)])
+def _slots() -> Column:
+    """The words in the placeholders of a row of windows(), in its form."""
+    word = lambda i: F.translate(F.get("words", i), START, "")
+    typed = lambda i: F.when(F.col("form") == 1, _token(i, True)).otherwise(_token(i, False)) <= UNIT
+    return F.concat(*[F.when(typed(F.col("at") + k), F.array(word(F.col("at") + k))).otherwise(F.array().cast("array<string>")) for k in range(WINDOW)])
 
 
-def _literals(toks: Column, at: Column) -> Column:
-    return sum((F.when(F.get(toks, at + k) > UNIT, 1).otherwise(0) for k in range(WINDOW)), F.lit(0))
+def _literals(at: Column, form: Column) -> Column:
+    one = lambda i: F.when(F.when(form == 1, _token(i, True)).otherwise(_token(i, False)) > UNIT, 1).otherwise(0)
+    return sum((one(at + k) for k in range(WINDOW)), F.lit(0))
 
 
 def benchmark_words(benchmark: DataFrame) -> DataFrame:
-    """item_id, words, tokens and starts of each distinct text."""
+    """item_id, words, low and tokens of each distinct text."""
     rows = only(benchmark, item_id="long", text="string").groupBy("text").agg(F.min("item_id").alias("item_id"))
     return worded(rows, "item_id")
 
@@ -136,8 +140,8 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     the item), item_slots: a row for each form of a window. Windows with too few literal words in one of
     their forms are left out."""
     forms = windows(benchmark_words(benchmark), "item_id")
-    literals = _literals(F.col("tokens"), F.col("at"))
-    rows = forms.select("item_id", "at", "form", "hash", F.size("tokens").alias("length"), _slots(F.col("words"), F.col("tokens"), F.col("at")).alias("item_slots"), literals.alias("literals")).filter("hash IS NOT NULL")
+    literals = _literals(F.col("at"), F.col("form"))
+    rows = forms.select("item_id", "at", "form", "hash", F.size("tokens").alias("length"), _slots().alias("item_slots"), literals.alias("literals")).filter("hash IS NOT NULL")
     whole = rows.groupBy("item_id", "at").agg(F.min("literals").alias("least"), F.max(F.when(F.col("form") == 0, F.col("hash"))).alias("window")).filter(F.col("least") >= LITERAL).drop("least")
     out = rows.drop("form", "literals").join(whole, ["item_id", "at"]).distinct()
     return out.join(whole.groupBy("item_id").agg(F.countDistinct("window").alias("n")), "item_id")
@@ -153,14 +157,14 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     whether slot values differ."""
     index, key = written(benchmark_windows(benchmark), "index"), "document"
     rows = worded(docs.select(document(docs).alias(key), docs["text"].cast("string").alias("text")), key)
-    found = windows(rows, key).withColumnRenamed("at", "at_doc")
-    slots = _slots(F.col("words"), F.col("tokens"), F.col("at_doc"))
+    found, theirs = windows(rows, key), index.withColumnRenamed("at", "at_item")
+    slots = _slots()
     if index.count() <= BROADCAST_ROWS:
-        found = found.join(F.broadcast(index), "hash")
+        found = found.join(F.broadcast(theirs), "hash")
     else:
-        found, slots = found.select(key, "at_doc", "hash", slots.alias("doc_slots")).join(index, "hash"), F.col("doc_slots")
+        found, slots = found.select(key, "at", "hash", slots.alias("doc_slots")).join(theirs, "hash"), F.col("doc_slots")
     pairs = F.arrays_zip(F.col("item_slots").alias("item"), slots.alias("doc"))
-    shift = F.col("at_doc") - F.col("at")
+    shift = F.col("at") - F.col("at_item")
     found = written(found.select(key, "item_id", F.col("window").alias("hash"), "n", "length", shift.alias("shift"), pairs.alias("pairs")), "leaks")
     half = F.floor(F.col("length") / 2)
     places = [(0, F.lit(0)), (1, F.col("shift")), (2, F.floor(F.col("shift") / F.col("length"))), (3, F.floor((F.col("shift") + half) / F.col("length")))]
@@ -180,8 +184,12 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out if whole is None else out.unionByName(whole)
 
 
+def _plain(words: str) -> Column:
+    return F.transform(words, lambda w: F.translate(w, START, ""))
+
+
 def _folded() -> Column:
-    return F.transform("words", lambda w: F.lower(w))
+    return F.transform("low", lambda w: F.translate(w, START, ""))
 
 
 def whole_items(benchmark: DataFrame, index: DataFrame) -> DataFrame:
@@ -190,11 +198,11 @@ def whole_items(benchmark: DataFrame, index: DataFrame) -> DataFrame:
     usable = index.select("item_id").distinct()
     size = F.size("tokens")
     width = F.least(size, F.lit(WINDOW))
-    at = -F.array_max(F.transform(F.sequence(F.lit(0), size - width), lambda i: F.named_struct(F.lit("literals"), _literals(F.col("tokens"), i), F.lit("at"), -i)))["at"]
+    at = -F.array_max(F.transform(F.sequence(F.lit(0), size - width), lambda i: F.named_struct(F.lit("literals"), _literals(i, F.lit(0)), F.lit("at"), -i)))["at"]
     forms = F.when(F.size(F.filter("tokens", lambda t: t > UNIT)) >= LITERAL, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     rows = benchmark_words(benchmark).filter((size > 0) & F.col("item_id").isNotNull()).join(usable, "item_id", "left_anti")
-    rows = rows.select("item_id", "words", "tokens", at.alias("at"), width.alias("width"), F.explode(forms).alias("typed"))
-    rows = rows.select("item_id", F.col("words").alias("item_words"), "typed", F.when(F.col("typed"), F.col("tokens")).otherwise(_folded()).alias("sequence"), "at", "width")
+    rows = rows.select("item_id", "words", "low", "tokens", at.alias("at"), width.alias("width"), F.explode(forms).alias("typed"))
+    rows = rows.select("item_id", _plain("words").alias("item_words"), "typed", F.when(F.col("typed"), F.col("tokens")).otherwise(_folded()).alias("sequence"), "at", "width")
     return rows.withColumn("hash", F.xxhash64("typed", F.slice("sequence", F.col("at") + 1, F.col("width"))))
 
 
@@ -204,7 +212,7 @@ def whole_matches(rows: DataFrame, benchmark: DataFrame, index: DataFrame, key:
     forms = [(r["typed"], r["width"]) for r in items.select("typed", "width").distinct().collect()]
     if not forms:
         return None
-    rows = rows.withColumn("low", _folded())
+    rows = rows.withColumn("low", _folded()).withColumn("words", _plain("words"))
 
     def places(typed: bool, width: int) -> Column:
         size, of = F.size("tokens"), "tokens" if typed else "low"
