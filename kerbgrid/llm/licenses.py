@@ -2,14 +2,16 @@
 
 Words are lower-cased runs of ASCII digits and letters and of all other non-ASCII characters. Base
 labels are places of three phrases. The method's labels come from licence templates (names, notices and
-passages of whole texts): all places of the INDEXED highest-IDF words of a template's key phrases are in
-one index (common words only where a template has no two others). Of each file, its own FILE_WORDS licence words with the highest inverse document frequency
-(counted over all rows) are looked up; a template is a candidate where two of their places agree on one
+passages of whole texts). The index holds, of each template, the places of the two highest-IDF words of
+the key phrase whose second-rarest word is the rarest (IDF counted over all rows). All words of a file that
+stand in the index are looked up; a template is a candidate where both of its words agree on one
 position relative to it (postings sorted by template and offset), and holds where the file has all of
-its mandatory key phrases. Null and empty texts have no words, score 0 and empty label strings.
+its mandatory key phrases. Wherever a key phrase stands both of its words do, so no template is lost, however
+many stand in one file. Null and empty texts have no words, score 0 and empty label strings.
 Repeated phrases count at each place; other columns of the input are not read.
 
-The score is the largest share of a verified template's words that stand in place, 0.5 at least
+The score is the largest share of a verified template's words that stand in place, taken where its
+indexed key phrase may stand, 0.5 at least
 where a base phrase stands, else 0. Nothing is shuffled but the word counts of the templates'
 vocabulary, whose size is fixed by the templates.
 """
@@ -23,10 +25,6 @@ from pyspark.sql import functions as F
 
 from kerbgrid.llm.common import only
 
-#: Words of a template in the index, and words of a file that are looked up, by IDF.
-INDEXED, FILE_WORDS = 6, 16
-#: Beyond a template's two rarest words only those are indexed that stand in fewer than one of so many files.
-COMMON = 16
 #: Base phrases by label.
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 #: Fixed values: (label, template, mandatory key phrases within the template).
@@ -76,6 +74,47 @@ TEMPLATES = (
         "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
         ("source code form is subject to the terms of the mozilla public license", "if a copy of the mpl was not distributed with this file"),
     ),
+    (
+        "agpl-header",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at "
+        "your option any later version",
+        ("modify it under the terms of the gnu affero general public license", "as published by the free software foundation"),
+    ),
+    (
+        "lgpl-header",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at "
+        "your option any later version",
+        ("modify it under the terms of the gnu lesser general public license", "as published by the free software foundation"),
+    ),
+    (
+        "bsd-disclaimer",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular "
+        "purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages",
+        ("any express or implied warranties", "are disclaimed", "special exemplary or consequential damages"),
+    ),
+    (
+        "isc-full",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the "
+        "software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        ("for any purpose with or without fee is hereby granted", "this permission notice appear in all copies", "the author disclaims all warranties with regard to this software"),
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this "
+        "software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented you must not claim "
+        "that you wrote the original software altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
+        ("will the authors be held liable for any damages", "the origin of this software must not be misrepresented", "altered source versions must be plainly marked as such"),
+    ),
+    (
+        "unlicense-full",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any "
+        "purpose commercial or non commercial and by any means",
+        ("unencumbered software released into the public domain", "either in source code form or as a compiled binary", "commercial or non commercial and by any means"),
+    ),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", ("boost software license version 1 0",)),
+    ("cc0-1.0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", ("dedicated the work to the public domain by waiving all",)),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("under the terms of the eclipse public license 2 0",)),
+    ("eupl-1.2", "licensed under the eupl version 1 2 or as soon they will be approved by the european commission subsequent versions of the eupl", ("licensed under the eupl", "subsequent versions of the eupl")),
 )
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -102,16 +141,17 @@ def frequencies(worded: DataFrame) -> dict[str, float]:
 
 
 def rare_index(idf: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
-    """word -> (template, position), words by falling IDF: the INDEXED highest of each template's key
-    phrases, without common words but for the two highest."""
+    """word -> (template, position), words by falling IDF: of each template, the two rarest words of the key
+    phrase whose second-rarest word is the rarest, at each of their places in this phrase."""
     out: dict[str, list[tuple[int, int]]] = {}
     for k, (_, template, keys) in enumerate(TEMPLATES):
-        words = template.split()
-        rare = sorted({w for key in keys for w in key.split()}, key=lambda w: (-idf[w], words.index(w)))[:INDEXED]
-        rare = rare[:2] + [w for w in rare[2:] if idf[w] > math.log(COMMON)]
-        for at, w in enumerate(words):
-            if w in rare:
-                out.setdefault(w, []).append((k, at))
+        phrases = [key.split() for key in keys]
+        pairs = [sorted(set(p), key=lambda w: (-idf[w], p.index(w)))[:2] for p in phrases]  # noqa: B023
+        n = max(range(len(phrases)), key=lambda i: (idf[pairs[i][1]], -i))
+        start = len(f" {template} "[: f" {template} ".index(f" {keys[n]} ")].split())
+        for i, w in enumerate(phrases[n]):
+            if w in pairs[n]:
+                out.setdefault(w, []).append((k, start + i))
     return dict(sorted(out.items(), key=lambda x: (-idf[x[0]], x[0])))
 
 
@@ -146,7 +186,7 @@ def _postings(index: dict[str, list[tuple[int, int]]]) -> Column:
 # The steps below are columns of their own, each read twice at least by the next, so that Spark works
 # them out once a file and not once an element.
 def postings_of(words: Column, top: Column, index: dict[str, list[tuple[int, int]]]) -> Column:
-    """array<struct<t,o>> sorted: template and offset of each place of a file's rarest licence words (top)."""
+    """array<struct<t,o>> sorted: template and offset of each place of a file's indexed words (top)."""
     hits = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(top, w), F.struct(w.alias("w"), i.alias("i")))), lambda h: h.isNotNull())
     return F.array_sort(F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(_postings(index), h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["at"]).alias("o"))))))
 
@@ -190,7 +230,7 @@ def license_report(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<t:int,o:int>>")
     rows = worded.withColumn("license_at", F.when(F.array_contains("words", "license"), _places(F.col("words"), "license")).otherwise(F.array().cast("array<int>")))
     rows = rows.withColumn("base", F.when(F.size("license_at") > 0, base_places(F.col("words"))).otherwise(F.array().cast("array<struct<start:bigint,label:string>>")))
-    rows = rows.withColumn("top", F.slice(F.array_intersect(_array(index), F.col("words")), 1, FILE_WORDS))
+    rows = rows.withColumn("top", F.array_intersect(_array(index), F.col("words")))
     rows = rows.withColumn("posts", F.when(F.size("top") > 1, postings_of(F.col("words"), F.col("top"), index)).otherwise(none))
     rows = rows.withColumn("agreed", F.when(F.size("posts") > 1, agreed_offsets(F.col("posts"))).otherwise(none))
     rows = rows.withColumn("flat", F.when(F.size("agreed") > 0, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))))

@@ -31,3 +31,21 @@ def test_templates(spark):
         assert got == labels, (texts[k], got, labels)
         assert rows[k]["score"] <= 1 and (rows[k]["score"] > 0) == bool(labels or rows[k]["n_base"])
     assert rows[0]["score"] == 1.0
+
+
+def test_many_licences_in_one_file(spark):
+    """Each pair of templates, all of them (in three orders), and all of them five times over, with other files that
+    make the index's words common, equal a plain search for key phrases."""
+    rng = random.Random(8)
+    names = [t for _, t, _ in licenses.TEMPLATES]
+    texts = [f"{a}\n\n{b}" for i, a in enumerate(names) for b in names[i + 1 :]]
+    texts += ["\n".join(names), "\n".join(reversed(names)), " ".join(rng.sample(names, len(names))), "\n".join(names * 5)]
+    common = sorted({w for t in names for w in t.split()})
+    texts += [" ".join(rng.choices(common, k=200)) for _ in range(100)]
+    rows = {r["doc_id"]: r["labels"] for r in licenses.license_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    base = set(licenses.PHRASES)
+    for k, text in enumerate(texts):
+        flat = f" {' '.join(WORD.findall(text))} "
+        want = {x for x, _, keys in licenses.TEMPLATES if all(f" {p} " in flat for p in keys)}
+        assert set(rows[k].split(",")) - {""} - base == want - base, text
+    assert len(licenses.TEMPLATES) > 25
