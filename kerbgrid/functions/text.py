@@ -11,10 +11,11 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 
-@pandas_udf(StringType())
-def casefolded(text: pd.Series) -> pd.Series:
-    """Full Unicode case folding of trimmed text."""
-    return text.map(lambda x: None if x is None else x.strip().casefold())
+def caseless(text: Column) -> Column:
+    """Trimmed text that filters, joins, groups and sorts compare without regard to case, by Unicode's collation: STRASSE
+    equals Straße (capitals spell out ß and ligatures), and composed letters equal decomposed ones; accents count, so
+    İ differs from i, while the dotless ı equals it. Null is the empty text."""
+    return F.collate(F.upper(F.lower(F.trim(F.coalesce(text, F.lit(""))))), "UNICODE_CI")
 
 
 @pandas_udf(StringType())
@@ -23,7 +24,7 @@ def nfc(text: pd.Series) -> pd.Series:
 
 
 def norm(text: Column) -> Column:
-    """Trimmed lower case, all in the JVM; equals casefolded for ASCII text."""
+    """Trimmed lower case, all in the JVM; compares as caseless does for ASCII text."""
     return F.lower(F.trim(F.coalesce(text, F.lit(""))))
 
 

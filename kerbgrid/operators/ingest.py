@@ -127,14 +127,15 @@ def unreviewed_detections(images: DataFrame, detections: DataFrame, region_id=No
 
 
 def regions_by_city(regions: DataFrame, city: str | None = None, country: str | None = None) -> DataFrame:
-    """Regions by city, country or both, trimmed and in any case; none where neither is given."""
-    from kerbgrid.functions.text import norm
+    """Regions by city, country or both, trimmed and in any case, ordered by country, city and id; none where neither
+    is given."""
+    from kerbgrid.functions.text import caseless
 
     rows = regions if city or country else regions.limit(0)
     for column, value in (("city", city), ("country", country)):
         if value:
-            rows = rows.filter(norm(F.col(column)) == norm(F.lit(value)))
-    return rows
+            rows = rows.filter(caseless(F.col(column)) == caseless(F.lit(value)))
+    return rows.orderBy(caseless(F.col("country")), caseless(F.col("city")), "region_id")
 
 
 def resolved_regions(spark, regions: DataFrame, tokens: list[str], cities: list[str]) -> DataFrame:

@@ -1,7 +1,9 @@
 """Landed inputs, sinks and streams."""
 
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from kerbgrid.operators import dataset
@@ -98,3 +100,93 @@ def test_running_counts_and_audit(spark, tmp_path):
     calls = spark.createDataFrame([("k", "2020-01-01 00:00:00"), ("k", "2020-01-01 00:01:00"), ("k", "2020-01-01 00:01:01")], "k string, t string")
     got = jobs.calls_in_trailing_window(calls, "k", F.col("t").cast("timestamp")).orderBy("t").collect()
     assert [r["calls"] for r in got] == [1, 2, 2]  # exactly 60 seconds old still counts
+
+
+def test_audit_of_a_stream_equals_the_batch(spark, tmp_path):
+    """Calls in shuffled order, over several batches and a restart in between, with ties and calls a whole span old."""
+    rng = random.Random(5)
+    start = 1_577_836_800_000_000
+    calls = [(rng.choice("ab"), start + rng.choice([rng.randrange(600_000_000), 10_000_000 * rng.randrange(60)])) for _ in range(400)]
+    calls += calls[:5] + [("a", None)]
+    want = jobs.calls_in_trailing_window(spark.createDataFrame(calls, "k string, m long").filter("m is not null"), "k", F.timestamp_micros("m")).select("k", "micros", "calls")
+    rng.shuffle(calls)
+    end = [("end", start + 3_600_000_000)]  # moves the watermark past all others
+
+    def landed(rows, name):
+        spark.createDataFrame(rows, "k string, m long").select("k", F.timestamp_micros("m").alias("at")).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    def drain():
+        stream = spark.readStream.schema("k string, at timestamp").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        out = jobs.audited_calls(stream, "k", "at", delay=3000).writeStream.outputMode("append").format("parquet")
+        out.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+
+    landed(calls[:130], "1")
+    landed(calls[130:250], "2")
+    drain()
+    landed(calls[250:], "3")
+    landed(end, "4")
+    drain()
+    got = spark.read.schema("k string, micros long, calls long").parquet(str(tmp_path / "out")).filter("k <> 'end'")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 405
+
+
+def test_worklist_with_status(spark, tmp_path):
+    """A batch that fails between its results and its statuses is repeated whole; nothing stands twice."""
+    rows = spark.createDataFrame([(str(k), "unreviewed") for k in range(6)] + [("9", "reviewed")], "image_id string, status string")
+    target, log, landing = (str(tmp_path / x) for x in ("target", "log", "in"))
+    (tmp_path / "target").mkdir()
+    (tmp_path / "log").mkdir()
+
+    def drain(work):
+        stream = spark.readStream.schema("image_id string, status string").parquet(landing)
+        jobs.drained_worklist(stream, work, target, log, str(tmp_path / "check")).awaitTermination()
+
+    def left():
+        return sorted(r["image_id"] for r in jobs.remaining(rows, jobs.batches(spark, log, jobs.STATUS)).collect())
+
+    score = lambda batch: batch.filter("image_id <> '2'").select("image_id", F.lit(0.5).alias("score"))
+    rows.filter("image_id < '3'").write.parquet(landing)
+    assert left() == list("012345")
+
+    def torn(batch):
+        score(batch).write.mode("overwrite").parquet(f"{target}/batch-{0:012d}")
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        drain(torn)
+    assert left() == list("012345")  # results without statuses are still to be done
+    drain(score)
+    assert left() == list("345")  # the image without results is done too
+    rows.filter("image_id between '3' and '4'").write.mode("append").parquet(landing)
+    drain(score)
+    drain(score)
+    assert left() == ["5"]
+    assert sorted(r["image_id"] for r in jobs.batches(spark, target, "image_id string, score double").collect()) == list("0134")
+    assert {r["image_id"]: r["status"] for r in jobs.folded(rows, jobs.batches(spark, log, jobs.STATUS)).collect()} == {str(k): "unreviewed" if k == 5 else "reviewed" for k in (0, 1, 2, 3, 4, 5, 9)}
+
+
+def test_image_sizes_equal_the_decoder(spark, tmp_path):
+    """Real files of four kinds against Spark's decoding reader; WebP, long JPEG headers and broken files by hand."""
+    jvm, folder = spark._jvm, tmp_path / "images"
+    folder.mkdir()
+    for n, (kind, w, h) in enumerate([("png", 3, 500), ("jpg", 640, 33), ("jpg", 1, 1), ("gif", 300, 7), ("bmp", 17, 259), ("png", 1, 1)]):
+        picture = jvm.java.awt.image.BufferedImage(w, h, 1)
+        assert jvm.javax.imageio.ImageIO.write(picture, kind, jvm.java.io.File(str(folder / f"{n}.{kind}")))
+    decoded = spark.read.format("image").load(str(folder)).select("image.origin", "image.width", "image.height")
+    name = lambda rows: {r[0].rpartition("/")[2]: (r[1], r[2]) for r in rows.collect()}
+    want = name(decoded)
+    assert len(want) == 6 and want["1.jpg"] == (640, 33) and name(readers.image_sizes(spark, str(folder))) == want
+    jpeg = (folder / "1.jpg").read_bytes()
+    extra = {
+        "long.jpg": (jpeg[:2] + (b"\xff\xe1\xff\xff" + bytes(0xFFFD)) * 3 + b"\xff\xff\xff\xfe\x00\x02" + jpeg[2:], (640, 33)),
+        "cut.jpg": (jpeg[:20], None),
+        "cut.png": (b"\x89PNG\r\n\x1a\n\x00\x00", None),
+        "empty.jpg": (b"", None),
+        "text.jpg": (b"no image", None),
+        "lossy.webp": (b"RIFF\x00\x00\x00\x00WEBPVP8 \x00\x00\x00\x00\x00\x00\x00\x9d\x01\x2a" + (800).to_bytes(2, "little") + (0x4000 | 600).to_bytes(2, "little"), (800, 600)),
+        "lossless.webp": (b"RIFF\x00\x00\x00\x00WEBPVP8L\x00\x00\x00\x00\x2f" + ((4096 - 1) | (77 - 1) << 14 | 1 << 29).to_bytes(4, "little"), (4096, 77)),
+        "extended.webp": (b"RIFF\x00\x00\x00\x00WEBPVP8X\x00\x00\x00\x00\x00\x00\x00\x00" + (69_999).to_bytes(3, "little") + (1).to_bytes(3, "little"), (70_000, 2)),
+    }
+    for file, (data, _) in extra.items():
+        (folder / file).write_bytes(data)
+    assert name(readers.image_sizes(spark, str(folder))) == want | {k: v for k, (_, v) in extra.items() if v}
