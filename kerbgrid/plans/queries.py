@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbgrid.functions import boxes, lookups, text
-from kerbgrid.operators import buckets, dataset, grid, inference, ingest, reports, score, shapes, spatial
+from kerbgrid.operators import buckets, dataset, grid, inference, ingest, keyed, reports, score, shapes, spatial
 from kerbgrid.plans.fixtures import Views, oracle
 from kerbgrid.scratch import shared_folder, written
 from kerbgrid.streaming import jobs
@@ -289,6 +289,19 @@ def bucketed_mutations(v):
     return buckets.read(spark, path).drop("bucket")
 
 
+@query("""SELECT image_id, region_id, CASE WHEN image_id % 3 = 0 THEN status WHEN image_id % 3 = 1 THEN 'second' ELSE 'third' END AS status FROM {images}
+UNION ALL SELECT -image_id, region_id, 'third' AS status FROM {images} WHERE region_id = 6""")
+def keyed_upserts(v):
+    """A table with key filters after two appends, each made twice, of which the second holds all keys and some new ones."""
+    spark, path, images = v.images.sparkSession, f"{shared_folder(v.images.sparkSession)}/keyed-{uuid.uuid4().hex}", v.images.select("image_id", "region_id", "status")
+    keyed.create(images.filter("image_id % 3 = 0"), path, "image_id")
+    mirrored = images.filter("region_id = 6").withColumn("image_id", -F.col("image_id"))
+    for batch in (images.filter("image_id % 3 < 2").withColumn("status", F.lit("second")), images.unionByName(mirrored).withColumn("status", F.lit("third"))):
+        for _ in range(2):
+            keyed.appended(spark, path, batch.unionByName(batch), "status")
+    return keyed.read(spark, path)
+
+
 @query("""SELECT (SELECT count(*) FROM {regions} WHERE region_id % 5 <> 0) AS regions, (SELECT count(*) FROM {images} WHERE region_id % 5 <> 0) AS images, (SELECT count(*) FROM {detections} WHERE image_id IN (SELECT image_id FROM {images} WHERE region_id % 5 <> 0)) AS detections,
 (SELECT count(*) FROM {osm_features} WHERE region_id % 5 <> 0) AS features, (SELECT count(*) FROM {regions} WHERE region_id % 5 = 0) AS deleted""")
 def cascade_delete(v):

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from kerbgrid.operators import keyed
 from kerbgrid.operators.ingest import new_rows, patch
 
 
@@ -30,6 +31,18 @@ def append_new(stream: DataFrame, target: str, checkpoint: str, key: str = "id_f
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append_keyed(stream: DataFrame, target: str, checkpoint: str, order: str = "image_id") -> StreamingQuery:
+    """Appends a stream's new keys to a table of operators.keyed, reading only the files that may hold them. A batch
+    that is repeated after a failure finds the keys it had added; rows without a key, which can't be told apart
+    then, are left out."""
+    key = keyed.key_of(stream.sparkSession, target)
+
+    def store(batch: DataFrame, number: int) -> None:
+        keyed.appended(batch.sparkSession, target, batch.filter(F.col(key).isNotNull()), order)
+
+    return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 #: Rows of a status log.
 STATUS = "image_id string, status string, batch long"
 
