@@ -1,6 +1,8 @@
 """The classifier's training against a plain follow-the-regularised-leader, one coordinate at a time."""
 
 import math
+import random
+import tracemalloc
 
 import numpy as np
 
@@ -48,3 +50,54 @@ def test_fit_equals_a_plain_one():
     kept = {k: w for k, w in want.items() if abs(w) > 1e-6}
     assert len(kept) > 100 and len(kept) < len(want)
     assert all(math.isclose(got.get(k, 0.0), w, rel_tol=1e-4, abs_tol=1e-6) for k, w in want.items()) and set(got) <= set(want)
+
+
+def test_counts_of_pieces_equal_those_of_the_whole(monkeypatch):
+    features, rng = langid.Features(langid._letter_table()), random.Random(3)
+    texts = ["", " ", "a", "  ", "\ud800", "ΟΔΟΣ ΟΔΟΣ", *("".join(rng.choice(" .,aB9éΣßİ漢\n😀") for _ in range(rng.randrange(1, 60))) for _ in range(300))]
+    whole = [features.counts(t) for t in texts]
+    for piece in (1, 2, 3, 7):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        for text, (at, n) in zip(texts, whole):
+            got = features.counts(text)
+            assert np.array_equal(got[0], at) and np.array_equal(got[1], n), (piece, text)
+
+
+def test_memory_of_a_long_text_is_that_of_a_piece():
+    features, text = langid.Features(langid._letter_table()), "some words of a long text " * 600_000  # 16 MB
+    features.counts("warm")
+    tracemalloc.start()
+    at, n = features.counts(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n.sum() > 3 * len(text) - 10 and peak < 64 << 20
+
+
+def test_temperature_is_the_least_loss_and_is_bounded_without_errors():
+    rng = np.random.default_rng(5)
+    ys = rng.integers(0, 3, 200)
+    for logits in (4.0 * (np.arange(3) == ys[:, None]), rng.normal(size=(200, 3)) + 2 * (np.arange(3) == ys[:, None])):
+        size = np.bincount(ys)[ys][:, None]
+        target = ((np.arange(3) == ys[:, None]) * size + 1) / (size + 3)
+        loss = lambda t: -(target * np.log(langid.softmax(logits / t))).sum()  # noqa: B023, E731
+        found = langid.calibrated(logits, ys)
+        grid = np.exp(np.linspace(-6, 6, 4001))
+        assert math.isclose(found, min(grid, key=loss), rel_tol=0.01) and 0.05 < found < 20
+    sure = langid.calibrated(4.0 * (np.arange(3) == ys[:, None]), ys)
+    assert langid.softmax(np.array([4.0, 0, 0]) / sure)[0] < 0.99
+    assert langid.calibrated(np.zeros((5, 3)), ys[:5]) == langid.calibrated(np.empty((0, 3)), ys[:0]) == 1.0
+
+
+def test_rows_of_one_id_are_sampled_by_their_texts(spark):
+    words = {"en": ["the", "house", "and", "tree"], "de": ["der", "hund", "und", "baum"]}
+    rng = random.Random(1)
+    rows = [(7, " ".join(rng.choice(words[y]) for _ in range(8)), y) for y in ("en", "de") for _ in range(600)] + [(7, "the same", "en")] * 5000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert docs.filter(langid.remainder() != 1).count() == len(rows)
+    seen = []
+    fit, langid.fit_counts = langid.fit_counts, lambda data: seen.append([y for *_, y in data]) or fit(data)
+    try:
+        langid.train(docs, per_lang=100)
+    finally:
+        langid.fit_counts = fit
+    assert 50 < seen[0].count("en") < 160 and 50 < seen[0].count("de") < 160
