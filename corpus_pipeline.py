@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from kerbgrid.llm import decontaminate, jaccard, langid, pieces, secrets
 from kerbgrid.llm.common import table, written
 
-LEAST_SCORE = 0.5
+#: On the calibrated scale: a text whose words say nothing scores 1 over the number of labels, a quarter in the tables here.
+LEAST_SCORE = 0.3
 #: Words of a shingle, and per cent of the union that near copies share.
 NEAR_WORDS, NEAR_SIMILARITY = 5, 80
 
