@@ -156,12 +156,19 @@ def distance_to_bounds(x: Column, y: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+def places(points: DataFrame, *at: str) -> DataFrame:
+    """The distinct places of points: columns at, and place, a struct of them. What depends on the place alone is found once
+    for it and joined to its points by at."""
+    return points.select(*at).distinct().withColumn("place", F.struct(*at))
+
+
 def met(points: DataFrame, polygons: DataFrame, point: str, key: str, x: str, y: str, reach: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
     """points with the polygons (key and rings) that they are strictly inside of; with reach (of BOUNDS) also with
     those whose bounds are within reach. point and key are unique; by are columns that must be equal. Besides
-    the columns of both: within, and gap (distance to the nearest edge, null inside or without one within
-    reach). Shapes are written once. Boxes are told by their bounds alone; other shapes meet points edge by
-    edge and are summed by point and shape, as that is compiled and functions of arrays are not."""
+    the columns of both (which grouping takes: no maps): within, and gap (distance to the nearest edge, null inside or
+    without one within reach). Shapes are written once. Boxes are told by their bounds alone; other shapes meet points
+    edge by edge and are summed by point and shape, as that is compiled and functions of arrays are not. All pairs are
+    rows: where points or polygons repeat, callers meet places() with distinct shapes."""
     c, px, py = F.col, F.col(x), F.col(y)
     reach_, near = (F.lit(0.0), False) if reach is None else (reach, True)
     shapes = written(placed(with_edges(polygons).withColumn("reach", reach_)), "shapes")
@@ -173,7 +180,7 @@ def met(points: DataFrame, polygons: DataFrame, point: str, key: str, x: str, y:
         if not own and (kind != BOX or levels):
             continue
         some = shapes.filter(c("kind") == kind)
-        rows = joined_on_grid(points, cut(some, key) if kind == LARGE else boxes_on_grid(some, c("reach")), x, y, by, own)
+        rows = joined_on_grid(points, (cut(some, key) if kind == LARGE else boxes_on_grid(some, c("reach"))).hint("merge"), x, y, by, own)
         rows = rows.filter(close if near else close & within_bounds(px, py))
         if kind == BOX:
             rows = rows.withColumn("within", within_bounds(px, py)).withColumn("gap", distance_to_bounds(px, py))
@@ -184,7 +191,8 @@ def met(points: DataFrame, polygons: DataFrame, point: str, key: str, x: str, y:
             each = rows.withColumn("corner", corner).withColumn("e", F.explode_outer("edges"))
             each = each.select(*kept, "corner", F.coalesce(crossing, F.lit(0)).alias("crossing"), F.coalesce(_on(px, py, e), F.lit(False)).alias("on"), *([edge_distance(px, py, e).alias("gap")] if near else []))
             sums = [F.sum("crossing").alias("crossing"), F.max("on").alias("on"), F.first("corner").alias("corner"), (F.min("gap") if near else F.lit(None).cast("double")).alias("gap")]
-            rows = each.groupBy(point, key).agg(*sums, *[F.first(f).alias(f) for f in kept if f not in (point, key)])
+            # The other columns follow from point and key; as keys too, they leave only values that are summed by hash, not by sorting.
+            rows = each.groupBy(point, key, *[f for f in kept if f not in (point, key)]).agg(*sums)
             rows = rows.withColumn("within", ((c("crossing") % 2 == 1) != c("corner")) & ~c("on"))
         rows = rows if near else rows.filter("within")
         out.append(rows.select(*kept, "within", F.when(~c("within"), c("gap")).alias("gap")))
@@ -193,7 +201,8 @@ def met(points: DataFrame, polygons: DataFrame, point: str, key: str, x: str, y:
 
 def joined_on_grid(points: DataFrame, shapes: DataFrame, x: str, y: str, by: Sequence[str] = (), levels: Sequence[int] | None = None) -> DataFrame:
     """points with the rows of shapes (on the grid) in whose cell they lie, and equal columns by. levels in use
-    are looked up unless given: few, as each is a power of two."""
+    are looked up unless given: few, as each is a power of two. Many shapes need hint("merge"): Spark takes the size of
+    their files, before cells are exploded, for theirs, and would broadcast them through the driver."""
     if levels is None:
         levels = sorted(r["level"] for r in shapes.select("level").distinct().collect())
     rows = points.withColumn("level", F.explode(F.array(*map(F.lit, levels or [0]))))

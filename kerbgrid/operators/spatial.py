@@ -76,28 +76,34 @@ def clipped(polygons: DataFrame, regions: DataFrame) -> DataFrame:
 def land_use_of_points(points: DataFrame, polygons: DataFrame, radius: float, include_unmatched: bool = False, true_metres: bool = False) -> DataFrame:
     """point_id, land_use: of the polygons around a point, else of the nearest within radius (ties kept, to
     nine decimals; a radius of 0 takes none); a point's classes are resolved to one. points: point_id, region_id, x, y; polygons:
-    poly_id (unique), region_id, landuse, leisure and rings (holes after the outer one) or x0, y0, side. One
-    candidate join on the grid and one group by point. include_unmatched: points without any are
+    poly_id (unique), region_id, landuse, leisure and rings (holes after the outer one) or x0, y0, side. Points at
+    one place, and polygons of equal shape, meet as one: one candidate join on the grid of distinct places and shapes
+    and one group by place, which keeps the least distance of each class. include_unmatched: points without any are
     UNMATCHED instead of left out. true_metres: coordinates are spherical Mercator metres and radius is
     on the ground, where these are shorter by the cosine of the latitude (below 80 degrees)."""
     x, y = F.col("x"), F.col("y")
     classed = polygons.withColumn("kind", land_use(F.col("landuse"), F.col("leisure"))).filter("kind is not null")
     stretch = lambda y: F.cosh(y / EARTH_RADIUS) if true_metres else F.lit(1.0)
     reach = 1e-8 + radius * stretch(F.greatest(F.abs("by0"), F.abs("by1")) + 8 * radius)
+    same = ["region_id", "rings"] if "rings" in polygons.columns else ["region_id", "x0", "y0", "side"]
+    shapes = classed.groupBy(*same).agg(F.min("poly_id").alias("poly_id"), F.collect_set("kind").alias("uses"))
+    places = grid.places(points, "region_id", "x", "y")
     if "rings" in polygons.columns:
-        shapes = classed.select("poly_id", "region_id", F.col("kind").alias("use"), "rings")
-        near = grid.met(points, shapes, "point_id", "poly_id", "x", "y", reach if radius > 0 else None, ["region_id"])
+        near = grid.met(places, shapes, "place", "poly_id", "x", "y", reach if radius > 0 else None, ["region_id"])
     else:  # boxes need no edges
-        boxes = classed.select("region_id", F.col("kind").alias("use"), F.col("x0").alias("bx0"), F.col("y0").alias("by0"), (F.col("x0") + F.col("side")).alias("bx1"), (F.col("y0") + F.col("side")).alias("by1")).withColumn("reach", reach)
+        boxes = shapes.select("region_id", "uses", F.col("x0").alias("bx0"), F.col("y0").alias("by0"), (F.col("x0") + F.col("side")).alias("bx1"), (F.col("y0") + F.col("side")).alias("by1")).withColumn("reach", reach)
         close = x.between(F.col("bx0") - F.col("reach"), F.col("bx1") + F.col("reach")) & y.between(F.col("by0") - F.col("reach"), F.col("by1") + F.col("reach"))
-        near = grid.joined_on_grid(points, grid.boxes_on_grid(boxes, F.col("reach")), "x", "y", ["region_id"]).filter(close)
+        near = grid.joined_on_grid(places, grid.boxes_on_grid(boxes, F.col("reach")).hint("merge"), "x", "y", ["region_id"]).filter(close)
         near = near.withColumn("within", grid.within_bounds(x, y)).withColumn("gap", grid.distance_to_bounds(x, y))
-    near = near.select("point_id", F.struct((~F.col("within")).alias("outside"), F.when(F.col("within"), 0.0).otherwise(F.round(F.col("gap") / stretch(y), 9)).alias("d"), F.col("use").alias("kind")).alias("c"))
-    found = near.filter(~F.col("c.outside") | ((F.col("c.d") <= radius) & F.lit(radius > 0))).groupBy("point_id").agg(F.collect_set("c").alias("all"))
-    best = F.array_min("all")
-    kinds = F.transform(F.filter("all", lambda c: (c["outside"] == best["outside"]) & (c["d"] == best["d"])), lambda c: c["kind"])
-    found = found.select("point_id", resolved_land_use(kinds).alias("land_use"))
-    return points.select("point_id").join(found, "point_id", "left").select("point_id", F.coalesce("land_use", F.lit(UNMATCHED)).alias("land_use")) if include_unmatched else found
+    # Around a point comes before any distance.
+    d = F.when(F.col("within"), -1.0).otherwise(F.round(F.col("gap") / stretch(y), 9))
+    near = near.select("place", d.alias("d"), F.explode("uses").alias("kind")).filter((F.col("d") < 0) | ((F.col("d") <= radius) & F.lit(radius > 0)))
+    least = near.groupBy("place", "kind").agg(F.min("d").alias("d"))
+    found = least.groupBy("place").agg(F.collect_list(F.struct("d", "kind")).alias("all"))
+    kinds = F.transform(F.filter("all", lambda c: c["d"] == F.array_min("all")["d"]), lambda c: c["kind"])
+    found = found.select("place.*", resolved_land_use(kinds).alias("land_use"))
+    rows = points.select("point_id", "region_id", "x", "y").join(found, ["region_id", "x", "y"], "left" if include_unmatched else "inner")
+    return rows.select("point_id", F.coalesce("land_use", F.lit(UNMATCHED)).alias("land_use") if include_unmatched else F.col("land_use"))
 
 
 def shape_box(default: Column, shape: Column, inside: Column, largest: float = 0.5) -> Column:
