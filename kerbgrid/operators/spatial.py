@@ -61,8 +61,9 @@ def regions_at_points(points: DataFrame, regions: DataFrame, dense: bool | None
 
 def points_in_any(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """The points (point_id, x, y) strictly inside any polygon (poly_id, unique, and rings)."""
-    near = grid.met(points, polygons.select("poly_id", "rings"), "point_id", "poly_id", "x", "y")
-    return points.join(near.select("point_id"), "point_id", "left_semi")
+    shapes = polygons.groupBy("rings").agg(F.min("poly_id").alias("poly_id"))
+    near = grid.met(grid.places(points, "x", "y"), shapes, "place", "poly_id", "x", "y")
+    return points.join(near.select("x", "y").distinct(), ["x", "y"], "left_semi").select(points.columns)
 
 
 def clipped(polygons: DataFrame, regions: DataFrame) -> DataFrame:

@@ -44,3 +44,10 @@ def test_land_use_of_stacked_points_and_polygons(spark, met_rows, form):
         got = {r["point_id"]: r["land_use"] for r in spatial.land_use_of_points(stacked(spark), polygons, 0.2, include_unmatched=include).collect()}
         assert got == {i: "unmatched" if i % 4 == 3 or i == 200 else "mixed-use" for i in range(201) if include or i % 4 != 3 and i != 200}
     assert all(p <= 4 and s <= 9 for p, s in met_rows) and met_rows
+
+
+def test_points_in_any_of_stacked_polygons(spark, met_rows):
+    polygons = spark.createDataFrame(rows_of([(k, [SQUARE]) for k in range(80)]), SHAPE)
+    got = spatial.points_in_any(stacked(spark), polygons)
+    assert got.columns == ["point_id", "region_id", "x", "y"] and sorted(r["point_id"] for r in got.collect()) == list(range(0, 200, 2))
+    assert met_rows and all(p <= 4 and s <= 9 for p, s in met_rows)
