@@ -51,3 +51,11 @@ def test_points_in_any_of_stacked_polygons(spark, met_rows):
     got = spatial.points_in_any(stacked(spark), polygons)
     assert got.columns == ["point_id", "region_id", "x", "y"] and sorted(r["point_id"] for r in got.collect()) == list(range(0, 200, 2))
     assert met_rows and all(p <= 4 and s <= 9 for p, s in met_rows)
+
+
+def test_combs_are_counted_where_images_and_combs_are_stacked(spark, met_rows):
+    images = stacked(spark).select(F.col("point_id").alias("image_id"), F.col("x").alias("lng"), F.col("y").alias("lat"))
+    polygons = spark.createDataFrame([(k, 0.0, 0.0, 6.0 if k % 3 else 40.0) for k in range(60)], "poly_id long, x0 double, y0 double, side double")
+    got = {tuple(r) for r in queries.points_in_combs(SimpleNamespace(images=images, landuse_polygons=polygons)).collect()}
+    assert got == {(i, 60, 0) if i % 4 != 3 else (i, 20, 0) for i in range(200)}
+    assert met_rows and all(p <= 4 and s <= 200 for p, s in met_rows)
