@@ -87,7 +87,8 @@ def _filtered(rows: DataFrame, key: str) -> DataFrame:
     sizes = keys.groupBy("bucket", "file").agg(F.count("key").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
     level = F.ceil(F.log2(F.greatest(F.col("n") * ROOM / 64, F.lit(1.0)))).cast("int")
     sizes = sizes.select("bucket", "file", level.alias("level"), "low", "high")
-    placed = keys.filter("key IS NOT NULL").join(sizes, ["bucket", "file"]).select("bucket", "file", "level", "low", "high", _word(F.col("hashed"), F.col("level")).alias("word"), _mask(F.col("hashed")).alias("bits"))
+    # A row a file is small for certain; files of keys look small too, and would be broadcast and joined in one task.
+    placed = keys.filter("key IS NOT NULL").join(F.broadcast(sizes), ["bucket", "file"]).select("bucket", "file", "level", "low", "high", _word(F.col("hashed"), F.col("level")).alias("word"), _mask(F.col("hashed")).alias("bits"))
     words = placed.groupBy("bucket", "file", "level", "low", "high", "word").agg(F.bit_or("bits").alias("bits"))
     return words.unionByName(sizes.withColumns({"word": F.lit(-1).cast("long"), "bits": F.lit(0).cast("long")}))
 
@@ -132,7 +133,7 @@ def candidates(spark: SparkSession, path: str, batch: DataFrame) -> list[str]:
     keys = batch.select(F.col(key).alias("key")).filter("key IS NOT NULL").distinct()
     keys = keys.select("key", _bucket(F.col("key"), buckets).alias("bucket"), hashed.alias("hashed"), F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level"))
     asked = keys.select("key", "bucket", "level", _word(F.col("hashed"), F.col("level")).alias("word"), _mask(F.col("hashed")).alias("mask"))
-    found = asked.join(held, ["bucket", "level", "word"]).filter("key BETWEEN low AND high AND (bits & mask) = mask")
+    found = asked.join(held.hint("merge"), ["bucket", "level", "word"]).filter("key BETWEEN low AND high AND (bits & mask) = mask")
     said = {(r["bucket"], r["file"]) for r in found.select("bucket", "file").distinct().collect()}
     known = _known(spark, path)
     return sorted(name for k, name in table.items() if k in said or k not in known)
@@ -144,7 +145,7 @@ def appended(spark: SparkSession, path: str, batch: DataFrame, order: str, files
     key, buckets, _ = _layout(spark, path)
     given = written(batch, "given")  # read twice: for the filters and for its rows
     reached = candidates(spark, path, given)
-    fresh = written(new_rows(_read(spark, path, reached).select(key), given, key, order), "fresh")
+    fresh = written(new_rows(_read(spark, path, reached).select(key).hint("merge"), given, key, order), "fresh")
     n = fresh.count()
     if n:
         _append(fresh, path, key, buckets, files)

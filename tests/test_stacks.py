@@ -59,3 +59,13 @@ def test_combs_are_counted_where_images_and_combs_are_stacked(spark, met_rows):
     got = {tuple(r) for r in queries.points_in_combs(SimpleNamespace(images=images, landuse_polygons=polygons)).collect()}
     assert got == {(i, 60, 0) if i % 4 != 3 else (i, 20, 0) for i in range(200)}
     assert met_rows and all(p <= 4 and s <= 200 for p, s in met_rows)
+
+
+def test_keys_of_a_table_meet_a_broadcast_row_a_file(spark, tmp_path):
+    path = str(tmp_path / "t")
+    keyed.create(spark.range(5000).withColumnRenamed("id", "k"), path, "k", 4)
+    plan = keyed._filtered(keyed._read(spark, path, list(keyed._files(spark, path).values())), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    keys = spark.range(10)
+    asked = keyed.candidates(spark, path, keys.withColumnRenamed("id", "k"))
+    assert asked and keyed.appended(spark, path, keys.withColumnRenamed("id", "k"), "k")[0] == 0
