@@ -61,6 +61,12 @@ def test_combs_are_counted_where_images_and_combs_are_stacked(spark, met_rows):
     assert met_rows and all(p <= 4 and s <= 200 for p, s in met_rows)
 
 
+def test_polygons_are_dealt_before_their_edges_are_summed(spark):
+    polygons = spark.createDataFrame(rows_of([(k, [SQUARE]) for k in range(8)]), SHAPE).withColumn("use", F.lit("a"))
+    plan = shapes.border_edges(polygons.coalesce(1), ["use"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.rindex("Exchange hashpartitioning") > plan.rindex("Generate")
+
+
 def test_keys_of_a_table_meet_a_broadcast_row_a_file(spark, tmp_path):
     path = str(tmp_path / "t")
     keyed.create(spark.range(5000).withColumnRenamed("id", "k"), path, "k", 4)
