@@ -101,3 +101,28 @@ def test_rows_of_one_id_are_sampled_by_their_texts(spark):
     finally:
         langid.fit_counts = fit
     assert 50 < seen[0].count("en") < 160 and 50 < seen[0].count("de") < 160
+
+
+def test_counts_reach_the_driver_in_six_bytes_a_number(spark):
+    seen, fit = [], langid.fit_counts
+    langid.fit_counts = lambda data: seen.extend(data) or fit(data)
+    try:
+        docs = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(ROWS * 4)], "doc_id long, text string, lang string")
+        langid.train(docs)
+    finally:
+        langid.fit_counts = fit
+    features, texts = langid.Features(langid._letter_table()), {}
+    for t, y in ROWS:
+        at, n = features.counts(t)
+        texts.setdefault(y, set()).add((tuple(at.tolist()), tuple(n.astype(int).tolist())))
+    assert len(seen) > 10 and any(len(at) for at, _, _ in seen)
+    for at, n, y in seen:
+        assert at.itemsize + n.itemsize <= 6 and (tuple(at.tolist()), tuple(n.tolist())) in texts[y]
+
+
+def test_packed_counts_come_back_and_sort_as_arrays_do():
+    rows = [([], []), ([1], [3]), ([1, 2], [1, 1]), ([1, 300], [2, 5]), ([2], [1]), ([255], [1]), ([256], [1 << 33]), ([32767], [(1 << 32) - 1])]
+    packed = [langid.packed(np.array(at, np.int64), np.array(n, np.int64)) for at, n in rows]
+    assert [at for at, _ in packed] == sorted(at for at, _ in packed)
+    assert [tuple(x.tolist() for x in langid.unpacked(*p)) for p in packed] == rows
+    assert langid.packed(np.empty(0, np.int64), np.empty(0)) == (b"", b"")

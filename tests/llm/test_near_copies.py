@@ -48,3 +48,24 @@ def test_stage_drops_near_copies_between_the_thresholds(spark):
     kept = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
     assert kept == sorted({find(i) for i in range(len(texts))})
     assert len(kept) < jaccard.deduplicated(docs).count()
+
+
+def test_components_take_no_round_more_than_links_need(spark, monkeypatch):
+    rng, writes = random.Random(5), []
+    monkeypatch.setattr(jaccard, "written", lambda df, what, f=jaccard.written: writes.append(what) or f(df, what))
+    chain = [(k, k + 1) for k in range(9)]
+    odd = [(rng.randrange(40), rng.randrange(40)) for _ in range(30)]
+    for links, most in (([], 1), ([(4, 4)], 1), ([(3, 1), (1, 2), (9, 8), (8, 9)], 2), (chain, 99), (odd, 99)):
+        root = {x: x for e in links for x in e}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        writes.clear()
+        got = {r["node"]: r["root"] for r in jaccard.components(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert got == {x: find(x) for x in root if find(x) != x} and len(writes) <= most
